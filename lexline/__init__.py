@@ -1 +1,8 @@
 """Metadata, glossary and lineage operators over corpora, as plain Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions run by Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -43,6 +43,7 @@ _G3_ROWS = (
 )
 
 SQL = {
+    "all_orders": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM {orders}",
     "dictionary": f"""
         SELECT {_CONN} AS conn_id, {_SCHEMA} AS schema_name, {_TABLE} AS table_name, {_POS} AS pos,
                {_COLUMN} AS column_name,

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lexline import constants as K
 from lexline.functions import text as X
 from lexline.operators.ordered import ROWS_PER_BLOCK, number_rows, scan
+from lexline.session import durable
 
 SCHEMA_KEY = ["sheet_id", "schema_name"]
 TABLE_KEY = [*SCHEMA_KEY, "table_name"]
@@ -23,9 +24,14 @@ TABLES_PER_BLOCK = 256
 
 
 def sheet_tables(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Tables with first row, column count and number within their schema (from 1)."""
-    tables = sheet.groupBy(*TABLE_KEY).agg(
-        F.min("row_no").alias("table_row"), F.count(F.lit(1)).alias("n_columns")
+    """Tables with first row, column count and number within their schema (from 1).
+
+    One row per table of the sheet, made durable as numbering reads it several times.
+    """
+    tables = durable(
+        sheet.groupBy(*TABLE_KEY).agg(
+            F.min("row_no").alias("table_row"), F.count(F.lit(1)).alias("n_columns")
+        )
     )
     return number_rows(tables, SCHEMA_KEY, "table_row", "table_no", rows_per_block=rows_per_block)
 
@@ -56,7 +62,7 @@ def schema_text(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
     lines of a table but its last.
     """
     tables = sheet_tables(sheet, rows_per_block)
-    schemas = sheet.groupBy(*SCHEMA_KEY).agg(F.min("row_no").alias("schema_row"))
+    schemas = tables.groupBy(*SCHEMA_KEY).agg(F.min("table_row").alias("schema_row"))
     last_line = F.floor((F.col("n_columns") - F.lit(1)) / F.lit(K.COLUMNS_PER_LINE))
     return (
         column_lines(sheet, rows_per_block)
@@ -91,26 +97,36 @@ def schema_chunks(
 
 def table_slices(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Slices of 36 columns of each table as text, ``slice_no`` from 0."""
-    slice_no = F.floor(F.col("line_no") / F.lit(K.LINES_PER_SLICE)).cast("long")
+    numbered = number_rows(sheet, TABLE_KEY, "row_no", "_idx", rows_per_block=rows_per_block)
+    per_slice = K.COLUMNS_PER_LINE * K.LINES_PER_SLICE
+    last_line = F.floor((F.size("_names") - F.lit(1)) / F.lit(K.COLUMNS_PER_LINE)).cast("int")
+    lines = F.transform(
+        F.sequence(F.lit(0), last_line),
+        lambda i: F.array_join(
+            F.slice("_names", i * F.lit(K.COLUMNS_PER_LINE) + F.lit(1), F.lit(K.COLUMNS_PER_LINE)), ", "
+        ),
+    )
     return (
-        column_lines(sheet, rows_per_block)
-        .withColumn("slice_no", slice_no)
+        numbered.withColumn(
+            "slice_no", F.floor((F.col("_idx") - F.lit(1)) / F.lit(per_slice)).cast("long")
+        )
         .groupBy(*TABLE_KEY, "slice_no")
         .agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("line_no", "columns"))),
-                    lambda s: s["columns"],
-                ),
-                ",\n",
-            ).alias("_body")
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("_idx", "column_name"))),
+                lambda s: s["column_name"],
+            ).alias("_names")
         )
         .select(
             *TABLE_KEY,
             "slice_no",
-            F.concat(F.lit("\nTable: "), "table_name", F.lit("\nColumns: "), "_body", F.lit("\n")).alias(
-                "text"
-            ),
+            F.concat(
+                F.lit("\nTable: "),
+                "table_name",
+                F.lit("\nColumns: "),
+                F.array_join(lines, ",\n"),
+                F.lit("\n"),
+            ).alias("text"),
         )
     )
 
@@ -224,17 +240,15 @@ def schema_batches(
     schema. Order by ``chunk_no, table_no, slice_no`` to read the texts; ``schema_header`` marks the
     slice that the schema's name stands before.
     """
-    tables = sheet_tables(sheet, rows_per_block)
-    numbered = chunk_numbers(tables, chunk_size, rows_per_block)
-    schemas = number_rows(
-        tables.groupBy(*SCHEMA_KEY).agg(F.min("table_row").alias("schema_row")).join(
+    tables = durable(sheet_tables(sheet, rows_per_block))
+    numbered = durable(chunk_numbers(tables, chunk_size, rows_per_block))
+    schemas = durable(
+        tables.groupBy(*SCHEMA_KEY)
+        .agg(F.min("table_row").alias("schema_row"))
+        .join(
             numbered.groupBy(*SCHEMA_KEY).agg((F.max("schema_chunk") + F.lit(1)).alias("n_chunks")),
             SCHEMA_KEY,
-        ),
-        ["sheet_id"],
-        "schema_row",
-        "schema_no",
-        rows_per_block=rows_per_block,
+        )
     )
     offsets = scan(
         schemas,
@@ -282,12 +296,12 @@ def token_budget(
     budget: int = K.ANALYSIS_TOKENS,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Rows of each key while the tokens before them stay under the budget.
+    """Rows of each key while the tokens before them stay under the budget, without their texts.
 
     A round is started as long as the text so far is below the budget, so the row that crosses it
-    is the last one kept.
+    is the last one kept. Texts are counted where they are read and take no part in the shuffle.
     """
-    counted = rows.withColumn("n_tokens", X.token_count(F.col(text)).cast("long"))
+    counted = rows.withColumn("n_tokens", X.token_count(F.col(text)).cast("long")).drop(text)
     total = scan(
         counted,
         keys,

@@ -135,13 +135,14 @@ def sheet_generator(prompt: str, so_far: str) -> str:
 
 def script_generator(prompt: str, so_far: str) -> str:
     """Deterministic documentation table for a script: a row per target and selected column."""
-    sources = [m[0] for m in re.findall(SOURCE, prompt)]
-    ctes = {c.upper() for c in re.findall(CTE, prompt)}
+    sql = re.sub(r"(?s)/\*.*?\*/|--[^\n]*", " ", prompt)
+    sql = re.sub(r"'[^']*'", "''", sql)
+    sources = [m[0] for m in re.findall(SOURCE, sql)]
+    ctes = {c.upper() for c in re.findall(CTE, sql)}
     joined = ", ".join(dict.fromkeys(s for s in sources if s.upper() not in ctes)) or K.NOT_APPLICABLE
     rows = ["| " + " | ".join(K.LINEAGE_HEADERS) + " |", "|" + " --- |" * len(K.LINEAGE_HEADERS)]
-    for target in re.findall(TARGET, prompt):
-        selected = re.search(r"(?is)\bselect\s+(.*?)\s+from\b", prompt)
-        columns = re.findall(r"\b\w+\.(\w+)", selected[1]) if selected else []
+    for target, selected in re.findall(TARGET + r"\s+select\s+(.*?)\s+from\b", sql):
+        columns = re.findall(r"\b\w+\.(\w+)", selected)
         for i, column in enumerate(dict.fromkeys(columns)):
             same = K.SAME_AS_ABOVE
             first = i == 0

@@ -1,4 +1,8 @@
-"""Documentation rows to table-level lineage: edges, nodes, legend, layers, diagram text."""
+"""Documentation rows to table-level lineage: edges, nodes, legend, layers, diagram text.
+
+``filled`` is read several times here; hand over a table or a frame made durable. ``bounded=True``
+says that the rows of a script cannot be many, as when they come from one text.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 from lexline import constants as K
 from lexline.functions import text as X
 from lexline.operators.ordered import ROWS_PER_BLOCK, number_rows
+from lexline.session import durable
 
 KEY = "script_id"
 DROPPED_FOR_DIAGRAM = (
@@ -69,22 +74,29 @@ def _sources(filled: DataFrame) -> DataFrame:
     )
 
 
-def purpose_legend(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def _numbered(first: DataFrame, out: str, rows_per_block: int, bounded: bool) -> DataFrame:
+    """Number the items of each script by their first row."""
+    if bounded:
+        return number_rows(first, [KEY], "first_row", out, bounded=True)
+    return number_rows(durable(first), [KEY], "first_row", out, rows_per_block=rows_per_block)
+
+
+def purpose_legend(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, bounded: bool = False) -> DataFrame:
     """Derivation purposes of each script, numbered in first-seen order."""
     first = (
         filled.where(_is_value(F.col("derivation_purpose")))
         .groupBy(KEY, F.col("derivation_purpose").alias("purpose"))
         .agg(F.min("row_no").alias("first_row"))
     )
-    return number_rows(first, [KEY], "first_row", "purpose_no", rows_per_block=rows_per_block)
+    return _numbered(first, "purpose_no", rows_per_block, bounded)
 
 
-def lineage_edges(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def lineage_edges(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, bounded: bool = False) -> DataFrame:
     """Unique table-level edges per purpose: number, filter-only mark and to-final mark."""
     edges = _sources(filled).groupBy(KEY, "src", "dst", "purpose").agg(
         (~F.max("from_join")).alias("filter_only"), F.min("row_no").alias("first_row")
     )
-    legend = purpose_legend(filled, rows_per_block).select(KEY, "purpose", "purpose_no")
+    legend = purpose_legend(filled, rows_per_block, bounded).select(KEY, "purpose", "purpose_no")
     inner = edges.select(KEY, F.col("src").alias("dst")).distinct().withColumn("_inner", F.lit(True))
     return (
         edges.join(legend, [KEY, "purpose"], "left")
@@ -102,17 +114,16 @@ def lineage_edges(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> Da
     )
 
 
-def layer_alignment(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+def layer_alignment(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, bounded: bool = False) -> DataFrame:
     """Each derived entity with the first layer that derives it; layers numbered as first seen."""
     rows = filled.select(
         KEY, "row_no", "layer", X.entity(X.strip(F.col("table_name"))).alias("name")
     ).where(_is_value(F.col("name")) & F.col("layer").isNotNull())
-    layers = number_rows(
+    layers = _numbered(
         rows.groupBy(KEY, "layer").agg(F.min("row_no").alias("first_row")),
-        [KEY],
-        "first_row",
         "layer_no",
-        rows_per_block=rows_per_block,
+        rows_per_block,
+        bounded,
     ).select(KEY, "layer", "layer_no")
     return (
         rows.groupBy(KEY, "name")
@@ -123,7 +134,10 @@ def layer_alignment(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) ->
 
 
 def lineage_nodes(
-    filled: DataFrame, ctes: DataFrame | None = None, rows_per_block: int = ROWS_PER_BLOCK
+    filled: DataFrame,
+    ctes: DataFrame | None = None,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    bounded: bool = False,
 ) -> DataFrame:
     """Entities of each script with kind and layer.
 
@@ -161,7 +175,7 @@ def lineage_nodes(
         .when(~F.col("feeds"), "final")
         .otherwise("temp")
     )
-    layers = layer_alignment(filled, rows_per_block).select(KEY, "name", "layer", "layer_no")
+    layers = layer_alignment(filled, rows_per_block, bounded).select(KEY, "name", "layer", "layer_no")
     return nodes.select(KEY, "name", kind.alias("kind")).join(layers, [KEY, "name"], "left")
 
 
@@ -186,17 +200,20 @@ def _quoted(text: Column) -> Column:
 
 
 def dot_text(
-    filled: DataFrame, ctes: DataFrame | None = None, rows_per_block: int = ROWS_PER_BLOCK
+    filled: DataFrame,
+    ctes: DataFrame | None = None,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    bounded: bool = False,
 ) -> DataFrame:
     """Diagram text as ordered lines: read each script by ``section, item, line_no``.
 
     Node labels carry one column per line, joined by the backslash that ends a line inside a quoted
     string, so no label is ever held as one value.
     """
-    nodes = lineage_nodes(filled, ctes, rows_per_block)
-    edges = lineage_edges(filled, rows_per_block)
+    nodes = durable(lineage_nodes(filled, ctes, rows_per_block, bounded))
+    edges = lineage_edges(filled, rows_per_block, bounded)
     columns = node_columns(filled)
-    legend = purpose_legend(filled, rows_per_block)
+    legend = purpose_legend(filled, rows_per_block, bounded)
     scripts = nodes.select(KEY).distinct()
 
     def rows(df: DataFrame, section: int, item: Column, line_no: Column, text: Column) -> DataFrame:

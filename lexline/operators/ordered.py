@@ -5,9 +5,11 @@ rows is cut into blocks of consecutive row numbers. Each block is worked on alon
 summary per block is carried over the blocks of its key, and the two are put together. A task sees
 at most ``rows_per_block`` rows of one key, or the block summaries of one key.
 
-Row numbers are integers, unique within a key; keys are not null. With ``dense=True`` the numbers
-of each key start near zero without large gaps (line numbers of a text), and no count is needed
-to find the large keys.
+Row numbers are integers, unique within a key; keys are not null. ``bounded=True`` is for rows whose
+key cannot be large, such as the lines of one text value; they go through one plain window.
+
+The input is read three times (rows per key, summaries of large keys, the rows themselves), each time
+with only the columns needed. Give it a table, or a frame made durable, not a long computation.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ def split_blocks(
     keys: Sequence[str],
     row_no: str,
     rows_per_block: int = ROWS_PER_BLOCK,
-    dense: bool = False,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add the block of each row; keys that fit into one block get ``WHOLE``."""
+    if bounded:
+        return df.withColumn(BLOCK, F.lit(WHOLE).cast("long"))
     block = F.floor(F.col(row_no) / F.lit(rows_per_block)).cast("long")
-    if dense:
-        return df.withColumn(BLOCK, block)
     # At most (rows / rows_per_block) keys can pass this filter, so the broadcast is bounded.
     large = (
         df.groupBy(*keys)
@@ -55,7 +57,7 @@ def scan(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
-    dense: bool = False,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add running sums and last non-null values per key, up to and with each row.
 
@@ -71,9 +73,24 @@ def scan(
         *[F.coalesce(e, F.lit(0)).alias(s_in[n]) for n, e in sums.items()],
         *[e.alias(l_in[n]) for n, e in lasts.items()],
     )
-    blocked = split_blocks(work, keys, row_no, rows_per_block, dense)
+    blocked = split_blocks(work, keys, row_no, rows_per_block, bounded)
 
     group = [*keys, BLOCK]
+    upto = (
+        Window.partitionBy(*(keys if bounded else group))
+        .orderBy(row_no)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    local = blocked.select(
+        *keep,
+        BLOCK,
+        *[F.sum(c).over(upto).alias(c) for c in s_in.values()],
+        *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in l_in.values()],
+    )
+    if bounded:
+        outputs = [F.col(c).alias(n) for n, c in [*s_in.items(), *l_in.items()]]
+        return local.select(*keep, *outputs)
+
     before = (
         Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -94,17 +111,6 @@ def scan(
         *[F.last(c, ignorenulls=True).over(before).alias(c + "_carry") for c in l_in.values()],
     )
 
-    upto = (
-        Window.partitionBy(*group)
-        .orderBy(row_no)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = blocked.select(
-        *keep,
-        BLOCK,
-        *[F.sum(c).over(upto).alias(c) for c in s_in.values()],
-        *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in l_in.values()],
-    )
     return local.join(carry, group, "left").select(
         *keep,
         *[
@@ -122,7 +128,7 @@ def number_rows(
     out: str,
     *,
     rows_per_block: int = ROWS_PER_BLOCK,
-    dense: bool = False,
+    bounded: bool = False,
 ) -> DataFrame:
     """Number the rows of each key 1, 2, 3 … in ``row_no`` order."""
     return scan(
@@ -131,7 +137,7 @@ def number_rows(
         row_no,
         sums={out: F.lit(1).cast("long")},
         rows_per_block=rows_per_block,
-        dense=dense,
+        bounded=bounded,
     )
 
 
@@ -143,14 +149,14 @@ def merge_spans(
     *,
     min_rows: int = 2,
     rows_per_block: int = ROWS_PER_BLOCK,
-    dense: bool = False,
+    bounded: bool = False,
 ) -> DataFrame:
     """Runs of equal neighbours in each column: (keys, column_no, column, value, first, last, rows).
 
     Null equals null. Runs are found block by block; only runs that touch the edge of a block are
     compared across blocks.
     """
-    blocked = split_blocks(df.select(*keys, row_no, *columns), keys, row_no, rows_per_block, dense)
+    blocked = split_blocks(df.select(*keys, row_no, *columns), keys, row_no, rows_per_block, bounded)
     group = [*keys, BLOCK]
     order = Window.partitionBy(*group).orderBy(row_no)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -198,6 +204,8 @@ def merge_spans(
     partial = partial.withColumn("_head", F.col("run") == 1).withColumn("_tail", F.col("run") == last_run)
 
     out = [*keys, "column_no", "column", "value", "first_row", "last_row", "rows"]
+    if bounded:
+        return partial.select(*out).where(F.col("rows") >= min_rows)
     inner_run = (F.col(BLOCK) == WHOLE) | ~(F.col("_head") | F.col("_tail"))
     inner = partial.where(inner_run).select(*out)
 

@@ -196,7 +196,7 @@ def fill_same_as_above(
     row_no: str,
     columns: list[str],
     rows_per_block: int = ROWS_PER_BLOCK,
-    dense: bool = False,
+    bounded: bool = False,
 ) -> DataFrame:
     """Replace ``S/B`` and null by the last other value above; ``N/A`` is a value like any other."""
     return scan(
@@ -205,7 +205,7 @@ def fill_same_as_above(
         row_no,
         lasts={c: F.nullif(F.col(c), F.lit(K.SAME_AS_ABOVE)) for c in columns},
         rows_per_block=rows_per_block,
-        dense=dense,
+        bounded=bounded,
     )
 
 

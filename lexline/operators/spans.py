@@ -15,9 +15,12 @@ def glossary_spans(
     keys: Sequence[str] = ("doc_id",),
     row_no: str = "row_no",
     rows_per_block: int = ROWS_PER_BLOCK,
+    bounded: bool = False,
 ) -> DataFrame:
     """Rows over which the table description is merged: runs of one table name, none for null."""
-    spans = merge_spans(glossary, keys, row_no, ["table_name"], rows_per_block=rows_per_block)
+    spans = merge_spans(
+        glossary, keys, row_no, ["table_name"], rows_per_block=rows_per_block, bounded=bounded
+    )
     return spans.where(F.col("value").isNotNull()).select(
         *keys, F.col("value").alias("table_name"), "first_row", "last_row", "rows"
     )

@@ -1,8 +1,7 @@
 """Whole flows, from dictionary, sheet, script or chat request to result rows.
 
-Generated texts are costly and feed several results. Pass ``keep`` (for example
-``lexline.session.durable``) to have them written to shared storage once instead of being
-generated again for each use or lost executor.
+Generated texts are costly and feed several results, so they are written to shared storage once
+(``keep``) instead of being generated again for each use or lost executor.
 """
 
 from __future__ import annotations
@@ -14,19 +13,17 @@ from pyspark.sql import functions as F
 
 from lexline import constants as K
 from lexline.operators import catalog, chat, chunking, generate, lineage, parse, publish, scripts, spans
+from lexline.operators.ordered import merge_spans
+from lexline.session import durable
 
 Keep = Callable[[DataFrame], DataFrame]
 
 
-def _as_is(df: DataFrame) -> DataFrame:
-    return df
-
-
 def discover_glossary(
     labels: DataFrame,
     generator: generate.Generator = generate.glossary_generator,
     *,
-    keep: Keep = _as_is,
+    keep: Keep = durable,
     num_partitions: int | None = None,
 ) -> dict[str, DataFrame]:
     """Labelled columns to glossary rows: overview, chunks, generation, parse."""
@@ -71,7 +68,7 @@ def define_glossary(
     *,
     chunk_size: int = 1,
     batch_size: int = 1,
-    keep: Keep = _as_is,
+    keep: Keep = durable,
     num_partitions: int | None = None,
 ) -> dict[str, DataFrame]:
     """Schema sheet to glossary rows and the spans of merged descriptions."""
@@ -87,7 +84,7 @@ def define_glossary(
     return {
         "texts": texts,
         "glossary": rows,
-        "spans": spans.glossary_spans(rows, row_no="pos"),
+        "spans": spans.glossary_spans(rows, row_no="pos", bounded=True),
     }
 
 
@@ -95,7 +92,7 @@ def script_lineage(
     corpus: DataFrame,
     generator: generate.Generator = generate.script_generator,
     *,
-    keep: Keep = _as_is,
+    keep: Keep = durable,
     num_partitions: int | None = None,
 ) -> dict[str, DataFrame]:
     """Scripts to documentation rows, spans, edges, nodes and diagram lines."""
@@ -108,9 +105,11 @@ def script_lineage(
         )
     )
     usable = texts.where(F.col("error").isNull()).select("script_id", "text")
-    columns = list(K.LINEAGE_COLUMNS)
-    filled = parse.fill_same_as_above(
-        parse.lineage_parse(usable), ["script_id"], "row_no", columns, dense=True
+    # The rows of a script come from one generated text.
+    filled = keep(
+        parse.fill_same_as_above(
+            parse.lineage_parse(usable), ["script_id"], "row_no", list(K.LINEAGE_COLUMNS), bounded=True
+        )
     )
     ctes = (
         scripts.script_table_refs(corpus).where(F.col("role") == "cte").select("script_id", "name")
@@ -118,12 +117,20 @@ def script_lineage(
     return {
         "texts": texts,
         "documentation": filled,
-        "edges": lineage.lineage_edges(filled),
-        "nodes": lineage.lineage_nodes(filled, ctes),
-        "diagram": lineage.dot_text(filled, ctes),
+        "spans": merge_spans(filled, ["script_id"], "row_no", list(K.LINEAGE_COLUMNS), bounded=True),
+        "edges": lineage.lineage_edges(filled, bounded=True),
+        "nodes": lineage.lineage_nodes(filled, ctes, bounded=True),
     }
 
 
+def script_diagram(corpus: DataFrame, documentation: DataFrame) -> DataFrame:
+    """Diagram lines of documented scripts, in ``section, item, line_no`` order per script."""
+    ctes = (
+        scripts.script_table_refs(corpus).where(F.col("role") == "cte").select("script_id", "name")
+    )
+    return lineage.dot_text(documentation, ctes, bounded=True)
+
+
 def publish_terms(glossary: DataFrame, assets: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
     """Glossary rows with ``glossary_guid`` and ``row_no`` to terms and their summary."""
     terms = publish.assign_terms(publish.asset_match(glossary, assets), existing)

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Write ``df`` to reliable storage and read on from there.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Folder for checkpoints: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; ``fallback_dir`` is used
-    only where none is named.
+    A session on one machine that names none gets a new temporary folder; on a cluster that would
+    be lost with its machine, so there the setting is required.
     """
-    spark = df.sparkSession
-    if not checkpoint_dir(spark):
-        if not fallback_dir:
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        spark.sparkContext.setCheckpointDir(fallback_dir)
-    return df.checkpoint(eager=True)
+        named = tempfile.mkdtemp(prefix="lexline-checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to reliable storage and read on from there.
+
+    Results that feed several branches are computed once, and a lost executor costs a read.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

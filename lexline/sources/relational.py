@@ -13,7 +13,6 @@ URLS = {
     "OracleDB": "jdbc:oracle:thin:@//{host}:{port}/{service}",
     "SQLite": "jdbc:sqlite:{database}",
     "PostgreSQL": "jdbc:postgresql://{host}:{port}/{database}",
-    "Derby": "jdbc:derby:{database}",
 }
 DRIVERS = {
     "Microsoft SQL Server": "com.microsoft.sqlserver.jdbc.SQLServerDriver",
@@ -21,7 +20,6 @@ DRIVERS = {
     "OracleDB": "oracle.jdbc.OracleDriver",
     "SQLite": "org.sqlite.JDBC",
     "PostgreSQL": "org.postgresql.Driver",
-    "Derby": "org.apache.derby.jdbc.EmbeddedDriver",
 }
 WINDOWS_LOGIN = "Windows Authentication"
 
@@ -41,7 +39,7 @@ def jdbc_options(config: Mapping[str, str]) -> tuple[dict[str, str] | None, str
     options = {"url": url, "driver": DRIVERS[kind]}
     if kind == "Microsoft SQL Server" and config.get("authentication") == WINDOWS_LOGIN:
         options["url"] += ";integratedSecurity=true"
-    elif kind not in ("SQLite", "Derby"):
+    elif kind != "SQLite":
         options["user"] = config.get("username", "")
         options["password"] = config.get("password", "")
     return options, None
