@@ -10,6 +10,8 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexline.session import spread
+
 _T = "CAST(FLOOR(o_orderkey / 20) AS BIGINT)"
 _CONN = f"CASE WHEN {_T} % 3 = 0 THEN 'conn_0' ELSE 'conn_' || CAST({_T} % 47 AS STRING) END"
 _SCHEMA = (
@@ -249,7 +251,7 @@ def _tables(sql: str) -> list[str]:
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input as a DataFrame over the parquet tables below ``sf_dir``."""
     sql = SQL[name]
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _tables(sql)}
+    tables = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) for t in _tables(sql)}
     return spark.sql(sql, **tables)
 
 

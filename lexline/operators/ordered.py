@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 1_000_000
+LARGE = "_large"
 BLOCK = "_block"
-WHOLE = -1
 
 
 def split_blocks(
@@ -31,21 +31,26 @@ def split_blocks(
     rows_per_block: int = ROWS_PER_BLOCK,
     bounded: bool = False,
 ) -> DataFrame:
-    """Add the block of each row; keys that fit into one block get ``WHOLE``."""
+    """Mark the rows of large keys and give them their block; all other rows are in block 0."""
     if bounded:
-        return df.withColumn(BLOCK, F.lit(WHOLE).cast("long"))
-    block = F.floor(F.col(row_no) / F.lit(rows_per_block)).cast("long")
+        return df.withColumns({LARGE: F.lit(False), BLOCK: F.lit(0).cast("long")})
     # At most (rows / rows_per_block) keys can pass this filter, so the broadcast is bounded.
     large = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > rows_per_block)
-        .select(*keys, F.lit(True).alias("_large"))
+        .select(*keys, F.lit(True).alias("_found"))
     )
     return (
         df.join(F.broadcast(large), list(keys), "left")
-        .withColumn(BLOCK, F.when(F.col("_large"), block).otherwise(F.lit(WHOLE).cast("long")))
-        .drop("_large")
+        .withColumn(LARGE, F.coalesce("_found", F.lit(False)))
+        .withColumn(
+            BLOCK,
+            F.when(F.col(LARGE), F.expr(f"`{row_no}` div {int(rows_per_block)}L")).otherwise(
+                F.lit(0).cast("long")
+            ),
+        )
+        .drop("_found")
     )
 
 
@@ -75,7 +80,7 @@ def scan(
     )
     blocked = split_blocks(work, keys, row_no, rows_per_block, bounded)
 
-    group = [*keys, BLOCK]
+    group = [*keys, LARGE, BLOCK]
     upto = (
         Window.partitionBy(*(keys if bounded else group))
         .orderBy(row_no)
@@ -83,6 +88,7 @@ def scan(
     )
     local = blocked.select(
         *keep,
+        LARGE,
         BLOCK,
         *[F.sum(c).over(upto).alias(c) for c in s_in.values()],
         *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in l_in.values()],
@@ -92,10 +98,10 @@ def scan(
         return local.select(*keep, *outputs)
 
     before = (
-        Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys, LARGE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     )
     summary = (
-        blocked.where(F.col(BLOCK) != WHOLE)
+        blocked.where(F.col(LARGE))
         .groupBy(*group)
         .agg(
             *[F.sum(c).alias(c) for c in s_in.values()],
@@ -157,7 +163,7 @@ def merge_spans(
     compared across blocks.
     """
     blocked = split_blocks(df.select(*keys, row_no, *columns), keys, row_no, rows_per_block, bounded)
-    group = [*keys, BLOCK]
+    group = [*keys, LARGE, BLOCK]
     order = Window.partitionBy(*group).orderBy(row_no)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -206,8 +212,8 @@ def merge_spans(
     out = [*keys, "column_no", "column", "value", "first_row", "last_row", "rows"]
     if bounded:
         return partial.select(*out).where(F.col("rows") >= min_rows)
-    inner_run = (F.col(BLOCK) == WHOLE) | ~(F.col("_head") | F.col("_tail"))
-    inner = partial.where(inner_run).select(*out)
+    at_edge = F.col("_head") | F.col("_tail")
+    inner = partial.where(~F.col(LARGE) | ~at_edge).select(*out)
 
     cell_key = [*keys, "column_no", "column"]
     edge_order = Window.partitionBy(*cell_key).orderBy("first_row")
@@ -217,7 +223,8 @@ def merge_spans(
         & F.lag("value").over(edge_order).eqNullSafe(F.col("value"))
     )
     stitched = (
-        partial.where(~inner_run)
+        partial.where(F.col(LARGE))
+        .where(at_edge)
         .withColumn("_new", F.when(joins_previous, 0).otherwise(1))
         .withColumn(
             "_span",

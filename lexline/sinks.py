@@ -11,7 +11,14 @@ from lexline import constants as K
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
-    rows.write.mode(mode).options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
+    rows.write.mode(mode).options(
+        header="true",
+        quote='"',
+        escape='"',
+        quoteAll="true",
+        ignoreLeadingWhiteSpace="false",
+        ignoreTrailingWhiteSpace="false",
+    ).csv(path)
 
 
 def glossary_frame(glossary: DataFrame, *extra: str) -> DataFrame:

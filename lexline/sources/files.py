@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from lexline import constants as K
 
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+_CSV = {
+    "header": "true",
+    "multiLine": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def schema_sheet(spark: SparkSession, path: str, sheet_id: str = "sheet") -> DataFrame:
