@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexline import constants as K
 from lexline.functions import text as X
+from lexline.operators.joins import salted_join
 
 TABLE_KEY = ["conn_id", "schema_name", "table_name"]
 COLUMN_KEY = [*TABLE_KEY, "column_name"]
@@ -202,8 +203,7 @@ def structure_report(catalogs: DataFrame, schemas: DataFrame) -> DataFrame:
         F.concat(F.lit("\nCatalog: `"), "catalog_name", F.lit("`")).alias("text"),
     )
     lines = (
-        shown.where(~F.col("failed"))
-        .join(schemas, on)
+        salted_join(schemas, shown.where(~F.col("failed")), on, ["schema_no"], "inner")
         .select(
             "conn_id",
             F.col("catalog_no").cast("long"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexline import constants as K
 from lexline.functions import text as X
+from lexline.operators.joins import salted_join
 from lexline.operators.ordered import ROWS_PER_BLOCK, number_rows, scan
 from lexline.session import durable
 
@@ -24,7 +25,7 @@ TABLES_PER_BLOCK = 256
 
 
 def sheet_tables(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Tables with first row, column count and number within their schema (from 1).
+    """Tables with first row, column count, number within their schema (from 1), schema's first row.
 
     One row per table of the sheet, made durable as numbering reads it several times.
     """
@@ -33,7 +34,14 @@ def sheet_tables(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> Data
             F.min("row_no").alias("table_row"), F.count(F.lit(1)).alias("n_columns")
         )
     )
-    return number_rows(tables, SCHEMA_KEY, "table_row", "table_no", rows_per_block=rows_per_block)
+    return scan(
+        tables,
+        SCHEMA_KEY,
+        "table_row",
+        sums={"table_no": F.lit(1).cast("long")},
+        mins={"schema_row": F.col("table_row")},
+        rows_per_block=rows_per_block,
+    )
 
 
 def column_lines(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -61,20 +69,23 @@ def schema_text(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
     Order by ``schema_row, table_no, line_no`` to read the text. ``text`` ends with a comma on all
     lines of a table but its last.
     """
-    tables = sheet_tables(sheet, rows_per_block)
-    schemas = tables.groupBy(*SCHEMA_KEY).agg(F.min("table_row").alias("schema_row"))
     last_line = F.floor((F.col("n_columns") - F.lit(1)) / F.lit(K.COLUMNS_PER_LINE))
-    return (
-        column_lines(sheet, rows_per_block)
-        .join(tables, TABLE_KEY)
-        .join(schemas, SCHEMA_KEY)
-        .select(
-            *TABLE_KEY,
-            "schema_row",
-            "table_no",
-            "line_no",
-            F.concat("columns", F.when(F.col("line_no") < last_line, ",").otherwise("")).alias("text"),
-        )
+    tables = durable(sheet_tables(sheet, rows_per_block))
+    placed = salted_join(
+        column_lines(sheet, rows_per_block),
+        tables,
+        TABLE_KEY,
+        ["line_no"],
+        "inner",
+        rows_per_block,
+        counts=tables.select(*TABLE_KEY, (last_line + F.lit(1)).alias("n")),
+    )
+    return placed.select(
+        *TABLE_KEY,
+        "schema_row",
+        "table_no",
+        "line_no",
+        F.concat("columns", F.when(F.col("line_no") < last_line, ",").otherwise("")).alias("text"),
     )
 
 
@@ -140,7 +151,6 @@ def _held_after(held: Column, n: Column, chunk_size: int) -> Column:
 def chunk_numbers(
     tables: DataFrame,
     chunk_size: int = 1,
-    rows_per_block: int = ROWS_PER_BLOCK,
     tables_per_block: int = TABLES_PER_BLOCK,
 ) -> DataFrame:
     """Number the chunk of each table within its schema, from 0.
@@ -241,7 +251,7 @@ def schema_batches(
     slice that the schema's name stands before.
     """
     tables = durable(sheet_tables(sheet, rows_per_block))
-    numbered = durable(chunk_numbers(tables, chunk_size, rows_per_block))
+    numbered = durable(chunk_numbers(tables, chunk_size))
     schemas = durable(
         tables.groupBy(*SCHEMA_KEY)
         .agg(F.min("table_row").alias("schema_row"))
@@ -257,21 +267,25 @@ def schema_batches(
         sums={"_upto": F.col("n_chunks")},
         rows_per_block=rows_per_block,
     ).select(*SCHEMA_KEY, (F.col("_upto") - F.col("n_chunks")).alias("_first"))
-    placed = numbered.join(offsets, SCHEMA_KEY).select(
-        *TABLE_KEY, "table_no", (F.col("_first") + F.col("schema_chunk")).alias("chunk_no")
-    )
-    return (
-        table_slices(sheet, rows_per_block)
-        .join(placed, TABLE_KEY)
-        .select(
-            *TABLE_KEY,
-            F.floor(F.col("chunk_no") / F.lit(batch_size)).cast("long").alias("batch_no"),
-            "chunk_no",
-            "table_no",
-            "slice_no",
-            ((F.col("table_no") == 1) & (F.col("slice_no") == 0)).alias("schema_header"),
-            "text",
-        )
+    placed = salted_join(
+        numbered, offsets, SCHEMA_KEY, ["table_no"], "inner", rows_per_block
+    ).select(*TABLE_KEY, "table_no", (F.col("_first") + F.col("schema_chunk")).alias("chunk_no"))
+    return salted_join(
+        table_slices(sheet, rows_per_block),
+        placed,
+        TABLE_KEY,
+        ["slice_no"],
+        "inner",
+        rows_per_block,
+        counts=numbered.select(*TABLE_KEY, F.col("n_slices").alias("n")),
+    ).select(
+        *TABLE_KEY,
+        F.floor(F.col("chunk_no") / F.lit(batch_size)).cast("long").alias("batch_no"),
+        "chunk_no",
+        "table_no",
+        "slice_no",
+        ((F.col("table_no") == 1) & (F.col("slice_no") == 0)).alias("schema_header"),
+        "text",
     )
 
 
@@ -324,10 +338,14 @@ def drop_leading_rows(
     ``used_tokens`` is the total of each key. Below 6,000 tokens left, one row per 100 tokens short
     of the reserve is dropped from the front, unless that would leave none.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     numbered = number_rows(rows, keys, row_no, "_idx", rows_per_block=rows_per_block)
     used = F.col(used_tokens)
     low = F.lit(K.DIAGRAM_TOKENS) - used < K.DIAGRAM_LOW_WATER
     short = ((F.lit(K.DIAGRAM_RESERVE_TOKENS) - used) / F.lit(100)).cast("long")
-    drop = F.when(low & (F.col("_n") > short), short).otherwise(F.lit(0))
-    return numbered.join(sizes, list(keys)).where(F.col("_idx") > drop).drop("_idx", "_n")
+    drop = F.when(low & (F.col("n") > short), short).otherwise(F.lit(0))
+    return (
+        salted_join(numbered, sizes, keys, [row_no], "inner", rows_per_block, counts=sizes)
+        .where(F.col("_idx") > drop)
+        .drop("_idx", "n")
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexline import constants as K
 from lexline.functions import text as X
+from lexline.operators.joins import salted_join
 from lexline.operators.ordered import ROWS_PER_BLOCK, number_rows
 from lexline.session import durable
 
@@ -74,6 +75,21 @@ def _sources(filled: DataFrame) -> DataFrame:
     )
 
 
+def _joined(
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    spread: list[str],
+    how: str,
+    rows_per_block: int,
+    bounded: bool,
+) -> DataFrame:
+    """Join within a script; without a bound on its rows no key may go to one task."""
+    if bounded:
+        return rows.join(lookup, on, how)
+    return salted_join(rows, lookup, on, spread, how, rows_per_block)
+
+
 def _numbered(first: DataFrame, out: str, rows_per_block: int, bounded: bool) -> DataFrame:
     """Number the items of each script by their first row."""
     if bounded:
@@ -96,11 +112,13 @@ def lineage_edges(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, bound
     edges = _sources(filled).groupBy(KEY, "src", "dst", "purpose").agg(
         (~F.max("from_join")).alias("filter_only"), F.min("row_no").alias("first_row")
     )
+    if not bounded:
+        edges = durable(edges)
     legend = purpose_legend(filled, rows_per_block, bounded).select(KEY, "purpose", "purpose_no")
     inner = edges.select(KEY, F.col("src").alias("dst")).distinct().withColumn("_inner", F.lit(True))
+    numbered = _joined(edges, legend, [KEY, "purpose"], ["src", "dst"], "left", rows_per_block, bounded)
     return (
-        edges.join(legend, [KEY, "purpose"], "left")
-        .join(inner, [KEY, "dst"], "left")
+        _joined(numbered, inner, [KEY, "dst"], ["src", "purpose"], "left", rows_per_block, bounded)
         .select(
             KEY,
             "src",
@@ -125,11 +143,11 @@ def layer_alignment(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, bou
         rows_per_block,
         bounded,
     ).select(KEY, "layer", "layer_no")
-    return (
-        rows.groupBy(KEY, "name")
-        .agg(F.min_by("layer", "row_no").alias("layer"))
-        .join(layers, [KEY, "layer"])
-        .select(KEY, "name", "layer", "layer_no")
+    first = rows.groupBy(KEY, "name").agg(F.min_by("layer", "row_no").alias("layer"))
+    if not bounded:
+        first = durable(first)
+    return _joined(first, layers, [KEY, "layer"], ["name"], "inner", rows_per_block, bounded).select(
+        KEY, "name", "layer", "layer_no"
     )
 
 

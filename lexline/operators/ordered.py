@@ -60,22 +60,25 @@ def scan(
     row_no: str,
     *,
     sums: Mapping[str, Column] | None = None,
+    mins: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
     bounded: bool = False,
 ) -> DataFrame:
-    """Add running sums and last non-null values per key, up to and with each row.
+    """Add running sums, minima and last non-null values per key, up to and with each row.
 
-    ``sums`` and ``lasts`` map output names to expressions over ``df``; an output may replace a
-    column of ``df``.
+    ``sums``, ``mins`` and ``lasts`` map output names to expressions over ``df``; an output may
+    replace a column of ``df``.
     """
-    sums, lasts = dict(sums or {}), dict(lasts or {})
-    keep = [c for c in df.columns if c not in sums and c not in lasts]
+    sums, mins, lasts = dict(sums or {}), dict(mins or {}), dict(lasts or {})
+    keep = [c for c in df.columns if c not in {*sums, *mins, *lasts}]
     s_in = {name: f"_s{i}" for i, name in enumerate(sums)}
+    m_in = {name: f"_m{i}" for i, name in enumerate(mins)}
     l_in = {name: f"_l{i}" for i, name in enumerate(lasts)}
     work = df.select(
         *keep,
         *[F.coalesce(e, F.lit(0)).alias(s_in[n]) for n, e in sums.items()],
+        *[e.alias(m_in[n]) for n, e in mins.items()],
         *[e.alias(l_in[n]) for n, e in lasts.items()],
     )
     blocked = split_blocks(work, keys, row_no, rows_per_block, bounded)
@@ -91,11 +94,12 @@ def scan(
         LARGE,
         BLOCK,
         *[F.sum(c).over(upto).alias(c) for c in s_in.values()],
+        *[F.min(c).over(upto).alias(c) for c in m_in.values()],
         *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in l_in.values()],
     )
     if bounded:
-        outputs = [F.col(c).alias(n) for n, c in [*s_in.items(), *l_in.items()]]
-        return local.select(*keep, *outputs)
+        outputs = {**s_in, **m_in, **l_in}
+        return local.select(*keep, *[F.col(c).alias(n) for n, c in outputs.items()])
 
     before = (
         Window.partitionBy(*keys, LARGE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -105,6 +109,7 @@ def scan(
         .groupBy(*group)
         .agg(
             *[F.sum(c).alias(c) for c in s_in.values()],
+            *[F.min(c).alias(c) for c in m_in.values()],
             *[
                 F.max_by(c, F.when(F.col(c).isNotNull(), F.col(row_no))).alias(c)
                 for c in l_in.values()
@@ -114,6 +119,7 @@ def scan(
     carry = summary.select(
         *group,
         *[F.sum(c).over(before).alias(c + "_carry") for c in s_in.values()],
+        *[F.min(c).over(before).alias(c + "_carry") for c in m_in.values()],
         *[F.last(c, ignorenulls=True).over(before).alias(c + "_carry") for c in l_in.values()],
     )
 
@@ -123,6 +129,7 @@ def scan(
             (F.col(c) + F.coalesce(F.col(c + "_carry"), F.lit(0))).alias(n)
             for n, c in s_in.items()
         ],
+        *[F.least(c, c + "_carry").alias(n) for n, c in m_in.items()],
         *[F.coalesce(F.col(c), F.col(c + "_carry")).alias(n) for n, c in l_in.items()],
     )
 

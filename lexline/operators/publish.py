@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexline import constants as K
 from lexline.functions import text as X
+from lexline.operators.joins import salted_join
+from lexline.operators.ordered import ROWS_PER_BLOCK
+from lexline.session import durable
 
 
 def _quoted_name(*parts: Column) -> Column:
@@ -69,23 +73,59 @@ def comment_ddl(glossary: DataFrame, catalog: str | None, schemas: Sequence[str]
     return tables.unionByName(columns)
 
 
-def apply_comments(spark: SparkSession, ddl: DataFrame) -> DataFrame:
-    """Run comment statements one by one and return ``level, fq_table, column_name, error``.
+_STATUS = "level string, fq_table string, column_name string, error string"
 
-    A sink: statements are commands of the session, so they are streamed to the driver a partition
-    at a time. Failures are collected and the rest goes on.
+
+def _outcome(execute: Callable[[str], object], ddl: str) -> str | None:
+    """Error text of a statement, null when it ran."""
+    try:
+        execute(ddl)
+        return None
+    except Exception as e:  # reported in the result, as the next statements still run
+        return (str(e).splitlines() or [type(e).__name__])[0]
+
+
+def apply_comments(
+    ddl: DataFrame, connect: Callable[[], Callable[[str], object]], num_connections: int | None = None
+) -> DataFrame:
+    """Run comment statements on a server and return ``level, fq_table, column_name, error``.
+
+    ``connect`` is called once per partition and gives a function that runs one statement. Setting
+    a comment again changes nothing, so a task that is run twice does no harm.
     """
-    results = []
-    for row in ddl.orderBy("row_no", F.col("level").desc()).toLocalIterator():
-        try:
-            spark.sql(row["ddl"])
-            error = None
-        except Exception as e:  # reported in the result, as the next statements still run
-            error = str(e).splitlines()[0]
-        results.append((row["level"], row["fq_table"], row["column_name"], error))
-    return spark.createDataFrame(
-        results, "level string, fq_table string, column_name string, error string"
-    )
+    if num_connections:
+        ddl = ddl.repartition(num_connections, "fq_table", "row_no")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        execute = None
+        for pdf in batches:
+            execute = execute or connect()
+            errors = [_outcome(execute, statement) for statement in pdf["ddl"]]
+            yield pdf[["level", "fq_table", "column_name"]].assign(error=errors)
+
+    return ddl.mapInPandas(run, _STATUS)
+
+
+def apply_in_session(
+    spark: SparkSession, ddl: DataFrame, path: str, rows_per_write: int = 10_000
+) -> DataFrame:
+    """Run comment statements on the session's own catalog, whose commands run on the driver.
+
+    Statements come to the driver a partition at a time and outcomes are written to ``path`` in
+    pieces, so neither is held as a whole.
+    """
+    held = []
+
+    def flush() -> None:
+        spark.createDataFrame(held, _STATUS).write.mode("append").parquet(path)
+        held.clear()
+
+    for row in ddl.toLocalIterator():
+        held.append((row["level"], row["fq_table"], row["column_name"], _outcome(spark.sql, row["ddl"])))
+        if len(held) == rows_per_write:
+            flush()
+    flush()
+    return spark.read.parquet(path)
 
 
 def publish_summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -117,16 +157,20 @@ def asset_lookup(assets: DataFrame) -> DataFrame:
     )
 
 
-def asset_match(glossary: DataFrame, assets: DataFrame) -> DataFrame:
+def asset_match(
+    glossary: DataFrame,
+    assets: DataFrame,
+    spread: Sequence[str] = ("row_no",),
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
     """Add ``table_guid`` of the asset each row's table names, null when there is none.
 
-    The lookup is as large as the asset list and is left to the size-based choice of join.
+    ``spread`` are columns that tell the rows of a table apart, as one table may have most rows.
     """
-    return (
-        glossary.withColumn("norm_name", X.normalize_name(F.col("table_name")))
-        .join(asset_lookup(assets), "norm_name", "left")
-        .drop("norm_name")
-    )
+    named = glossary.withColumn("norm_name", X.normalize_name(F.col("table_name")))
+    return salted_join(
+        named, asset_lookup(assets), ["norm_name"], spread, "left", rows_per_block
+    ).drop("norm_name")
 
 
 def assign_terms(matched: DataFrame, existing: DataFrame, keys: Sequence[str] = ("glossary_guid",)) -> DataFrame:
@@ -155,8 +199,11 @@ def assign_terms(matched: DataFrame, existing: DataFrame, keys: Sequence[str] =
             .join(taken, [*key, "name"], "left_anti")
         )
 
-    known = rows.where(F.col("table_guid").isNotNull()).select(*key, "row_no", "_base", "_prefixed")
-    first = winners(known, "_base", taken)
+    # Narrow and read three times: cheaper to write once than to match the assets again.
+    known = durable(
+        rows.where(F.col("table_guid").isNotNull()).select(*key, "row_no", "_base", "_prefixed")
+    )
+    first = durable(winners(known, "_base", taken))
     rest = known.join(first.select(*key, "row_no"), [*key, "row_no"], "left_anti")
     second = winners(rest, "_prefixed", taken.unionByName(first.select(*key, "name")))
     named = first.unionByName(second)

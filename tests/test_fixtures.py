@@ -195,7 +195,7 @@ def test_f6_asset_match(spark):
         [('.Sales."Orders"', "g1", 1), ("customers", "g2", 2), ("CUSTOMERS", "g3", 3)],
         "name string, guid string, pos int",
     )
-    rows = spark.createDataFrame([(" Customers ",), ("sales.orders",), ("none",)], "table_name string")
+    rows = spark.createDataFrame([(1, " Customers "), (2, "sales.orders"), (3, "none")], "row_no long, table_name string")
     got = dict(values(publish.asset_match(rows, listed), "table_name", "table_guid"))
     assert got == {" Customers ": "g3", "sales.orders": "g1", "none": None}
 

@@ -1,6 +1,9 @@
 """Sources, sinks and their round trips, and the stream."""
 
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lexline import constants as K
@@ -12,6 +15,8 @@ from lexline.streaming import fold
 
 from test_fixtures import EVENTS
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def rows(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()), key=str)
@@ -101,7 +106,7 @@ def test_texts_parse_back(spark):
     assert rows(parse.glossary_parse(texts), "doc_id", *names) == rows(df, "doc_id", *names)
 
 
-def test_session_catalog_and_comments(spark):
+def test_session_catalog_and_comments(spark, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS shop")
     spark.sql("DROP TABLE IF EXISTS shop.orders")
     spark.sql("CREATE TABLE shop.orders (id BIGINT NOT NULL, note STRING) USING parquet")
@@ -119,7 +124,8 @@ def test_session_catalog_and_comments(spark):
             ],
             "row_no long, table_name string, table_description string, column_name string, definition string",
         )
-        done = publish.apply_comments(spark, publish.comment_ddl(glossary, "spark_catalog", ["shop"]))
+        ddl = publish.comment_ddl(glossary, "spark_catalog", ["shop"])
+        done = publish.apply_in_session(spark, ddl, str(tmp_path / "status"), rows_per_write=2)
         assert rows(publish.publish_summary(done), "succeeded", "failed") == [(2, 3)]
         assert publish.failure_lines(done).count() == 3
         described = {r.col_name: r.comment for r in spark.sql("DESCRIBE shop.orders").collect()}
@@ -130,6 +136,27 @@ def test_session_catalog_and_comments(spark):
         spark.sql("DROP DATABASE shop CASCADE")
 
 
+def connect():
+    def execute(statement):
+        if "`bad`" in statement:
+            raise RuntimeError("no such column\nmore")
+
+    return execute
+
+
+def test_comments_on_a_server(spark):
+    glossary = spark.createDataFrame(
+        [(1, "s.t", "d", "id", "x"), (2, "s.t", "d", "bad", "y")],
+        "row_no long, table_name string, table_description string, column_name string, definition string",
+    )
+    done = publish.apply_comments(publish.comment_ddl(glossary, None, ["s"]), connect, num_connections=2)
+    assert rows(done, "level", "column_name", "error") == [
+        ("COLUMN", "bad", "no such column"),
+        ("COLUMN", "id", None),
+        ("TABLE", None, None),
+    ]
+
+
 def test_asset_list_cap(spark):
     df = spark.createDataFrame(
         [(f"g{i:03d}", f"n{i}", "azure_sql_table" if i % 2 else "other") for i in range(200)],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexline.operators import ordered
 from lexline.operators.chunking import token_budget
+from lexline.operators.joins import salted_join
 
 
 def skewed(seed, n=400, step=1):
@@ -42,17 +43,18 @@ def test_scan(spark, seed, block, step):
         ["k"],
         "row_no",
         sums={"total": F.col("n"), "idx": F.lit(1)},
+        mins={"least": F.col("n")},
         lasts={"a": F.col("a"), "b": F.col("b")},
         rows_per_block=block,
     ).collect()
     want = {}
     for k, group in by_key(rows).items():
-        total, a, b = 0, None, None
+        total, a, b, least = 0, None, None, 10
         for i, r in enumerate(group, start=1):
-            total += r[4]
+            total, least = total + r[4], min(least, r[4])
             a, b = (r[2] or a), (r[3] or b)
-            want[k, r[1]] = (total, i, a, b)
-    assert {(r.k, r.row_no): (r.total, r.idx, r.a, r.b) for r in got} == want
+            want[k, r[1]] = (total, i, a, b, least)
+    assert {(r.k, r.row_no): (r.total, r.idx, r.a, r.b, r.least) for r in got} == want
 
 
 def spans_of(rows, col):
@@ -123,3 +125,12 @@ def test_token_budget(spark):
     df = spark.createDataFrame(rows, "s string, i long, text string")
     got = token_budget(df, ["s"], "i", "text", budget=42, rows_per_block=4).collect()
     assert sorted((r.s, r.i) for r in got) == [("s", i) for i in range(9)] + [("t", i) for i in range(3)]
+
+
+@pytest.mark.parametrize("how,per_salt", [("left", 3), ("inner", 10), ("left", 100_000)])
+def test_salted_join(spark, how, per_salt):
+    df = spark.createDataFrame(skewed(5), SCHEMA)
+    lookup = spark.createDataFrame([(0, "zero"), (1, "one"), (1, "uno"), (9, "nine")], "k int, word string")
+    got = salted_join(df, lookup, ["k"], ["row_no"], how, per_salt)
+    want = df.join(lookup, "k", how)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
