@@ -103,7 +103,8 @@ _KEYS_SQL = """
              CASE constraint_type WHEN 'PRIMARY KEY' THEN 'PK' WHEN 'FOREIGN KEY' THEN 'FK' ELSE 'UNIQUE' END AS kind,
              column_name, ref_table, ref_column
       FROM table_constraints tc JOIN key_usage ku
-        ON tc.conn_id = ku.conn_id AND tc.schema_name = ku.schema_name AND tc.constraint_name = ku.constraint_name
+        ON tc.conn_id = ku.conn_id AND tc.schema_name = ku.schema_name AND tc.table_name = ku.table_name
+          AND tc.constraint_name = ku.constraint_name
       WHERE constraint_type IN ('PRIMARY KEY', 'FOREIGN KEY', 'UNIQUE'))"""
 _LABELS_SQL = (
     _KEYS_SQL
@@ -648,8 +649,9 @@ _EDGES_SQL = (
 
 
 def _filled(load: Load) -> DataFrame:
-    columns = list(K.LINEAGE_COLUMNS)
-    return durable(parse.fill_same_as_above(load("doc_rows"), ["script_id"], "row_no", columns))
+    rows = lineage.diagram_rows(load("doc_rows"))
+    columns = [c for c in rows.columns if c in K.LINEAGE_COLUMNS]
+    return durable(parse.fill_same_as_above(rows, ["script_id"], "row_no", columns))
 
 
 @query(needs=("doc_rows",), sql=_filled_sql("doc_rows") + " SELECT * FROM filled")
@@ -692,7 +694,65 @@ def node_columns(load):
     return lineage.node_columns(_filled(load))
 
 
-@query()
+_ESCAPED = "replace(replace({}, '\\', '\\\\'), '\"', '\\\"')"
+
+
+def _dot_sql() -> str:
+    def case(i: int) -> str:
+        return " ".join(f"WHEN '{k}' THEN '{c[i]}'" for k, c in K.NODE_COLOURS.items())
+
+    titles = [
+        ("Source Table", "source"),
+        ("Temp Tables, Cursors, Functions", "temp"),
+        ("CTE", "cte"),
+        ("Final Table/Report", "final"),
+    ]
+    kinds = [
+        ("Data flow (source tables, temporary tables, CTEs)", K.EDGE_COLOUR, "solid"),
+        ("Data flow to final report (aggregation)", K.FINAL_EDGE_COLOUR, "solid"),
+        ("Filters only (dashed)", K.EDGE_COLOUR, "dashed"),
+    ]
+    fixed = [(0, "", "digraph lineage {"), (9, "", "}")]
+    for i, (title, kind) in enumerate(titles):
+        fill, border = K.NODE_COLOURS[kind]
+        fixed.append(
+            (1, i, f'  "legend {title}" [label="{title}", shape=box, style=filled, fillcolor="{fill}", color="{border}"];')
+        )
+    for i, (title, colour, style) in enumerate(kinds):
+        fixed.append((2, i, f'  "edge {i} from" -> "edge {i} to" [label="{title}", color="{colour}", style={style}];'))
+    values = ", ".join(f"({s}, '{i}', {_literal(t)})" for s, i, t in fixed)
+    name, purpose, column = (_ESCAPED.format(c) for c in ("name", "purpose", "column_name"))
+    pad = "lpad(CAST({} AS VARCHAR), 20, '0')"
+    return (
+        _EDGES_SQL
+        + f""",
+    cols AS (SELECT script_id, name, column_name, min(row_no) AS first_row FROM named
+             WHERE name NOT IN ('', 'N/A', 'S/B') AND column_name NOT IN ('', 'N/A', 'S/B') GROUP BY ALL),
+    shown AS (SELECT * FROM nodes WHERE layer IS NOT NULL AND layer <> 'N/A'),
+    shown_layers AS (SELECT DISTINCT script_id, layer, layer_no FROM shown)
+    SELECT script_id, CAST(section AS INTEGER) AS section, item, CAST(0 AS BIGINT) AS line_no, text
+      FROM (SELECT DISTINCT script_id FROM nodes), (VALUES {values}) v(section, item, text)
+    UNION ALL SELECT script_id, 3, {pad.format('purpose_no')}, 0, '  "purpose ' || purpose_no
+      || '" [shape=plaintext, label="' || purpose_no || '. ' || {purpose} || '"];' FROM legend
+    UNION ALL SELECT script_id, 4, name, -1, '  "' || {name} || '" [shape=box, style="rounded, filled", fontname="Arial", '
+      || 'fillcolor="' || CASE kind {case(0)} END || '", color="' || CASE kind {case(1)} END || '", label="' || {name}
+      || ' \\' FROM nodes
+    UNION ALL SELECT script_id, 4, name, first_row, '\\n- ' || {column} || '\\' FROM cols
+    UNION ALL SELECT script_id, 4, name, 4611686018427387904, '"];' FROM nodes
+    UNION ALL SELECT script_id, 5, src || chr(9) || dst, coalesce(purpose_no, 0), '  "' || {_ESCAPED.format('src')}
+      || '" -> "' || {_ESCAPED.format('dst')} || '" [label="' || coalesce(CAST(purpose_no AS VARCHAR), '') || '", color="'
+      || CASE WHEN to_final THEN '{K.FINAL_EDGE_COLOUR}' ELSE '{K.EDGE_COLOUR}' END
+      || CASE WHEN filter_only THEN '", style=dashed];' ELSE '"];' END FROM edges
+    UNION ALL SELECT script_id, 6, {pad.format('layer_no')}, -1, '  label' || layer_no || ' [shape=box, style=filled, '
+      || 'fillcolor=yellow, fontcolor=black, fontsize=12, label="' || {_ESCAPED.format('layer')} || '"];' FROM shown_layers
+    UNION ALL SELECT script_id, 7, {pad.format('layer_no')} || chr(9) || name, 0, '  {{ rank=same; label' || layer_no
+      || '; "' || {name} || '" }}' FROM shown
+    UNION ALL SELECT script_id, 8, {pad.format('layer_no')}, 0, '  label' || (layer_no - 1) || ' -> label' || layer_no
+      || ' [style=invis];' FROM shown_layers WHERE layer_no > 1"""
+    )
+
+
+@query(needs=("doc_rows",), sql=_dot_sql())
 def dot_text(load):
     return lineage.dot_text(_filled(load))
 

@@ -52,10 +52,10 @@ def catalog_columns(dictionary: DataFrame, with_defaults: bool = True) -> DataFr
 def catalog_constraints(table_constraints: DataFrame, key_usage: DataFrame) -> DataFrame:
     """Key rows from the two constraint views of a server.
 
-    The join key has connection and schema besides the constraint name, as names repeat across
-    schemas. Foreign keys without a known target keep a null target.
+    The join key has connection, schema and table besides the constraint name, as names repeat
+    across them. Foreign keys without a known target keep a null target.
     """
-    on = ["conn_id", "schema_name", "constraint_name"]
+    on = [*TABLE_KEY, "constraint_name"]
     kind = (
         F.when(F.col("constraint_type") == "PRIMARY KEY", "PK")
         .when(F.col("constraint_type") == "FOREIGN KEY", "FK")
@@ -64,7 +64,7 @@ def catalog_constraints(table_constraints: DataFrame, key_usage: DataFrame) -> D
     named = (
         table_constraints.withColumn("kind", kind)
         .where(F.col("kind").isNotNull())
-        .select(*on, "table_name", "kind", "ref_table", "ref_column")
+        .select(*on, "kind", "ref_table", "ref_column")
     )
     return named.join(key_usage.select(*on, "column_name"), on).select(
         *TABLE_KEY, "constraint_name", "kind", "column_name", "ref_table", "ref_column"

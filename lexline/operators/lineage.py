@@ -107,14 +107,24 @@ def purpose_legend(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, boun
     return _numbered(first, "purpose_no", rows_per_block, bounded)
 
 
-def lineage_edges(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, bounded: bool = False) -> DataFrame:
-    """Unique table-level edges per purpose: number, filter-only mark and to-final mark."""
+def lineage_edges(
+    filled: DataFrame,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    bounded: bool = False,
+    legend: DataFrame | None = None,
+) -> DataFrame:
+    """Unique table-level edges per purpose: number, filter-only mark and to-final mark.
+
+    ``legend`` is the result of ``purpose_legend`` where it is at hand.
+    """
     edges = _sources(filled).groupBy(KEY, "src", "dst", "purpose").agg(
         (~F.max("from_join")).alias("filter_only"), F.min("row_no").alias("first_row")
     )
     if not bounded:
         edges = durable(edges)
-    legend = purpose_legend(filled, rows_per_block, bounded).select(KEY, "purpose", "purpose_no")
+    if legend is None:
+        legend = purpose_legend(filled, rows_per_block, bounded)
+    legend = legend.select(KEY, "purpose", "purpose_no")
     inner = edges.select(KEY, F.col("src").alias("dst")).distinct().withColumn("_inner", F.lit(True))
     numbered = _joined(edges, legend, [KEY, "purpose"], ["src", "dst"], "left", rows_per_block, bounded)
     return (
@@ -229,9 +239,11 @@ def dot_text(
     string, so no label is ever held as one value.
     """
     nodes = durable(lineage_nodes(filled, ctes, rows_per_block, bounded))
-    edges = lineage_edges(filled, rows_per_block, bounded)
-    columns = node_columns(filled)
     legend = purpose_legend(filled, rows_per_block, bounded)
+    if not bounded:
+        legend = durable(legend)
+    edges = lineage_edges(filled, rows_per_block, bounded, legend)
+    columns = node_columns(filled)
     scripts = nodes.select(KEY).distinct()
 
     def rows(df: DataFrame, section: int, item: Column, line_no: Column, text: Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # URL form and driver class by kind of server.
 URLS = {
@@ -73,30 +74,104 @@ def jdbc_scan(
     return reader.load()
 
 
-# The dictionary views most servers share.
-COLUMNS_VIEW = (
-    "(SELECT table_schema AS schema_name, table_name, ordinal_position AS pos, column_name, "
-    "data_type, is_nullable, column_default FROM information_schema.columns) dictionary"
+# Queries on the dictionary views of each kind of server. Columns give schema_name,
+# table_name, pos, column_name, data_type, is_nullable, column_default; constraints give
+# schema_name, table_name, constraint_name, constraint_type and the first referred column; key usage
+# gives the columns of each constraint.
+_COLUMNS = (
+    "SELECT table_schema AS schema_name, table_name, ordinal_position AS pos, column_name, data_type, "
+    "is_nullable, column_default FROM information_schema.columns"
 )
-CONSTRAINTS_VIEW = (
-    "(SELECT table_schema AS schema_name, table_name, constraint_name, constraint_type "
-    "FROM information_schema.table_constraints) constraints_view"
+_KEY_USAGE = (
+    "SELECT table_schema AS schema_name, table_name, constraint_name, column_name "
+    "FROM information_schema.key_column_usage"
 )
-KEY_USAGE_VIEW = (
-    "(SELECT table_schema AS schema_name, table_name, constraint_name, column_name, "
-    "ordinal_position FROM information_schema.key_column_usage) key_usage"
+_CONSTRAINTS = (
+    "SELECT tc.table_schema AS schema_name, tc.table_name, tc.constraint_name, tc.constraint_type, "
+    "ref.table_name AS ref_table, ref.column_name AS ref_column "
+    "FROM information_schema.table_constraints tc "
+    "LEFT JOIN information_schema.referential_constraints rc "
+    "ON rc.constraint_schema = tc.constraint_schema AND rc.constraint_name = tc.constraint_name "
+    "LEFT JOIN information_schema.key_column_usage ref "
+    "ON ref.constraint_schema = rc.unique_constraint_schema "
+    "AND ref.constraint_name = rc.unique_constraint_name AND ref.ordinal_position = 1"
 )
+_SQL_SERVER_UNIQUE = (
+    "FROM sys.indexes i JOIN sys.objects o ON o.object_id = i.object_id "
+    "JOIN sys.schemas s ON s.schema_id = o.schema_id"
+)
+DICTIONARY = {
+    "PostgreSQL": (_COLUMNS, _CONSTRAINTS, _KEY_USAGE),
+    "MySQL": (
+        _COLUMNS,
+        "SELECT tc.table_schema AS schema_name, tc.table_name, tc.constraint_name, tc.constraint_type, "
+        "ref.referenced_table_name AS ref_table, ref.referenced_column_name AS ref_column "
+        "FROM information_schema.table_constraints tc LEFT JOIN information_schema.key_column_usage ref "
+        "ON ref.table_schema = tc.table_schema AND ref.table_name = tc.table_name "
+        "AND ref.constraint_name = tc.constraint_name AND ref.ordinal_position = 1",
+        _KEY_USAGE,
+    ),
+    # Unique columns of this kind are those of its unique indexes.
+    "Microsoft SQL Server": (
+        _COLUMNS,
+        _CONSTRAINTS + " WHERE tc.constraint_type IN ('PRIMARY KEY', 'FOREIGN KEY') "
+        "UNION ALL SELECT s.name, o.name, i.name, 'UNIQUE', NULL, NULL " + _SQL_SERVER_UNIQUE
+        + " WHERE i.is_unique = 1 AND i.is_primary_key = 0",
+        "SELECT k.table_schema AS schema_name, k.table_name, k.constraint_name, k.column_name "
+        "FROM information_schema.key_column_usage k JOIN information_schema.table_constraints tc "
+        "ON tc.table_schema = k.table_schema AND tc.constraint_name = k.constraint_name "
+        "WHERE tc.constraint_type IN ('PRIMARY KEY', 'FOREIGN KEY') "
+        "UNION ALL SELECT s.name, o.name, i.name, c.name " + _SQL_SERVER_UNIQUE
+        + " JOIN sys.index_columns ic ON ic.object_id = i.object_id AND ic.index_id = i.index_id "
+        "JOIN sys.columns c ON c.object_id = ic.object_id AND c.column_id = ic.column_id "
+        "WHERE i.is_unique = 1 AND i.is_primary_key = 0 AND ic.is_included_column = 0",
+    ),
+    "OracleDB": (
+        "SELECT owner AS schema_name, table_name, column_id AS pos, column_name, data_type, "
+        "CASE nullable WHEN 'Y' THEN 'YES' ELSE 'NO' END AS is_nullable, data_default AS column_default "
+        "FROM all_tab_columns",
+        "SELECT c.owner AS schema_name, c.table_name, c.constraint_name, CASE c.constraint_type "
+        "WHEN 'P' THEN 'PRIMARY KEY' WHEN 'R' THEN 'FOREIGN KEY' WHEN 'U' THEN 'UNIQUE' END AS constraint_type, "
+        "ref.table_name AS ref_table, ref.column_name AS ref_column FROM all_constraints c "
+        "LEFT JOIN all_cons_columns ref ON ref.owner = c.r_owner "
+        "AND ref.constraint_name = c.r_constraint_name AND ref.position = 1",
+        "SELECT owner AS schema_name, table_name, constraint_name, column_name FROM all_cons_columns",
+    ),
+    "SQLite": (
+        "SELECT 'main' AS schema_name, m.name AS table_name, p.cid + 1 AS pos, p.name AS column_name, "
+        "p.type AS data_type, CASE p.\"notnull\" WHEN 1 THEN 'NO' ELSE 'YES' END AS is_nullable, "
+        "p.dflt_value AS column_default FROM sqlite_master m JOIN pragma_table_info(m.name) p "
+        "WHERE m.type = 'table'",
+        "SELECT 'main' AS schema_name, m.name AS table_name, 'pk_' || m.name AS constraint_name, "
+        "'PRIMARY KEY' AS constraint_type, NULL AS ref_table, NULL AS ref_column "
+        "FROM sqlite_master m WHERE m.type = 'table' "
+        "UNION ALL SELECT 'main', m.name, 'fk_' || m.name || f.id, 'FOREIGN KEY', f.\"table\", f.\"to\" "
+        "FROM sqlite_master m JOIN pragma_foreign_key_list(m.name) f WHERE f.seq = 0 "
+        "UNION ALL SELECT 'main', m.name, i.name, 'UNIQUE', NULL, NULL "
+        "FROM sqlite_master m JOIN pragma_index_list(m.name) i WHERE i.origin = 'u'",
+        "SELECT 'main' AS schema_name, m.name AS table_name, 'pk_' || m.name AS constraint_name, "
+        "p.name AS column_name FROM sqlite_master m JOIN pragma_table_info(m.name) p WHERE p.pk > 0 "
+        "UNION ALL SELECT 'main', m.name, 'fk_' || m.name || f.id, f.\"from\" "
+        "FROM sqlite_master m JOIN pragma_foreign_key_list(m.name) f "
+        "UNION ALL SELECT 'main', m.name, i.name, c.name FROM sqlite_master m "
+        "JOIN pragma_index_list(m.name) i JOIN pragma_index_info(i.name) c WHERE i.origin = 'u'",
+    ),
+}
 
 
 def read_dictionary(
     spark: SparkSession, config: Mapping[str, str], conn_id: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Columns, constraints and key usage of a whole server in three reads, tagged with its id."""
-
-    def tagged(view: str) -> str:
-        return view.replace("(SELECT ", f"(SELECT '{conn_id}' AS conn_id, ", 1)
+    """Columns, constraints and key usage of a whole server in three reads, tagged with its id.
 
-    return tuple(
-        jdbc_scan(spark, config, tagged(view))
-        for view in (COLUMNS_VIEW, CONSTRAINTS_VIEW, KEY_USAGE_VIEW)
+    One read per view replaces the reads per table; choices of schema or table made on the result
+    are pushed to the server.
+    """
+    kind = config.get("rdbms", "")
+    if kind not in DICTIONARY:
+        raise ValueError(f"Unsupported kind of server: {kind}")
+    columns, constraints, usage = (
+        jdbc_scan(spark, config, f"({sql}) dictionary").select(F.lit(conn_id).alias("conn_id"), "*")
+        for sql in DICTIONARY[kind]
     )
+    return columns, constraints, usage
