@@ -871,8 +871,7 @@ def asset_match(load):
 
 @query(needs=("glossary5", "assets", "existing_terms"), sql=_TERMS_SQL + " SELECT * FROM terms")
 def assign_terms(load):
-    matched = publish.asset_match(load("glossary5"), load("assets"))
-    return publish.assign_terms(matched, load("existing_terms"))
+    return publish.assign_terms(load("glossary5"), load("assets"), load("existing_terms"))
 
 
 @query(

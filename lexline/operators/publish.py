@@ -173,23 +173,33 @@ def asset_match(
     ).drop("norm_name")
 
 
-def assign_terms(matched: DataFrame, existing: DataFrame, keys: Sequence[str] = ("glossary_guid",)) -> DataFrame:
+def assign_terms(
+    glossary: DataFrame,
+    assets: DataFrame,
+    existing: DataFrame,
+    keys: Sequence[str] = ("glossary_guid",),
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
     """Give every row a free term name, or a reason why it has none.
 
-    ``matched``: ``keys``, ``row_no`` (unique within the keys), ``table_name``, ``column_name``,
-    ``definition``, ``table_guid``; ``existing``: ``keys``, ``name``. First the rows whose bare
-    column name is free get it, the lowest ``row_no`` winning; then the others try the name with
-    the table in front; rows that lose there too fail. Winners are found by aggregation and rows
-    are told apart by ``row_no``, so a name most rows share is never gathered in one place.
+    ``glossary``: ``keys``, ``row_no`` (unique within the keys), ``table_name``, ``column_name``,
+    ``definition``; ``assets`` as for ``asset_match``; ``existing``: ``keys``, ``name``. First the
+    rows whose bare column name is free get it, the lowest ``row_no`` winning; then the others try
+    the name with the table in front; rows that lose there too fail.
+
+    Winners are found by aggregation and rows are told apart by ``row_no``, so a name most rows
+    share is never gathered in one place. Names are settled on narrow rows, written once; the
+    glossary itself is shuffled once, to take its results.
     """
     key = list(keys)
+    row_key = [*key, "row_no"]
     base = X.sanitize_term(F.col("column_name"))
-    rows = matched.withColumns(
-        {
-            "_base": X.term_name(base),
-            "_prefixed": X.term_name(F.concat(X.sanitize_term(F.col("table_name")), F.lit("_"), base)),
-        }
+    prefixed = F.concat(X.sanitize_term(F.col("table_name")), F.lit("_"), base)
+    named_rows = glossary.select(
+        *row_key, "table_name", X.term_name(base).alias("_base"), X.term_name(prefixed).alias("_prefixed")
     )
+    matched = durable(asset_match(named_rows, assets, row_key, rows_per_block).drop("table_name"))
+    known = matched.where(F.col("table_guid").isNotNull())
     taken = existing.select(*key, "name").distinct()
 
     def winners(candidates: DataFrame, column: str, taken: DataFrame) -> DataFrame:
@@ -199,26 +209,22 @@ def assign_terms(matched: DataFrame, existing: DataFrame, keys: Sequence[str] =
             .join(taken, [*key, "name"], "left_anti")
         )
 
-    # Narrow and read three times: cheaper to write once than to match the assets again.
-    known = durable(
-        rows.where(F.col("table_guid").isNotNull()).select(*key, "row_no", "_base", "_prefixed")
-    )
     first = durable(winners(known, "_base", taken))
-    rest = known.join(first.select(*key, "row_no"), [*key, "row_no"], "left_anti")
+    rest = known.join(first.select(*row_key), row_key, "left_anti")
     second = winners(rest, "_prefixed", taken.unionByName(first.select(*key, "name")))
-    named = first.unionByName(second)
+    settled = matched.join(first.unionByName(second), row_key, "left").select(
+        *row_key, "name", "table_guid", "_prefixed"
+    )
 
-    out = rows.join(named, [*key, "row_no"], "left")
+    found = F.col("table_guid").isNotNull()
     reason = F.when(
-        F.col("table_guid").isNull(),
-        F.concat(F.lit("Table '"), "table_name", F.lit("' not found in the asset list")),
+        ~found, F.concat(F.lit("Table '"), "table_name", F.lit("' not found in the asset list"))
     ).when(F.col("name").isNull(), "already exists")
-    return out.select(
-        *key,
-        "row_no",
+    return glossary.join(settled, row_key).select(
+        *row_key,
         "table_name",
         "column_name",
-        F.coalesce("name", F.when(F.col("table_guid").isNotNull(), F.col("_prefixed")), "column_name").alias("term"),
+        F.coalesce("name", F.when(found, F.col("_prefixed")), "column_name").alias("term"),
         X.short_description(F.col("definition")).alias("short_desc"),
         F.col("definition").alias("long_desc"),
         F.when(reason.isNull(), K.TERM_STATUS).alias("status"),

@@ -133,7 +133,7 @@ def script_diagram(corpus: DataFrame, documentation: DataFrame) -> DataFrame:
 
 def publish_terms(glossary: DataFrame, assets: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
     """Glossary rows with ``glossary_guid`` and ``row_no`` to terms and their summary."""
-    terms = publish.assign_terms(publish.asset_match(glossary, assets), existing)
+    terms = publish.assign_terms(glossary, assets, existing)
     return {"terms": terms, "summary": publish.publish_summary(terms, ["glossary_guid"])}
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names in ``spark.checkpoint.dir``.
+    """Shared folder for kept results: the one the cluster names in ``spark.checkpoint.dir``.
 
     A session on one machine that names none gets a new temporary folder; on a cluster that would
     be lost with its machine, so there the setting is required.
@@ -19,18 +20,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="lexline-checkpoints-")
-    if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and read on from there.
+    """Write ``df`` as a table below the checkpoint folder and read on from there.
 
-    Results that feed several branches are computed once, and a lost executor costs a read.
+    Results that feed several branches are computed once, each branch reads only the columns it
+    needs, and a lost executor costs a read.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lexline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -303,7 +303,7 @@ def terms_of(spark, existing):
     )
     listed = spark.createDataFrame([("t1", "g1", 1), ("t2", "g2", 2)], "name string, guid string, pos int")
     taken = spark.createDataFrame([("g", e) for e in existing], "glossary_guid string, name string")
-    got = publish.assign_terms(publish.asset_match(rows, listed), taken).orderBy("row_no")
+    got = publish.assign_terms(rows, listed, taken, rows_per_block=1).orderBy("row_no")
     return values(got, "term", "error")
 
 
