@@ -227,9 +227,10 @@ SQL = {
         FROM {{orders}}""",
     "catalog_schemas": f"""
         SELECT DISTINCT o_orderpriority AS conn_id,
-               CASE WHEN o_custkey % 60 = 7 THEN 'System' ELSE 'cat_' || {_s('o_custkey % 60')} END AS catalog_name,
+               CASE WHEN o_custkey % 60 = 7 THEN 'System' WHEN o_custkey % 60 < 4 THEN 'elsewhere'
+                    ELSE 'cat_' || {_s('o_custkey % 60')} END AS catalog_name,
                o_orderkey % 50 AS schema_no, 'schema_' || {_s('o_orderkey % 50')} AS schema_name
-        FROM {{orders}} WHERE o_orderstatus = 'F' OR o_custkey % 60 > 3""",
+        FROM {{orders}}""",
     "asset_entities": f"""
         SELECT 'guid_' || {_s('o_orderkey')} AS id, 'T_' || {_s('o_custkey')} AS name,
                CASE o_orderstatus WHEN 'F' THEN 'azure_sql_table' ELSE 'azure_sql_view' END AS entityType

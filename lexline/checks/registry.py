@@ -1029,6 +1029,19 @@ def discover_glossary(load):
     return flows.discover_glossary(_labels(load))["glossary"]
 
 
+@query(
+    needs=("asset_entities", "asset_json"),
+    sql=_ASSET_COLUMNS_SQL
+    + f""" SELECT 'live_connection//' || e.name || '/' || guid || '/0' AS doc_id, CAST(CASE pos WHEN 0 THEN 5 ELSE 6 END
+          AS INTEGER) AS pos, ' live_connection' AS tablespace, ' ' || e.name AS table_name, 'Columns of ' || e.name || '.'
+          AS table_description, c.name AS column_name, {_HUMAN.format('c.name')} || ' (' || type || ')' AS definition
+          FROM cols c JOIN asset_entities e ON e.id = guid WHERE entityType = 'azure_sql_table'""",
+)
+def discover_assets(load):
+    listed = assets.asset_list(load("asset_entities"), cap=None)
+    return flows.discover_assets(listed, load("asset_json"))["glossary"]
+
+
 @query(
     needs=_CATALOG,
     sql=_LABELS_SQL

@@ -128,17 +128,19 @@ def table_overview(
     labels: DataFrame,
     connections: DataFrame | None = None,
     labels_per_part: int = LABELS_PER_PART,
+    keys: Sequence[str] = TABLE_KEY,
 ) -> DataFrame:
     """Ordered labels of each table, in parts of ``labels_per_part`` ordinal positions.
 
     A table with fewer columns has one part, number 0. Positions are unique within a table, so no
     group collects more than ``labels_per_part`` labels. Connections without tables stay in the
-    result with null table and labels when ``connections`` is given.
+    result with null table and labels when ``connections`` is given. ``keys`` may tell tables of one
+    name apart.
     """
     part = F.floor((F.col("pos") - F.lit(1)) / F.lit(labels_per_part)).cast("int")
     overview = (
         labels.withColumn("part_no", part)
-        .groupBy(*TABLE_KEY, "part_no")
+        .groupBy(*keys, "part_no")
         .agg(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda s: s["label"]
@@ -166,8 +168,7 @@ def select_tables(tables: DataFrame, selection: str | Column, name: str = "table
 def table_chunks(overview: DataFrame) -> DataFrame:
     """Text of each table (part) handed to a generator."""
     return overview.where(F.col("table_name").isNotNull()).select(
-        *TABLE_KEY,
-        "part_no",
+        *[c for c in overview.columns if c != "metadata"],
         F.concat(
             F.lit("Tablespace: "),
             F.col("conn_id"),

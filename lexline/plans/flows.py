@@ -6,7 +6,7 @@ Generated texts are costly and feed several results, so they are written to shar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from lexline import constants as K
 from lexline.operators import catalog, chat, chunking, generate, lineage, parse, publish, scripts, spans
 from lexline.operators.ordered import merge_spans
 from lexline.session import durable
+from lexline.sources import assets
 
 Keep = Callable[[DataFrame], DataFrame]
 
@@ -23,14 +24,15 @@ def discover_glossary(
     labels: DataFrame,
     generator: generate.Generator = generate.glossary_generator,
     *,
+    keys: Sequence[str] = catalog.TABLE_KEY,
     keep: Keep = durable,
     num_partitions: int | None = None,
 ) -> dict[str, DataFrame]:
     """Labelled columns to glossary rows: overview, chunks, generation, parse."""
-    chunks = catalog.table_chunks(catalog.table_overview(labels))
+    chunks = catalog.table_chunks(catalog.table_overview(labels, keys=keys))
     texts = keep(generate.enrich(chunks, generator, num_partitions=num_partitions))
     responses = texts.where(F.col("error").isNull()).withColumn(
-        "doc_id", F.concat_ws("/", *catalog.TABLE_KEY, "part_no")
+        "doc_id", F.concat_ws("/", *keys, "part_no")
     )
     return {
         "texts": texts,
@@ -39,6 +41,47 @@ def discover_glossary(
     }
 
 
+def asset_table_labels(
+    listed: DataFrame, details: DataFrame, selection: str = "all", conn_id: str = "live_connection"
+) -> DataFrame:
+    """Labels of the columns of chosen assets: listed (``guid, name``) and their exported JSON.
+
+    Assets of one name stay apart by ``guid``; they have no schema.
+    """
+    chosen = catalog.select_tables(listed, selection, "name").select(
+        "guid", F.col("name").alias("table_name")
+    )
+    labels = assets.asset_labels(assets.asset_columns(details), notes=False)
+    return labels.join(chosen, "guid").select(
+        F.lit(conn_id).alias("conn_id"),
+        F.lit("").alias("schema_name"),
+        "table_name",
+        "guid",
+        (F.col("pos") + F.lit(1)).alias("pos"),
+        F.col("name").alias("column_name"),
+        "label",
+    )
+
+
+def discover_assets(
+    listed: DataFrame,
+    details: DataFrame,
+    selection: str = "all",
+    generator: generate.Generator = generate.glossary_generator,
+    *,
+    keep: Keep = durable,
+    num_partitions: int | None = None,
+) -> dict[str, DataFrame]:
+    """Chosen assets of a catalog service to glossary rows."""
+    return discover_glossary(
+        asset_table_labels(listed, details, selection),
+        generator,
+        keys=[*catalog.TABLE_KEY, "guid"],
+        keep=keep,
+        num_partitions=num_partitions,
+    )
+
+
 def sheet_prompts(sheet: DataFrame, chunk_size: int = 1, batch_size: int = 1, slices_per_prompt: int = 64) -> DataFrame:
     """Prompt texts of a sheet, one per chunk; a chunk of a very wide table has several parts.
 
@@ -131,9 +174,11 @@ def script_diagram(corpus: DataFrame, documentation: DataFrame) -> DataFrame:
     return lineage.dot_text(documentation, ctes, bounded=True)
 
 
-def publish_terms(glossary: DataFrame, assets: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
+def publish_terms(
+    glossary: DataFrame, asset_names: DataFrame, existing: DataFrame
+) -> dict[str, DataFrame]:
     """Glossary rows with ``glossary_guid`` and ``row_no`` to terms and their summary."""
-    terms = publish.assign_terms(glossary, assets, existing)
+    terms = publish.assign_terms(glossary, asset_names, existing)
     return {"terms": terms, "summary": publish.publish_summary(terms, ["glossary_guid"])}
 
 

@@ -1,5 +1,6 @@
 """Hand-worked cases of FIXTURES.md."""
 
+import random
 import sys
 
 from pyspark import cloudpickle
@@ -128,8 +129,8 @@ def f2_labels(spark):
         "constraint_type string, ref_table string, ref_column string",
     )
     usage = spark.createDataFrame(
-        [("c", "s", "pk", "id"), ("c", "s", "fk", "cust"), ("c", "z", "pk", "st")],
-        "conn_id string, schema_name string, constraint_name string, column_name string",
+        [("c", "s", "orders", "pk", "id"), ("c", "s", "orders", "fk", "cust"), ("c", "z", "orders", "pk", "st")],
+        "conn_id string, schema_name string, table_name string, constraint_name string, column_name string",
     )
     return catalog.column_labels(
         catalog.catalog_columns(columns), catalog.catalog_constraints(constraints, usage)
@@ -586,3 +587,57 @@ def test_report_lines(spark):
         ("- `t`.b: no such column",),
         ("- `u`.[TABLE_DESC]: gone",),
     ]
+
+
+def test_report_file(spark):
+    assert one(spark, X.report_file(F.col("n"), "_ETL_Documentation"), n="load.sql") == "load_ETL_Documentation"
+    assert one(spark, X.report_file(F.col("n"), "_x"), n="a.txt") == "a_x"
+
+
+def test_assets_of_one_name_stay_apart(spark):
+    listed = spark.createDataFrame([("g1", "T"), ("g2", "T"), ("g3", "U")], "guid string, name string")
+    details = spark.createDataFrame([(g, F5) for g in ("g1", "g2", "g3")], "guid string, json string")
+    out = flows.discover_assets(listed, details, "t")["glossary"]
+    assert sorted(values(out, "doc_id", "column_name")) == [
+        (f"live_connection//T/{g}/0", c) for g in ("g1", "g2") for c in "ab"
+    ]
+
+
+def test_every_term_row_is_settled_once(spark):
+    rng = random.Random(3)
+    rows = [("g", i, rng.choice(["t1", "t2", "t9"]), rng.choice(["id", "id", "a b", "t1_id"]), "d") for i in range(200)]
+    taken = {"a_b"}
+    df = spark.createDataFrame(
+        rows, "glossary_guid string, row_no long, table_name string, column_name string, definition string"
+    )
+    listed = spark.createDataFrame([("t1", "g1", 1), ("t2", "g2", 2)], "name string, guid string, pos int")
+    existing = spark.createDataFrame([("g", t) for t in taken], "glossary_guid string, name string")
+    got = publish.assign_terms(df, listed, existing, rows_per_block=20).collect()
+
+    names, created = set(taken), {}
+    known = [r for r in rows if r[2] != "t9"]
+    for prefixed in (False, True):
+        claimed = {}
+        for r in known:
+            base = r[3].replace(" ", "_")
+            name = f"{r[2]}_{base}" if prefixed else base
+            if r[1] not in created and name not in names and name not in claimed:
+                claimed[name] = r[1]
+        created.update({row: name for name, row in claimed.items()})
+        names |= set(claimed)
+    assert len(got) == len(rows)
+    assert {r.row_no: r.term for r in got if r.error is None} == created
+    assert len(set(created.values())) == len(created)
+
+
+def test_fill_undoes_compress(spark):
+    rng = random.Random(4)
+    full = [(k, i, rng.choice("ab"), rng.choice(["N/A", "x"])) for i in range(120) for k in (rng.choice([0, 0, 1]),)]
+    seen, short = {}, []
+    for k, i, *cells in full:
+        above = seen.get(k, [None, None])
+        short.append((k, i, *[K.SAME_AS_ABOVE if c == a else c for c, a in zip(cells, above)]))
+        seen[k] = cells
+    schema = "k int, i long, a string, b string"
+    got = parse.fill_same_as_above(spark.createDataFrame(short, schema), ["k"], "i", ["a", "b"], rows_per_block=8)
+    assert sorted(values(got, "k", "i", "a", "b")) == sorted(full)
