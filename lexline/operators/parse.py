@@ -62,23 +62,26 @@ def glossary_parse(responses: DataFrame) -> DataFrame:
     mark included, and holds until the next one.
     """
     w = _carry()
+    kind = F.col("kind")
 
-    def carried(kind: str, value: Column) -> Column:
-        return F.last(F.when(F.col("kind") == kind, value), ignorenulls=True).over(w)
-
+    def carried(column: str) -> Column:
+        return F.last(column, ignorenulls=True).over(w).alias(column)
+
+    # Each line goes through the shuffle in one of these columns only.
+    split = _glossary_lines(responses).select(
+        "doc_id",
+        "pos",
+        F.when(kind == "tablespace", F.replace("body", F.lit("Tablespace:"), F.lit(""))).alias("tablespace"),
+        F.when(kind == "table", F.replace("body", F.lit("Table:"), F.lit(""))).alias("table_name"),
+        F.when(kind == "description", F.col("body")).alias("table_description"),
+        F.when(kind == "term", F.col("line")).alias("line"),
+    )
     term, definition = _term_cells(F.col("line"))
     return (
-        _glossary_lines(responses)
-        .select(
-            "doc_id",
-            "pos",
-            "line",
-            "kind",
-            carried("tablespace", F.replace("body", F.lit("Tablespace:"), F.lit(""))).alias("tablespace"),
-            carried("table", F.replace("body", F.lit("Table:"), F.lit(""))).alias("table_name"),
-            carried("description", F.col("body")).alias("table_description"),
+        split.select(
+            "doc_id", "pos", "line", carried("tablespace"), carried("table_name"), carried("table_description")
         )
-        .where(F.col("kind") == "term")
+        .where(F.col("line").isNotNull())
         .select(
             "doc_id",
             "pos",
