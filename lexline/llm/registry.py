@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexline.llm import decontaminate, packing, sharding
-from lexline.llm.common import table
+from lexline.llm import decontaminate, language, packing, quality, sharding
+from lexline.llm.common import remainder, table
+from lexline.session import durable
 
 
 
@@ -71,3 +72,32 @@ def op4_decontamination(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+@query
+def op3_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(remainder("doc_id", 4) != 2))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
+
+
+@query
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    counted = durable(quality.with_counts(docs).drop("text"))
+    limits = quality.fit(counted, table(spark, sf_dir, "labels"))
+    return quality.judge(counted, limits).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
