@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexline.llm import decontaminate, language, packing, quality, sharding
+from lexline.llm import decontaminate, language, neardup, packing, quality, sharding, toxicity
 from lexline.llm.common import remainder, table
 from lexline.session import durable
 
@@ -29,6 +29,11 @@ def query(f):
     return f
 
 
+@query
+def op1_neardup(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_sharding(spark, sf_dir):
     placed = sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -44,6 +49,19 @@ def op2_sharding(spark, sf_dir):
     )
 
 
+@query
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op8_packing(spark, sf_dir):
     found = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
