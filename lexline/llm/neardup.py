@@ -25,16 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexline.llm.components import components
+from lexline.llm.hashing import LOWER, window_hashes, word_hashes
 from lexline.session import durable
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Odd multipliers and byte values of the word hash: any fixed numbers do.
-_RNG = np.random.default_rng(20)
-_BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Collisions of two different registers, for sets of equal size, as a share of 2 ** -mantissa bits:
 #: the constant of the published estimator. Fixed value.
 _COLLISIONS = 0.169919487159739093975
@@ -53,59 +46,15 @@ class Settings:
     leader_rounds: int = 2
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[:1], done = 1, 1
-    while done < n:
-        step = np.uint64(pow(base, done, 1 << 64))
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * step
-        done += more
-    return out
-
-
-class _Powers:
-    def __init__(self):
-        self.up, self.down = _powers(_BASE, 1 << 12), _powers(_BASE_INVERSE, 1 << 12)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            self.up, self.down = _powers(_BASE, 2 * n), _powers(_BASE_INVERSE, 2 * n)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
 def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
     """Distinct 64-bit hashes of the shingles, in order."""
-    raw = np.frombuffer((text or "").encode("utf-8", "replace").translate(_LOWER), np.uint8)
-    space = np.concatenate([[True], _IS_SPACE[raw], [True]])
-    turns = np.flatnonzero(space[1:] != space[:-1])
-    starts, ends = turns[0::2], turns[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    # The hash of a word is a difference of running sums, moved to the text's beginning.
-    up, down = _POWERS.upto(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[raw] * up[: len(raw)], out=sums[1:])
-    word = _mix((sums[ends] - sums[starts]) * down[starts])
-    n = max(1, len(word) - words + 1)
-    out = np.full(n, min(words, len(word)), np.uint64)
-    for k in range(min(words, len(word))):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + word[k : k + n]
-    return np.unique(_mix(out))
+    word = word_hashes(text)
+    return np.unique(window_hashes(word, max(1, min(words, len(word))))) if len(word) else word
 
 
 def shingles(text: str | None, words: int = 5) -> set[bytes]:
     """The shingles themselves, words joined by a space."""
-    ws = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+    ws = (text or "").encode("utf-8", "replace").translate(LOWER).split()
     return {b" ".join(ws[i : i + words]) for i in range(max(1, len(ws) - words + 1))} if ws else set()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexline.llm import decontaminate, language, neardup, packing, quality, sharding, toxicity
+from lexline.llm import decontaminate, language, neardup, ngram_lm, packing, quality, sharding, toxicity
 from lexline.llm.common import remainder, table
 from lexline.session import durable
 
@@ -104,6 +104,21 @@ def op3_language(spark, sf_dir):
     )
 
 
+@query
+def op9_language_model(spark, sf_dir):
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_lm.score(docs, ~held_out).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        F.col("lm_score").alias("score"),
+    )
+
+
 @query
 def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
