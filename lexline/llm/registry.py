@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexline.llm import decontaminate, language, neardup, ngram_lm, packing, quality, sharding, toxicity
+from lexline.llm import (
+    decontaminate,
+    language,
+    licenses,
+    neardup,
+    ngram_lm,
+    packing,
+    quality,
+    sharding,
+    toxicity,
+    unigram,
+)
 from lexline.llm.common import remainder, table
 from lexline.session import durable
 
@@ -62,6 +73,23 @@ def op5_toxicity(spark, sf_dir):
     )
 
 
+@query
+def op6_licenses(spark, sf_dir):
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"),
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_max(F.transform("licenses", lambda x: x["containment"])).alias("containment"),
+    )
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.token_counts(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
 @query
 def op8_packing(spark, sf_dir):
     found = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
