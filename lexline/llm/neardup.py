@@ -7,10 +7,15 @@ whole bands too. Four registers are a band, and documents that share a band are
 
 Documents with equal sets are one class from the start. In a band's bucket not all pairs are made:
 all members are held against one leader, links join them to components, and in further rounds, with
-other leaders, only members of different components meet. At last every pair of a bucket that is
-still in different components is tested, so no link between components is lost. Candidates pass
-the estimate from their registers, corrected for chance collisions and six standard deviations wide, and
-are then confirmed on their full shingle sets.
+other leaders, only members of different components meet. Such candidates pass the estimate from
+their registers, corrected for chance collisions and six standard deviations wide, and are then
+confirmed on their full shingle sets.
+
+What is left are buckets that still hold several components. Their members are put together to
+clusters, clusters are cut into blocks of bounded size, and each pair of blocks counts the common
+shingles of all its members at once, by products of the bit rows of their full sets. Only links that
+join components leave a block pair, fewer than its members. So every pair of a bucket is tested or
+already joined, no link between components is lost, and no list of pairs is written.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexline.llm.components import components
@@ -44,6 +49,7 @@ class Settings:
     band: int = 4
     mantissa: int = 10
     leader_rounds: int = 2
+    block: int = 512
 
 
 def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -176,8 +182,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
     return both.mapInArrow(linked, f"a {kind}, b {kind}")
 
 
-def _pair(x: str | Column, y: str | Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _placed(members: DataFrame, reached: DataFrame | None) -> DataFrame:
+    """Members with the component that the links so far give them."""
+    if reached is None:
+        return members.withColumn("component", F.col("id"))
+    return members.join(reached, "id", "left").select(
+        "id", "bucket", F.coalesce("component", "id").alias("component")
+    )
 
 
 def near_duplicates(
@@ -219,26 +230,17 @@ def near_duplicates(
     )
     named = durable(named.join(wanted, "id"))
 
-    links, tested, reached = None, None, None
-    for step in range(settings.leader_rounds + 1):
-        # Members with the component that the links so far give them.
-        if reached is None:
-            placed = members.withColumn("component", F.col("id"))
-        else:
-            placed = members.join(reached, "id", "left").select(
-                "id", "bucket", F.coalesce("component", "id").alias("component")
-            )
-        if step < settings.leader_rounds:
-            order = F.struct(F.xxhash64(F.lit(step), "id").alias("h"), "id", "component")
-            leaders = placed.groupBy("bucket").agg(F.min(order).alias("leader"))
-            pairs = (
-                placed.join(leaders, "bucket")
-                .where(F.col("component") != F.col("leader.component"))
-                .select(*_pair("id", "leader.id"))
-            )
-        else:
-            pairs = _across(placed)
-        pairs = pairs.distinct()
+    links = reached = tested = None
+    for step in range(settings.leader_rounds):
+        placed = _placed(members, reached)
+        order = F.struct(F.xxhash64(F.lit(step), "id").alias("h"), "id", "component")
+        leaders = placed.groupBy("bucket").agg(F.min(order).alias("leader"))
+        pairs = (
+            placed.join(leaders, "bucket")
+            .where(F.col("component") != F.col("leader.component"))
+            .select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b"))
+            .distinct()
+        )
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = durable(pairs)
@@ -246,6 +248,8 @@ def near_duplicates(
         links = durable(found if links is None else links.unionByName(found))
         tested = pairs if tested is None else tested.unionByName(pairs)
         reached = components(links)
+    more = _links_across(_placed(members, reached), texts, settings)
+    reached = components(more if links is None else links.unionByName(more))
 
     by_class = classes.select("set_hash", "id").join(reached, "id", "left").select(
         "set_hash", F.coalesce("component", "id").alias("component_id")
@@ -262,21 +266,89 @@ def near_duplicates(
     )
 
 
-def _across(placed: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members that are in different components.
+def _links_across(placed: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) that join components which meet in a bucket: at least as many as it takes.
 
-    Members of the component that has most of a bucket are only paired with the others, so a bucket
-    that is one component but for a few gives that few times its size, and one that is whole nothing.
+    Buckets of one component are done. The members of the others are joined to clusters, block
+    numbers are dealt by hash, and a block pair holds two blocks at most.
     """
-    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    most = counts.groupBy("bucket").agg(
-        F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("components")
+    spans = placed.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("first")
     )
-    mixed = placed.join(most.where("components > 1").select("bucket", "most"), "bucket")
-    others = mixed.where("component <> most").select(
-        "bucket", F.col("id").alias("x"), F.col("component").alias("x_component")
+    mixed = durable(placed.join(spans.where("low <> high").select("bucket", "first"), "bucket"))
+    clusters = components(mixed.select(F.col("id").alias("a"), F.col("first").alias("b"))).select(
+        "id", F.col("component").alias("cluster")
     )
-    met = others.join(mixed, "bucket").where(
-        (F.col("component") != F.col("x_component")) & ((F.col("component") == F.col("most")) | (F.col("x") < F.col("id")))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / F.lit(settings.block)).cast("int")
+    own = mixed.select("id", "component").distinct().join(clusters, "id").join(sizes, "cluster")
+    dealt = own.select(
+        "cluster", "id", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")
     )
-    return met.select(*_pair("x", "id"))
+    # A block meets itself and every other one: as many copies of a row as its cluster has blocks.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = dealt.join(texts, "id").select(
+        "cluster", "id", "component", "text", "block", other
+    ).select(
+        "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "text"
+    )
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def joined(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        order = np.argsort(group["block"].to_numpy(), kind="stable")
+        ids, comps = (np.array(group[c].to_pylist(), object)[order] for c in ("id", "component"))
+        column = group["text"]
+        sets = [shingle_hashes(column[int(k)].as_py(), settings.words) for k in order]
+        found = spanning_links(sets, list(comps), settings.percent, int((group["block"].to_numpy() == i).sum()) if i != j else 0)
+        kinds = group.schema.field("id").type
+        return pa.table([pa.array([ids[x] for x, _ in found], kinds), pa.array([ids[y] for _, y in found], kinds)], ["a", "b"])
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(joined, f"a {kind}, b {kind}")
+
+
+def spanning_links(sets: list[np.ndarray], comps: list, percent: int, first: int = 0) -> list[tuple[int, int]]:
+    """Links between sets of different components that join all components that links join.
+
+    With ``first``, only pairs of one of the first so many sets and one of the others are looked at.
+    """
+    n, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    number = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+    group = np.array([number[c] for c in comps])
+    if len(number) < 2:
+        return []
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    # Hashes of one set alone are in no intersection.
+    common = times[at] > 1
+    column = (np.cumsum(times > 1) - 1)[at[common]]
+    owner = owner[common]
+    rows, columns = (slice(0, first), slice(first, n)) if first else (slice(0, n), slice(0, n))
+    shared = np.zeros((len(range(n)[rows]), len(range(n)[columns])), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    width = 8192
+    for start in range(0, int((times > 1).sum()), width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        bits = np.zeros((n, width), np.float32)
+        bits[owner[lo:hi], column[lo:hi] - start] = 1
+        shared += bits[rows] @ bits[columns].T
+    shared = shared.astype(np.int64)
+    linked = 100 * shared >= percent * (size[rows][:, None] + size[columns][None, :] - shared)
+    linked &= (shared > 0) & (group[rows][:, None] != group[columns][None, :])
+    # One link for each pair of components that a union still finds apart.
+    root = list(range(len(number)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out, shift = [], columns.start
+    for x, y in zip(*np.nonzero(linked), strict=True):
+        a, b = find(group[x]), find(group[y + shift])
+        if a != b:
+            root[a] = b
+            out.append((int(x), int(y) + shift))
+    return out
