@@ -87,7 +87,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text counts as an empty one, which has no words, lines or symbols.
     """
-    base = docs.drop(*[c for c in docs.columns if c.lower() in (*COUNTS, "_words")])
+    base = docs.drop(*[c for c in docs.columns if c.lower() in (*COUNTS, "_words", "_lines", "_counts")])
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(_without(x, SPACE)) > 0)
     distinct = F.element_at(
@@ -102,8 +102,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     out = base.withColumn("_words", F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
     out = out.withColumn("_lines", distinct)
-    return out.select(
-        *[F.col(f"`{c}`") for c in base.columns],
+    counts = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(_without(t, SPACE)).cast("long").alias("word_chars"),
         (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
@@ -112,6 +111,9 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.col("_lines.n").alias("n_lines"),
         F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")).cast("long").alias("n_capitals"),
     )
+    # A filter on a generator's result is not moved below it, where all counts would be made once more.
+    kept = [F.col(f"`{c}`") for c in base.columns]
+    return out.select(*kept, F.explode(F.array(counts)).alias("_counts")).select(*kept, "_counts.*")
 
 
 def base_failed() -> Column:

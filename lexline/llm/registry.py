@@ -162,3 +162,10 @@ def op10_quality(spark, sf_dir):
         "base_failed",
         "kept",
     )
+
+
+@query
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
