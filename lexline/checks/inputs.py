@@ -112,7 +112,7 @@ SQL = {
         FROM {{orders}}""",
     "doc_rows": f"""
         SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS script_id, o_orderkey AS row_no,
-               CASE WHEN o_orderkey % 4 = 1 THEN 'S/B' ELSE o_orderpriority END AS layer,
+               CASE WHEN o_orderkey % 4 = 1 THEN 'S/B' WHEN o_orderkey % 10 = 3 THEN 'N/A' ELSE o_orderpriority END AS layer,
                'about ' || o_orderstatus AS description,
                CASE WHEN o_orderkey % 5 = 1 THEN 'S/B' WHEN o_orderkey % 2 = 0 THEN '@t_' || {_s('o_orderkey % 17')}
                     ELSE 'r_' || {_s('o_orderkey % 17')} END AS table_name,
@@ -139,12 +139,20 @@ SQL = {
                || 'FROM src_' || {_s('o_orderkey % 13')} || ' a LEFT JOIN dbo.cust_' || {_s('o_custkey % 17')}
                || ' AS b ON a.id = b.id AND b.flag = ''from x join y''' || chr(10)
                || 'JOIN c_' || {_s('o_orderkey % 5')} || ' ON a.id=c_' || {_s('o_orderkey % 5')} || '.id'
-               || chr(10) || 'WHERE a.st <> 3 /* join z */ OR b.note IS NULL' AS text
+               || chr(10) || 'WHERE a.st <> 3 /* join z */ OR b.note IS NULL' || chr(10) || CASE o_orderkey % 7
+                 WHEN 1 THEN 'MERGE INTO [dbo].[m_' || {_s('o_orderkey % 29')} || '] t USING "S"."q_1" s ON t.id = s.id '
+                   || 'WHEN MATCHED THEN UPDATE SET a = 1'
+                 WHEN 2 THEN 'UPDATE u_' || {_s('o_orderkey % 23')} || ' SET a = ''x--y'' FROM p_1 x, p_2 AS y, p_3 '
+                   || 'WHERE x.id = y.id AND p_3.k = 4'
+                 WHEN 3 THEN 'DELETE FROM d_' || {_s('o_orderkey % 11')} || ' WHERE id IN (SELECT e.id FROM e_1 e)'
+                 WHEN 4 THEN 'insert @v_1 select z.id from @w_1 z, [w 2] v'
+                 WHEN 5 THEN 'WITH k (i, j) AS (SELECT 1, ''it''''s -- not''), l AS(SELECT i FROM k) INSERT INTO n SELECT l.i FROM l'
+                 ELSE '' END AS text
         FROM {{orders}}""",
     "glossary5": f"""
         SELECT 'g' || {_s('o_orderkey % 2')} AS glossary_guid, o_orderkey AS row_no, ' conn' AS tablespace,
                CASE WHEN o_orderkey % 8 = 7 THEN 't_' ELSE ' S.t_' END || {_s('o_custkey % 40')} AS table_name,
-               CASE WHEN o_orderkey % 4 > 0 THEN 'Orders, it''s ' || {_s('o_orderkey')} END AS table_description,
+               CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Orders, it''s ' || {_s('o_orderkey')} END AS table_description,
                o_orderpriority || CASE WHEN o_orderkey % 10 = 0 THEN ' (v' || {_s('o_orderkey % 50')} || ')' ELSE '' END
                  AS column_name,
                CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE 'It''s ' || o_orderstatus || {_s('o_orderkey')} END AS definition
@@ -172,7 +180,8 @@ SQL = {
     "numbered_chunks": """
         SELECT o_orderpriority AS run_id, o_orderkey AS chunk_no, 'chunk of ' || o_orderstatus AS text FROM {orders}""",
     "excerpts": f"""
-        SELECT o_orderpriority AS run_id, o_orderkey AS chunk_no, 'Field ' || {_s('o_custkey')} AS excerpt
+        SELECT o_orderpriority AS run_id, o_orderkey AS chunk_no, 'Field ' || {_s('o_custkey')}
+               || CASE WHEN o_custkey % 2 = 0 THEN chr(10) || '------' ELSE '' END AS excerpt
         FROM {{orders}} WHERE o_orderstatus = 'F'""",
     "text_rows": "SELECT source, doc_id, text FROM {documents}",
     "messages": """

@@ -190,7 +190,7 @@ def plain_labels(load):
 @query(
     needs=_CATALOG,
     sql=_LABELS_SQL
-    + """ SELECT conn_id, schema_name, table_name, 0 AS part_no,
+    + """ SELECT conn_id, schema_name, table_name,
           string_agg(label, ', ' ORDER BY pos) AS metadata FROM labels GROUP BY ALL""",
 )
 def table_overview(load):
@@ -210,7 +210,7 @@ _QUALIFIED = (
 @query(
     needs=_CATALOG,
     sql=_LABELS_SQL
-    + f""" SELECT conn_id, schema_name, table_name, 0 AS part_no, 'Tablespace: ' || conn_id || chr(10) || 'Table: '
+    + f""" SELECT conn_id, schema_name, table_name, 'Tablespace: ' || conn_id || chr(10) || 'Table: '
           || {_QUALIFIED} || chr(10) || 'Metadata: [' || string_agg({_QUOTED}, ', ' ORDER BY pos) || ']' || chr(10) AS text
           FROM labels GROUP BY conn_id, schema_name, table_name""",
 )
@@ -250,7 +250,7 @@ def structure_report(load):
 
 
 @query(needs=("asset_entities",), sql="""SELECT name, id AS guid FROM asset_entities
-       WHERE entityType = 'azure_sql_table' ORDER BY id LIMIT 50""")
+       WHERE entityType = 'azure_sql_table'""")
 def asset_list(load):
     return assets.asset_list(load("asset_entities"))
 
@@ -400,7 +400,7 @@ def schema_batches(load):
 
 @query(
     needs=("numbered_chunks",),
-    sql="""SELECT run_id, chunk_no, CASE WHEN chunk_no = 0 THEN '' ELSE '  ' || chr(10) END AS prefix, text
+    sql="""SELECT run_id, chunk_no, CASE WHEN chunk_no = min(chunk_no) OVER (PARTITION BY run_id) THEN '' ELSE '  ' || chr(10) END AS prefix, text
            FROM numbered_chunks""",
 )
 def join_responses(load):
@@ -434,7 +434,7 @@ def token_budget(load):
               count(*) OVER (PARTITION BY script_id) AS n,
               CAST(trunc((126800 - used_tokens) / 100) AS BIGINT) AS short FROM budget_rows)
            SELECT script_id, row_no, used_tokens FROM numbered
-           WHERE i > CASE WHEN 116800 - used_tokens < 6000 AND n > short THEN short ELSE 0 END""",
+           WHERE i > CASE WHEN used_tokens < 116800 AND 116800 - used_tokens < 6000 AND n > short THEN short ELSE 0 END""",
 )
 def drop_leading_rows(load):
     return chunking.drop_leading_rows(load("budget_rows"), ["script_id"], "row_no", "used_tokens")
@@ -493,9 +493,8 @@ def rejected_responses(load):
     return parse.rejected_responses(load("g1"))
 
 
-@query(
-    needs=("g2",),
-    sql=_lines("g2", "doc_id")
+_G2_SQL = (
+    _lines("g2", "doc_id")
     + f""",
     k AS (SELECT *, CASE WHEN starts_with(line, 'Table:') THEN 't' WHEN starts_with(line, 'Description:') THEN 'd'
             WHEN starts_with(line, '-') AND contains(line, ':') THEN 'c' END AS kind FROM l),
@@ -508,7 +507,13 @@ def rejected_responses(load):
     SELECT doc_id, pos, table_name, table_description,
       {_strip("trim(split_part(line, ':', 1), '-')")} AS column_name,
       {_strip("substr(line, instr(line, ':') + 1)")} AS column_description
-    FROM n JOIN heads USING (doc_id, table_no) WHERE kind = 'c'""",
+    FROM n JOIN heads USING (doc_id, table_no) WHERE kind = 'c'"""
+)
+
+
+@query(
+    needs=("g2",),
+    sql=_G2_SQL,
 )
 def define_parse(load):
     return parse.define_parse(load("g2"))
@@ -604,9 +609,7 @@ def glossary_spans(load):
 # ---- lineage ---------------------------------------------------------------------------------
 
 _ENTITY = "upper(trim({}, '@'))"
-_EDGES_SQL = (
-    _filled_sql("doc_rows")
-    + f""",
+_EDGES_PART = f"""
     src AS (
       SELECT script_id, row_no, {_ENTITY.format(_strip('table_name'))} AS dst, derivation_purpose AS purpose, src, from_join
       FROM (
@@ -626,15 +629,17 @@ _EDGES_SQL = (
     named AS (
       SELECT script_id, row_no, layer, {_ENTITY.format(_strip('table_name'))} AS name, {_strip('table_name')} AS raw,
         column_name FROM filled),
+    firsts AS (
+      SELECT script_id, name, arg_min(layer, row_no) AS layer FROM named
+      WHERE name IS NOT NULL AND name NOT IN ('', 'N/A', 'S/B') AND layer IS NOT NULL GROUP BY ALL),
     layers AS (
       SELECT *, row_number() OVER (PARTITION BY script_id ORDER BY first_row) AS layer_no FROM (
-        SELECT script_id, layer, min(row_no) AS first_row FROM named
-        WHERE name IS NOT NULL AND name NOT IN ('', 'N/A', 'S/B') AND layer IS NOT NULL GROUP BY ALL)),
+        SELECT n.script_id, n.layer, min(n.row_no) AS first_row FROM named n
+        WHERE name NOT IN ('', 'N/A', 'S/B') AND n.layer NOT IN ('', 'N/A', 'S/B') AND EXISTS (
+          SELECT 1 FROM firsts f WHERE f.script_id = n.script_id AND f.layer = n.layer) GROUP BY ALL)),
     aligned AS (
-      SELECT a.script_id, name, a.layer, layer_no FROM (
-        SELECT script_id, name, arg_min(layer, row_no) AS layer FROM named
-        WHERE name IS NOT NULL AND name NOT IN ('', 'N/A', 'S/B') AND layer IS NOT NULL GROUP BY ALL) a
-      JOIN layers l ON a.script_id = l.script_id AND a.layer = l.layer),
+      SELECT f.script_id, name, f.layer, layer_no FROM firsts f
+      LEFT JOIN layers l ON f.script_id = l.script_id AND f.layer = l.layer),
     nodes AS (
       SELECT n.script_id, n.name, CASE WHEN marked THEN 'temp' WHEN NOT derived THEN 'source' WHEN NOT feeds THEN 'final'
         ELSE 'temp' END AS kind, layer, layer_no
@@ -645,7 +650,7 @@ _EDGES_SQL = (
           UNION ALL SELECT script_id, name, false, true, regexp_matches(raw, '^[@#]') FROM named
             WHERE name IS NOT NULL AND name NOT IN ('', 'N/A', 'S/B')) GROUP BY ALL) n
       LEFT JOIN aligned a ON a.script_id = n.script_id AND a.name = n.name)"""
-)
+_EDGES_SQL = _filled_sql("doc_rows") + "," + _EDGES_PART
 
 
 def _filled(load: Load) -> DataFrame:
@@ -728,7 +733,7 @@ def _dot_sql() -> str:
         + f""",
     cols AS (SELECT script_id, name, column_name, min(row_no) AS first_row FROM named
              WHERE name NOT IN ('', 'N/A', 'S/B') AND column_name NOT IN ('', 'N/A', 'S/B') GROUP BY ALL),
-    shown AS (SELECT * FROM nodes WHERE layer IS NOT NULL AND layer <> 'N/A'),
+    shown AS (SELECT * FROM nodes WHERE layer_no IS NOT NULL),
     shown_layers AS (SELECT DISTINCT script_id, layer, layer_no FROM shown)
     SELECT script_id, CAST(section AS INTEGER) AS section, item, CAST(0 AS BIGINT) AS line_no, text
       FROM (SELECT DISTINCT script_id FROM nodes), (VALUES {values}) v(section, item, text)
@@ -757,10 +762,9 @@ def dot_text(load):
     return lineage.dot_text(_filled(load))
 
 
-_CLEAN = (
-    "regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\\*.*?\\*/', ' ', 'g'), '--[^\n]*', ' ', 'g'), "
-    "'''[^'']*''', '''''', 'g')"
-)
+_CLEAN = "text"
+for _pattern, _by in ((scripts.LITERAL_OR_COMMENT, " \\1\\1 "), (scripts.DELIMITED, "\\1"), (scripts.DELETE_FROM, "delete ")):
+    _CLEAN = f"regexp_replace({_CLEAN}, {_literal(_pattern)}, '{_by}', 'g')"
 
 
 def _found(pattern: str, group: int = 1) -> str:
@@ -768,16 +772,17 @@ def _found(pattern: str, group: int = 1) -> str:
 
 
 _NOT_ALIAS = ", ".join(_literal(w) for w in scripts._NOT_ALIASES)
+_NOT_TARGET = ", ".join(_literal(w) for w in scripts._NOT_TARGETS)
 _SCRIPT_SQL = f"""
     clean AS (SELECT script_id, {_CLEAN} AS q FROM scripts),
-    found AS (SELECT script_id, {_found(scripts.SOURCE, 1)} AS ts, {_found(scripts.SOURCE, 2)} AS als,
+    found AS (SELECT script_id, flatten(list_transform({_found(scripts.SOURCES)}, lambda x: string_split(x, ','))) AS items,
                 {_found(scripts.TARGET)} AS targets, {_found(scripts.CTE)} AS ctes, {_found(scripts.JOIN)} AS joins,
                 {_found(scripts.FILTER)} AS filters FROM clean),
-    aliased AS (
-      SELECT script_id, i, {_ENTITY.format('ts[i]')} AS name,
-        CASE WHEN als[i] = '' OR als[i] IS NULL OR upper(als[i]) IN ({_NOT_ALIAS}) THEN {_ENTITY.format('ts[i]')}
-          ELSE upper(als[i]) END AS alias
-      FROM found, UNNEST(range(1, len(ts) + 1)) t(i)),
+    named_items AS (
+      SELECT script_id, i, {_ENTITY.format(f"regexp_extract(items[i], {_literal(scripts.ITEM_NAME)}, 1)")} AS name,
+        upper(regexp_extract(items[i], {_literal(scripts.ITEM_ALIAS)}, 1)) AS a
+      FROM found, UNNEST(range(1, len(items) + 1)) t(i)),
+    aliased AS (SELECT script_id, i, name, CASE WHEN a IN ('', {_NOT_ALIAS}) THEN name ELSE a END AS alias FROM named_items),
     cte_names AS (SELECT script_id, upper(unnest(ctes)) AS name FROM found)"""
 
 
@@ -785,7 +790,7 @@ _SCRIPT_SQL = f"""
     needs=("scripts",),
     sql=_SCRIPT_SQL
     + f""" SELECT DISTINCT script_id, {_ENTITY.format('n')} AS name, 'target' AS role, '' AS alias
-           FROM (SELECT script_id, unnest(targets) AS n FROM found)
+           FROM (SELECT script_id, unnest(targets) AS n FROM found) WHERE upper(n) NOT IN ({_NOT_TARGET})
            UNION SELECT script_id, name, 'cte', '' FROM cte_names
            UNION SELECT script_id, name, 'source', alias FROM aliased a WHERE NOT EXISTS
              (SELECT 1 FROM cte_names c WHERE c.script_id = a.script_id AND c.name = a.name)""",
@@ -902,7 +907,7 @@ def find_or_create_glossary(load):
         FROM (SELECT *, {_strip('table_name')} AS t FROM glossary5))
       SELECT 'TABLE' AS level, fq_table, CAST(NULL AS VARCHAR) AS column_name, min(row_no) AS row_no,
         'COMMENT ON TABLE ' || fq_table || ' IS ''' || replace(arg_min(d, row_no), '''', '''''') || '''' AS ddl
-      FROM named WHERE d IS NOT NULL GROUP BY fq_table
+      FROM named WHERE d <> '' GROUP BY fq_table
       UNION ALL
       SELECT 'COLUMN', fq_table, column_name, row_no, 'ALTER TABLE ' || fq_table || ' ALTER COLUMN `' || column_name
         || '` COMMENT ''' || replace(definition, '''', '''''') || '''' FROM named WHERE definition <> ''""",
@@ -956,8 +961,7 @@ def chat_normalize(load):
 
 @query(
     needs=("messages",),
-    sql=f"""SELECT conv_id, CAST(turn // 1000 AS INTEGER) AS part_no,
-            string_agg({_ROLE} || '=' || content, chr(10) ORDER BY turn) AS messages
+    sql=f"""SELECT conv_id, string_agg({_ROLE} || '=' || content, chr(10) ORDER BY turn) AS messages
             FROM messages WHERE {_ROLE} IS NOT NULL GROUP BY ALL""",
 )
 def chat_history(load):
@@ -1011,81 +1015,87 @@ def chat_turns(load):
     return flows.chat_turns(load("requests"), load("agent_events"))
 
 
-# ---- flows with the default generators -------------------------------------------------------
+# ---- flows over texts that were generated elsewhere -------------------------------------------
 
-_HUMAN = "upper(substr(replace({0}, '_', ' '), 1, 1)) || substr(replace({0}, '_', ' '), 2)"
 
+def _answers(load: Load, name: str, key: str, end: str) -> DataFrame:
+    """Given answers as a batch service returns them; every fifth is cut off before its ``end``."""
+    cut = F.col(key) % 5 == 0
+    texts = load(name).select(key, F.when(cut, F.concat("text", F.lit("\ncut"))).otherwise(F.concat("text", F.lit(end))).alias("text"))
+    return generate.answered(texts.select(key), texts, [key], generate.mark_in_last_line)
 
-@query(
-    needs=_CATALOG,
-    sql=_LABELS_SQL
-    + f""" SELECT d.conn_id || '/' || d.schema_name || '/' || d.table_name || '/0' AS doc_id,
-          CAST(row_number() OVER (PARTITION BY d.conn_id, d.schema_name, d.table_name ORDER BY d.pos) + 4 AS INTEGER) AS pos,
-          ' ' || d.conn_id AS tablespace, ' ' || {_QUALIFIED} AS table_name, 'Columns of ' || {_QUALIFIED} || '.'
-          AS table_description, column_name, {_HUMAN.format('column_name')} || ' (' || lower(data_type) || ')' AS definition
-          FROM dictionary d""",
-)
+
+@query(needs=("g1",), sql=_G1_ROWS_SQL + " SELECT * REPLACE (CAST(doc_id AS VARCHAR) AS doc_id) FROM terms WHERE doc_id % 5 <> 0")
 def discover_glossary(load):
-    return flows.discover_glossary(_labels(load))["glossary"]
+    return flows.glossary_results(_answers(load, "g1", "doc_id", ""), ["doc_id"])["glossary"]
+
+
+_ASSET_LABEL = "name || ': (' || type || ')' || CASE WHEN nullable THEN '' ELSE ' [NOT NULL | ' || description || ']' END"
 
 
 @query(
     needs=("asset_entities", "asset_json"),
     sql=_ASSET_COLUMNS_SQL
-    + f""" SELECT 'live_connection//' || e.name || '/' || guid || '/0' AS doc_id, CAST(CASE pos WHEN 0 THEN 5 ELSE 6 END
-          AS INTEGER) AS pos, ' live_connection' AS tablespace, ' ' || e.name AS table_name, 'Columns of ' || e.name || '.'
-          AS table_description, c.name AS column_name, {_HUMAN.format('c.name')} || ' (' || type || ')' AS definition
-          FROM cols c JOIN asset_entities e ON e.id = guid WHERE entityType = 'azure_sql_table'""",
+    + f""",
+    labels AS (SELECT guid, pos, {_ASSET_LABEL} AS label FROM cols)
+    SELECT 'live_connection' AS conn_id, '' AS schema_name, e.name AS table_name, guid,
+      'Tablespace: live_connection' || chr(10) || 'Table: ' || e.name || chr(10) || 'Metadata: ['
+      || string_agg({_QUOTED}, ', ' ORDER BY pos) || ']' || chr(10) AS text
+    FROM labels JOIN asset_entities e ON e.id = guid WHERE entityType = 'azure_sql_table' GROUP BY e.name, guid""",
 )
 def discover_assets(load):
-    listed = assets.asset_list(load("asset_entities"), cap=None)
-    return flows.discover_assets(listed, load("asset_json"))["glossary"]
+    return flows.asset_prompts(assets.asset_list(load("asset_entities")), load("asset_json"))
 
 
 @query(
-    needs=_CATALOG,
-    sql=_LABELS_SQL
-    + f""",
-    per AS (SELECT d.conn_id, d.schema_name, d.table_name, string_agg(column_name || ' | ' || {_HUMAN.format('column_name')}
-              || ' (' || lower(data_type) || ')', chr(10) ORDER BY pos) AS rows FROM dictionary d GROUP BY ALL)
-    SELECT conn_id, schema_name, table_name, 0 AS part_no, 'Tablespace: ' || conn_id || chr(10) || 'Table: ' || {_QUALIFIED}
-      || chr(10) || 'Columns of ' || {_QUALIFIED} || '.' || chr(10) || chr(10) || 'Term | Definition' || chr(10) || rows
-      || chr(10) || '------' AS text, 1 AS rounds, CAST(NULL AS VARCHAR) AS error FROM per""",
+    needs=("numbered_chunks", "excerpts"),
+    sql="""SELECT c.run_id, c.chunk_no, excerpt AS text, CASE WHEN excerpt IS NULL THEN 0 ELSE 1 END AS rounds,
+             coalesce(ends_with(excerpt, '------'), false) AS complete,
+             CASE WHEN excerpt IS NULL THEN 'no answer' END AS error
+           FROM numbered_chunks c LEFT JOIN excerpts e ON c.run_id = e.run_id AND c.chunk_no = e.chunk_no""",
 )
 def enrich_chunks(load):
-    return flows.discover_glossary(_labels(load))["texts"]
+    found = load("excerpts").select("run_id", "chunk_no", F.col("excerpt").alias("text"))
+    return generate.answered(load("numbered_chunks"), found, ["run_id", "chunk_no"])
 
 
 @query(
-    needs=("sheet",),
-    sql=f"""SELECT table_name, 'Columns of ' || table_name || '.' AS table_description, column_name,
-            {_HUMAN.format('column_name')} AS column_description FROM sheet""",
+    needs=("g2",),
+    sql=_G2_SQL.replace("SELECT doc_id, pos, table_name,", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, pos, table_name,")
+    + " AND doc_id % 5 <> 0",
 )
 def define_glossary(load):
-    return flows.define_glossary(load("sheet"))["glossary"].drop("doc_id", "pos")
+    return flows.define_results(_answers(load, "g2", "doc_id", "\n------"), ["doc_id"])["glossary"]
 
 
-_SOURCES_SQL = (
-    "'raw_' || (o_orderkey % 19) || ', src_' || (o_orderkey % 13) || ', dbo.cust_' || (o_custkey % 17)"
-)
+_WHOLE_SQL = _G3_SQL + ", whole AS (SELECT * FROM parsed WHERE script_id % 5 <> 0), " + _filled_sql("whole")
+
+
+def _documented(load: Load) -> dict[str, DataFrame]:
+    return flows.script_results(_answers(load, "g3", "script_id", "\n------"), load("scripts"))
+
+
+@query(needs=("g3",), sql=_WHOLE_SQL + " SELECT * FROM filled")
+def analyse_scripts(load):
+    return _documented(load)["documentation"]
 
 
 @query(
-    sql=f"""SELECT o_orderkey AS script_id, CAST(i AS INTEGER) AS row_no, 'Load' AS layer, 'Loads ' || t AS description,
-      t AS table_name, 'Target of the script' AS table_description, c AS column_name, 'N/A' AS data_type,
-      upper(substr(c, 1, 1)) || substr(c, 2) AS column_description, {_SOURCES_SQL} AS join_table, 'N/A' AS join_column,
-      'N/A' AS join_statement, 'N/A' AS filter_table, 'N/A' AS filter_column, 'N/A' AS filter_statement,
-      'Load ' || t AS derivation_purpose
-    FROM (SELECT *, '@stg_' || (o_orderkey % 31) AS t FROM orders), (VALUES (2, 'id'), (3, 'amt')) v(i, c)"""
+    needs=("g3",),
+    sql=_WHOLE_SQL
+    + f""" SELECT * REPLACE ({_ENTITY.format('table_name')} AS table_name, {_ENTITY.format('join_table')} AS join_table,
+           {_ENTITY.format('filter_table')} AS filter_table) FROM filled""",
 )
-def analyse_scripts(load):
-    return flows.script_lineage(load("scripts"))["documentation"]
+def documentation_sheet(load):
+    return _documented(load)["sheet"]
 
 
 @query(
-    sql=f"""SELECT o_orderkey AS script_id, upper(unnest(string_split({_SOURCES_SQL}, ', '))) AS src,
-      'STG_' || (o_orderkey % 31) AS dst, 'Load @stg_' || (o_orderkey % 31) AS purpose, CAST(1 AS BIGINT) AS purpose_no,
-      false AS filter_only, true AS to_final, 2::INTEGER AS first_row FROM orders"""
+    needs=("g3",),
+    sql=_WHOLE_SQL
+    + ","
+    + _EDGES_PART
+    + " SELECT script_id, src, dst, purpose, purpose_no, filter_only, to_final, first_row FROM edges",
 )
 def script_lineage(load):
-    return flows.script_lineage(load("scripts"))["edges"]
+    return _documented(load)["edges"]

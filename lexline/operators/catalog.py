@@ -13,7 +13,6 @@ from lexline.operators.joins import salted_join
 
 TABLE_KEY = ["conn_id", "schema_name", "table_name"]
 COLUMN_KEY = [*TABLE_KEY, "column_name"]
-LABELS_PER_PART = 1_000
 
 
 def user_schemas(schemas: DataFrame, name: str = "schema_name") -> DataFrame:
@@ -125,27 +124,15 @@ def plain_labels(columns: DataFrame) -> DataFrame:
 
 
 def table_overview(
-    labels: DataFrame,
-    connections: DataFrame | None = None,
-    labels_per_part: int = LABELS_PER_PART,
-    keys: Sequence[str] = TABLE_KEY,
+    labels: DataFrame, connections: DataFrame | None = None, keys: Sequence[str] = TABLE_KEY
 ) -> DataFrame:
-    """Ordered labels of each table, in parts of ``labels_per_part`` ordinal positions.
+    """Ordered labels of each table. A server bounds the columns of a table, so they make one array.
 
-    A table with fewer columns has one part, number 0. Positions are unique within a table, so no
-    group collects more than ``labels_per_part`` labels. Connections without tables stay in the
-    result with null table and labels when ``connections`` is given. ``keys`` may tell tables of one
-    name apart.
+    Connections without tables stay in the result with null table and labels when ``connections``
+    is given. ``keys`` may tell tables of one name apart.
     """
-    part = F.floor((F.col("pos") - F.lit(1)) / F.lit(labels_per_part)).cast("int")
-    overview = (
-        labels.withColumn("part_no", part)
-        .groupBy(*keys, "part_no")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda s: s["label"]
-            ).alias("metadata")
-        )
+    overview = labels.groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda s: s["label"]).alias("metadata")
     )
     if connections is None:
         return overview
@@ -166,7 +153,7 @@ def select_tables(tables: DataFrame, selection: str | Column, name: str = "table
 
 
 def table_chunks(overview: DataFrame) -> DataFrame:
-    """Text of each table (part) handed to a generator."""
+    """Text of each table handed to a generator."""
     return overview.where(F.col("table_name").isNotNull()).select(
         *[c for c in overview.columns if c != "metadata"],
         F.concat(

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from lexline import constants as K
 from lexline.functions import chat as C
 
-TURNS_PER_PART = 1_000
-
 
 def chat_normalize(messages: DataFrame) -> DataFrame:
     """Messages with the roles ``human`` and ``ai``; other roles are dropped."""
@@ -20,22 +18,11 @@ def chat_normalize(messages: DataFrame) -> DataFrame:
     )
 
 
-def chat_history(messages: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
-    """Ordered messages of each conversation, in parts of ``turns_per_part`` turn numbers.
-
-    Turn numbers are unique within a conversation, so no part collects more than that many.
-    """
-    part = F.floor(F.col("turn") / F.lit(turns_per_part)).cast("int")
-    return (
-        chat_normalize(messages)
-        .groupBy("conv_id", part.alias("part_no"))
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("turn", "role", "content"))),
-                lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")),
-            ).alias("messages")
-        )
-    )
+def chat_history(messages: DataFrame) -> DataFrame:
+    """Ordered messages of each conversation, whole: a history is what one prompt can hold."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "content")))
+    shown = F.transform(turns, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return chat_normalize(messages).groupBy("conv_id").agg(shown.alias("messages"))
 
 
 def chat_prompt(requests: DataFrame) -> DataFrame:

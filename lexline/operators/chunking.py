@@ -292,12 +292,14 @@ def schema_batches(
 def join_responses(responses: DataFrame, run: str = "run_id", number: str = "chunk_no") -> DataFrame:
     """Ordered pieces whose concatenation is the joined text of a run.
 
-    ``prefix`` holds the separator that stands before each piece but the first, number 0.
+    ``prefix`` holds the separator that stands before each piece but the first of its run, whatever
+    its number.
     """
-    return responses.select(
+    first = responses.groupBy(run).agg(F.min(number).alias("_first"))
+    return salted_join(responses, first, [run], [number], "inner").select(
         run,
         number,
-        F.when(F.col(number) == 0, "").otherwise("  \n").alias("prefix"),
+        F.when(F.col(number) == F.col("_first"), "").otherwise("  \n").alias("prefix"),
         "text",
     )
 
@@ -335,13 +337,14 @@ def drop_leading_rows(
 ) -> DataFrame:
     """Leave out leading documentation rows when a diagram's budget runs low.
 
-    ``used_tokens`` is the total of each key. Below 6,000 tokens left, one row per 100 tokens short
-    of the reserve is dropped from the front, unless that would leave none.
+    ``used_tokens`` is the total of each key. With less than 6,000 tokens left, one row per 100 tokens
+    short of the reserve is dropped from the front, unless that would leave none. Where the budget
+    is used up there is no further round and nothing is dropped.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     numbered = number_rows(rows, keys, row_no, "_idx", rows_per_block=rows_per_block)
     used = F.col(used_tokens)
-    low = F.lit(K.DIAGRAM_TOKENS) - used < K.DIAGRAM_LOW_WATER
+    low = (used < K.DIAGRAM_TOKENS) & (F.lit(K.DIAGRAM_TOKENS) - used < K.DIAGRAM_LOW_WATER)
     short = ((F.lit(K.DIAGRAM_RESERVE_TOKENS) - used) / F.lit(100)).cast("long")
     drop = F.when(low & (F.col("n") > short), short).otherwise(F.lit(0))
     return (

@@ -1,38 +1,31 @@
 """Run an injected text generator over chunks, one partition at a time.
 
-A generator is a picklable callable ``(prompt, text_so_far) -> text``. It is called inside
-``mapInPandas``, may be called again when a task is retried, and must not write anything. A call
-that raises gives a row with ``error`` set; no row is lost.
+A generator is a picklable callable ``(prompt, text_so_far) -> text``; the library has none of its
+own. It is called inside ``mapInPandas``, may be called again when a task is retried, and must not
+write anything. A call that raises gives a row with ``error`` set, a text that was not brought to
+its end a row with ``complete`` false; no row is lost.
 """
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexline import constants as K
-from lexline.operators.scripts import CTE, SOURCE, TARGET
 
 Generator = Callable[[str, str], str]
+RESULT = "text string, rounds int, complete boolean, error string"
 
 
-def continue_until_end(generator: Generator, prompt: str, max_rounds: int) -> tuple[str, int]:
-    """Ask until the text ends with the end mark; each new round drops the last line first."""
-    text = generator(prompt, "")
-    rounds = 1
-    while not text.endswith(K.END_MARK) and rounds < max_rounds:
-        text = text.rpartition("\n")[0]
-        text = f"{text}\n{generator(prompt, text)}"
-        rounds += 1
-    return text, rounds
+def _last_line(text: str) -> str:
+    return text.strip().rpartition("\n")[2]
 
 
-def _finish_rows(table: str) -> str:
+def whole_rows(table: str) -> str:
     """Text of a documentation table up to its last complete row (see ``parse.trim_partial_rows``)."""
     rows = table.strip().split("\n")
     end = len(rows)
@@ -43,124 +36,115 @@ def _finish_rows(table: str) -> str:
     return "\n".join(rows[:end])
 
 
-def document_until_end(
-    generator: Generator, prompt: str, max_rounds: int, budget: int = K.ANALYSIS_TOKENS
-) -> tuple[str, int]:
-    """Ask for documentation rows until the end mark, the token budget or the last round."""
+@dataclass(frozen=True)
+class Ending:
+    """How a kind of text ends: ``reached`` (text, rounds) tells whether it has, ``resumed`` gives what
+    the next call goes on from, ``added`` what of that call's answer is taken over, and ``spent``
+    (prompt, text) whether no more may be asked for."""
+
+    reached: Callable[[str, int], bool]
+    resumed: Callable[[str], str]
+    added: Callable[[str], str] = lambda answer: answer
+    spent: Callable[[str, str], bool] = lambda prompt, text: False
+
+
+def glossary_ending() -> Ending:
+    """The end mark closes the text; a call goes on after the last line feed."""
+    return Ending(lambda text, _: text.endswith(K.END_MARK), lambda text: text.rpartition("\n")[0])
+
+
+def documentation_ending(budget: int = K.ANALYSIS_TOKENS) -> Ending:
+    """The end mark in the last line closes the table, as does a shorter rule after the first answer;
+    partial rows are cut, and ``budget`` counts the words of script and table."""
+    return Ending(
+        lambda text, rounds: (K.END_MARK if rounds == 1 else K.END_MARK[:3]) in _last_line(text),
+        whole_rows,
+        whole_rows,
+        lambda prompt, text: len(prompt.split()) + len(text.split()) >= budget,
+    )
 
-    def last_line(text: str) -> str:
-        return text.strip().rpartition("\n")[2]
 
-    script_tokens = len(prompt.split())
+def ask_until_end(
+    generator: Generator, prompt: str, ending: Ending, max_rounds: int | None
+) -> tuple[str, int, bool]:
+    """Text, number of calls, and whether the text is complete."""
     text = generator(prompt, "")
-    rounds = 1
-    while (
-        K.END_MARK not in last_line(text)
-        and len(text.split()) + script_tokens < budget
-        and rounds < max_rounds
-    ):
-        text = _finish_rows(text)
-        text = f"{text}\n{_finish_rows(generator(prompt, text))}"
-        rounds += 1
-        if "---" in last_line(text):
-            break
-    return text, rounds
+    for rounds in range(1, max_rounds + 1) if max_rounds else _counted():
+        complete = ending.reached(text, rounds)
+        if complete or rounds == max_rounds or ending.spent(prompt, text):
+            return text, rounds, complete
+        begun = ending.resumed(text)
+        text = "\n".join([begun, ending.added(generator(prompt, begun))])
+    raise ValueError("max_rounds must be positive or None")
+
+
+def _counted() -> Iterator[int]:
+    n = 0
+    while True:
+        n += 1
+        yield n
 
 
 def enrich(
     chunks: DataFrame,
     generator: Generator,
     *,
+    max_rounds: int | None,
+    ending: Ending | None = None,
     prompt: str = "text",
-    max_rounds: int = 10,
-    loop: Callable[[Generator, str, int], tuple[str, int]] = continue_until_end,
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Replace the ``prompt`` column by the generated text; adds ``rounds`` and ``error``.
+    """Replace the ``prompt`` column by the generated text; adds ``rounds``, ``complete`` and ``error``.
 
-    The chunks' own partitions are used unless ``num_partitions`` asks for a spread over a fixed
-    number of parallel callers.
+    ``max_rounds`` is the caller's bound on calls for one text, None for as many as it takes. The
+    chunks' own partitions are the parallel callers unless ``num_partitions`` names their number. Each
+    text is given out when it is finished.
     """
+    how = ending or glossary_ending()
     keys = [c for c in chunks.columns if c != prompt]
     if num_partitions:
         chunks = chunks.repartition(num_partitions, *keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, rounds, errors = [], [], []
-            for value in pdf[prompt]:
+            for i in range(len(pdf)):
+                row = pdf.iloc[i : i + 1]
                 try:
-                    text, n = loop(generator, value, max_rounds)
+                    text, rounds, complete = ask_until_end(generator, row[prompt].iloc[0], how, max_rounds)
                     error = None
                 except Exception as e:  # a failed call is a value, not a failed job
-                    text, n, error = None, 0, f"{type(e).__name__}: {e}"
-                texts.append(text)
-                rounds.append(n)
-                errors.append(error)
-            yield pdf[keys].assign(text=texts, rounds=rounds, error=errors)
+                    text, rounds, complete, error = None, 0, False, f"{type(e).__name__}: {e}"
+                yield row[keys].assign(text=[text], rounds=[rounds], complete=[complete], error=[error])
 
     types = dict(chunks.dtypes)
-    fields = [f"`{c}` {types[c]}" for c in keys] + ["text string", "rounds int", "error string"]
-    return chunks.mapInPandas(run, ", ".join(fields))
-
-
-def humanise(name: str) -> str:
-    """Words of a column name, first letter upper case."""
-    spaced = name.replace("_", " ").strip()
-    return spaced[:1].upper() + spaced[1:]
-
-
-def glossary_generator(prompt: str, so_far: str) -> str:
-    """Deterministic pipe glossary for a table chunk, from its own names and types."""
-    head, _, metadata = prompt.partition("\nMetadata: ")
-    table = head.partition("\nTable: ")[2]
-    out = [head, f"Columns of {table}.", "", "Term | Definition"]
-    for label in ast.literal_eval(metadata.strip()):
-        name, _, rest = label.partition(": (")
-        kind = rest.partition(")")[0]
-        out.append(f"{name.replace('|', '/')} | {humanise(name.replace('|', '/'))} ({kind.lower()})")
-    out.append(K.END_MARK)
-    return "\n".join(out)
-
-
-def sheet_generator(prompt: str, so_far: str) -> str:
-    """Deterministic define glossary for a schema slice."""
-    out: list[str] = []
-    for block in prompt.split("\nTable: ")[1:]:
-        table, _, names = block.partition("\nColumns: ")
-        out += [f"Table: {table}", f"Description: Columns of {table}."]
-        out += [f"- {n}: {humanise(n)}" for n in re.split(r",\s", names.strip())]
-    return "\n".join([*out, K.END_MARK])
-
-
-def script_generator(prompt: str, so_far: str) -> str:
-    """Deterministic documentation table for a script: a row per target and selected column."""
-    sql = re.sub(r"(?s)/\*.*?\*/|--[^\n]*", " ", prompt)
-    sql = re.sub(r"'[^']*'", "''", sql)
-    sources = [m[0] for m in re.findall(SOURCE, sql)]
-    ctes = {c.upper() for c in re.findall(CTE, sql)}
-    joined = ", ".join(dict.fromkeys(s for s in sources if s.upper() not in ctes)) or K.NOT_APPLICABLE
-    rows = ["| " + " | ".join(K.LINEAGE_HEADERS) + " |", "|" + " --- |" * len(K.LINEAGE_HEADERS)]
-    for target, selected in re.findall(TARGET + r"\s+select\s+(.*?)\s+from\b", sql):
-        columns = re.findall(r"\b\w+\.(\w+)", selected)
-        for i, column in enumerate(dict.fromkeys(columns)):
-            same = K.SAME_AS_ABOVE
-            first = i == 0
-            cells = [
-                "Load" if first else same,
-                "Loads " + target if first else same,
-                target if first else same,
-                "Target of the script" if first else same,
-                column,
-                K.NOT_APPLICABLE,
-                humanise(column),
-                joined if first else same,
-                *[K.NOT_APPLICABLE] * 5,
-                "Load " + target if first else same,
-            ]
-            rows.append("| " + " | ".join(cells) + " |")
-    rows.append(K.END_MARK)
-    return "\n".join(rows)
+    return chunks.mapInPandas(run, ", ".join([*(f"`{c}` {types[c]}" for c in keys), RESULT]))
+
+
+def ends_with_mark(text: Column) -> Column:
+    return F.endswith(text, F.lit(K.END_MARK))
+
+
+def mark_in_last_line(text: Column) -> Column:
+    lines = F.split(F.regexp_replace(text, "\\s+$", ""), "\n")
+    return F.contains(F.element_at(lines, -1), F.lit(K.END_MARK))
+
+
+def answered(
+    prompts: DataFrame, answers: DataFrame, keys: Sequence[str], complete: Callable[[Column], Column] = ends_with_mark
+) -> DataFrame:
+    """Prompts with answers that a batch service gave elsewhere, in the form that ``enrich`` has.
+
+    ``answers`` has ``keys`` and ``text``. A prompt without an answer has an error.
+    """
+    found = answers.select(*keys, F.col("text").alias("_answer"))
+    kept = [c for c in prompts.columns if c != "text"]
+    return prompts.join(found, list(keys), "left").select(
+        *kept,
+        F.col("_answer").alias("text"),
+        F.when(F.col("_answer").isNull(), 0).otherwise(1).alias("rounds"),
+        F.coalesce(complete(F.col("_answer")), F.lit(False)).alias("complete"),
+        F.when(F.col("_answer").isNull(), F.lit("no answer")).alias("error"),
+    )
 
 
 def chunk_dictionary(chunks: DataFrame, excerpts: DataFrame) -> DataFrame:

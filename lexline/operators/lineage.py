@@ -143,20 +143,21 @@ def lineage_edges(
 
 
 def layer_alignment(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, bounded: bool = False) -> DataFrame:
-    """Each derived entity with the first layer that derives it; layers numbered as first seen."""
+    """Each derived entity with the first layer that derives it.
+
+    Layers are numbered as first seen, without gaps: one that places no entity of its own, or is not
+    applicable, has no number.
+    """
     rows = filled.select(
         KEY, "row_no", "layer", X.entity(X.strip(F.col("table_name"))).alias("name")
     ).where(_is_value(F.col("name")) & F.col("layer").isNotNull())
-    layers = _numbered(
-        rows.groupBy(KEY, "layer").agg(F.min("row_no").alias("first_row")),
-        "layer_no",
-        rows_per_block,
-        bounded,
-    ).select(KEY, "layer", "layer_no")
     first = rows.groupBy(KEY, "name").agg(F.min_by("layer", "row_no").alias("layer"))
     if not bounded:
         first = durable(first)
-    return _joined(first, layers, [KEY, "layer"], ["name"], "inner", rows_per_block, bounded).select(
+    shown = first.where(_is_value(F.col("layer"))).select(KEY, "layer").distinct()
+    seen = rows.groupBy(KEY, "layer").agg(F.min("row_no").alias("first_row")).join(shown, [KEY, "layer"], "left_semi")
+    layers = _numbered(seen, "layer_no", rows_per_block, bounded).select(KEY, "layer", "layer_no")
+    return _joined(first, layers, [KEY, "layer"], ["name"], "left", rows_per_block, bounded).select(
         KEY, "name", "layer", "layer_no"
     )
 
@@ -364,7 +365,7 @@ def dot_text(
             ),
         )
     )
-    aligned = nodes.where(F.col("layer").isNotNull() & (F.col("layer") != K.NOT_APPLICABLE))
+    aligned = nodes.where(F.col("layer_no").isNotNull())
     layers = aligned.select(KEY, "layer", "layer_no").distinct()
     parts.append(
         rows(

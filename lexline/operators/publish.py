@@ -24,7 +24,7 @@ def _quoted_name(*parts: Column) -> Column:
 def comment_ddl(glossary: DataFrame, catalog: str | None, schemas: Sequence[str]) -> DataFrame:
     """Comment statements for a glossary with ``row_no``: one per table, one per column row.
 
-    The first row of a table with a description gives the table comment. A glossary without a
+    The first row of a table with a description that is not empty gives the table comment. A glossary without a
     description column has none.
     """
     if "table_description" not in glossary.columns:
@@ -43,7 +43,7 @@ def comment_ddl(glossary: DataFrame, catalog: str | None, schemas: Sequence[str]
         return F.concat(F.lit("'"), X.sql_quote_body(text), F.lit("'"))
 
     tables = (
-        named.where(F.col("table_description").isNotNull())
+        named.where(F.coalesce("table_description", F.lit("")) != "")
         .groupBy("fq_table")
         .agg(F.min_by("table_description", "row_no").alias("d"), F.min("row_no").alias("row_no"))
         .select(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexline import constants as K
@@ -20,25 +20,37 @@ from lexline.sources import assets
 Keep = Callable[[DataFrame], DataFrame]
 
 
+def _split(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts that are whole, and those that failed or have no end."""
+    whole = F.col("complete") & F.col("error").isNull()
+    return texts.where(whole), texts.where(~whole)
+
+
+def glossary_results(texts: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
+    """Answered table prompts to glossary rows. Unfinished texts stand apart and are not parsed."""
+    whole, unfinished = _split(texts)
+    responses = whole.withColumn("doc_id", F.concat_ws("/", *keys))
+    return {
+        "texts": texts,
+        "unfinished": unfinished,
+        "glossary": parse.glossary_parse(responses),
+        "rejected": parse.rejected_responses(responses),
+    }
+
+
 def discover_glossary(
     labels: DataFrame,
-    generator: generate.Generator = generate.glossary_generator,
+    generator: generate.Generator,
     *,
+    max_rounds: int | None,
     keys: Sequence[str] = catalog.TABLE_KEY,
     keep: Keep = durable,
     num_partitions: int | None = None,
 ) -> dict[str, DataFrame]:
     """Labelled columns to glossary rows: overview, chunks, generation, parse."""
     chunks = catalog.table_chunks(catalog.table_overview(labels, keys=keys))
-    texts = keep(generate.enrich(chunks, generator, num_partitions=num_partitions))
-    responses = texts.where(F.col("error").isNull()).withColumn(
-        "doc_id", F.concat_ws("/", *keys, "part_no")
-    )
-    return {
-        "texts": texts,
-        "glossary": parse.glossary_parse(responses),
-        "rejected": parse.rejected_responses(responses),
-    }
+    texts = generate.enrich(chunks, generator, max_rounds=max_rounds, num_partitions=num_partitions)
+    return glossary_results(keep(texts), keys)
 
 
 def asset_table_labels(
@@ -63,12 +75,19 @@ def asset_table_labels(
     )
 
 
+def asset_prompts(listed: DataFrame, details: DataFrame, selection: str = "all") -> DataFrame:
+    """Prompt text of each chosen asset of a catalog service."""
+    labels = asset_table_labels(listed, details, selection)
+    return catalog.table_chunks(catalog.table_overview(labels, keys=[*catalog.TABLE_KEY, "guid"]))
+
+
 def discover_assets(
     listed: DataFrame,
     details: DataFrame,
+    generator: generate.Generator,
     selection: str = "all",
-    generator: generate.Generator = generate.glossary_generator,
     *,
+    max_rounds: int | None,
     keep: Keep = durable,
     num_partitions: int | None = None,
 ) -> dict[str, DataFrame]:
@@ -76,20 +95,24 @@ def discover_assets(
     return discover_glossary(
         asset_table_labels(listed, details, selection),
         generator,
+        max_rounds=max_rounds,
         keys=[*catalog.TABLE_KEY, "guid"],
         keep=keep,
         num_partitions=num_partitions,
     )
 
 
-def sheet_prompts(sheet: DataFrame, chunk_size: int = 1, batch_size: int = 1, slices_per_prompt: int = 64) -> DataFrame:
-    """Prompt texts of a sheet, one per chunk; a chunk of a very wide table has several parts.
-
-    ``slices_per_prompt`` bounds what one prompt collects; all parts together hold every slice.
-    """
+def sheet_prompts(
+    sheet: DataFrame,
+    chunk_size: int = 1,
+    batch_size: int = 1,
+    description: str = K.NOT_APPLICABLE,
+    excerpts: DataFrame | None = None,
+) -> DataFrame:
+    """Prompt inputs of a sheet, one row per chunk: its ``text``, the sheet's ``description`` and the
+    dictionary ``excerpt`` of the chunk (``sheet_id, chunk_no, excerpt``), ``N/A`` where there is none."""
     slices = chunking.schema_batches(sheet, chunk_size, batch_size)
-    part = F.floor(F.col("slice_no") / F.lit(slices_per_prompt)).cast("int")
-    # At most chunk_size + 1 tables share a chunk, as each has a slice at least.
+    # At most chunk_size + 1 tables share a chunk.
     pieces = F.array_sort(
         F.collect_list(F.struct("table_no", "slice_no", "schema_name", "schema_header", "text"))
     )
@@ -100,72 +123,127 @@ def sheet_prompts(sheet: DataFrame, chunk_size: int = 1, batch_size: int = 1, sl
             p["text"],
         ),
     )
-    return slices.groupBy("sheet_id", "batch_no", "chunk_no", part.alias("part_no")).agg(
-        F.array_join(text, "").alias("text")
-    )
+    prompts = slices.groupBy("sheet_id", "batch_no", "chunk_no").agg(F.array_join(text, "").alias("text"))
+    if excerpts is None:
+        prompts = prompts.withColumn("excerpt", F.lit(K.NOT_APPLICABLE))
+    else:
+        found = excerpts.select("sheet_id", "chunk_no", "excerpt")
+        prompts = prompts.join(found, ["sheet_id", "chunk_no"], "left").withColumn(
+            "excerpt", F.coalesce("excerpt", F.lit(K.NOT_APPLICABLE))
+        )
+    return prompts.withColumn("description", F.lit(description))
 
 
-def define_glossary(
-    sheet: DataFrame,
-    generator: generate.Generator = generate.sheet_generator,
-    *,
-    chunk_size: int = 1,
-    batch_size: int = 1,
-    keep: Keep = durable,
-    num_partitions: int | None = None,
-) -> dict[str, DataFrame]:
-    """Schema sheet to glossary rows and the spans of merged descriptions."""
-    prompts = sheet_prompts(sheet, chunk_size, batch_size)
-    texts = keep(generate.enrich(prompts, generator, num_partitions=num_partitions))
-    responses = texts.where(F.col("error").isNull()).select(
-        F.concat_ws("/", "sheet_id", F.lpad(F.col("chunk_no").cast("string"), 12, "0"), "part_no").alias(
-            "doc_id"
-        ),
-        "text",
-    )
-    rows = parse.define_parse(responses)
+def define_results(texts: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
+    """Answered sheet prompts to glossary rows and the spans of merged descriptions."""
+    whole, unfinished = _split(texts)
+    rows = parse.define_parse(whole.select(F.concat_ws("/", *keys).alias("doc_id"), "text"))
     return {
         "texts": texts,
+        "unfinished": unfinished,
         "glossary": rows,
         "spans": spans.glossary_spans(rows, row_no="pos", bounded=True),
     }
 
 
-def script_lineage(
-    corpus: DataFrame,
-    generator: generate.Generator = generate.script_generator,
+def define_glossary(
+    sheet: DataFrame,
+    generator: generate.Generator,
     *,
+    max_rounds: int | None,
+    chunk_size: int = 1,
+    batch_size: int = 1,
+    description: str = K.NOT_APPLICABLE,
+    excerpts: DataFrame | None = None,
     keep: Keep = durable,
     num_partitions: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Scripts to documentation rows, spans, edges, nodes and diagram lines."""
-    texts = keep(
-        generate.enrich(
-            corpus.select("script_id", "text"),
-            generator,
-            loop=generate.document_until_end,
-            num_partitions=num_partitions,
-        )
+    """Schema sheet to glossary rows and the spans of merged descriptions.
+
+    The generator is given the description, the excerpt and the chunk, each after its heading.
+    """
+    prompts = sheet_prompts(sheet, chunk_size, batch_size, description, excerpts)
+    asked = prompts.select(
+        "sheet_id",
+        F.lpad(F.col("chunk_no").cast("string"), 12, "0").alias("chunk"),
+        _headed(Description=F.col("description"), Dictionary=F.col("excerpt"), Schema=F.col("text")).alias("text"),
     )
-    usable = texts.where(F.col("error").isNull()).select("script_id", "text")
+    texts = generate.enrich(asked, generator, max_rounds=max_rounds, num_partitions=num_partitions)
+    return define_results(keep(texts), ["sheet_id", "chunk"])
+
+
+def _headed(**parts: Column) -> Column:
+    return F.concat_ws("\n\n", *[F.concat(F.lit(f"{name}:\n"), part) for name, part in parts.items()])
+
+
+def script_prompts(
+    corpus: DataFrame, contexts: DataFrame | None = None, dialect: str | None = None
+) -> DataFrame:
+    """``text`` of each script, with the ``dialect`` and with its own lines of context before it.
+
+    ``contexts`` has ``script_id`` and ``context``, what the glossary says of the script's tables;
+    scripts without any have ``N/A``.
+    """
+    rows = corpus.select("script_id", "text")
+    if contexts is not None:
+        rows = rows.join(contexts.select("script_id", "context"), "script_id", "left")
+        context = F.coalesce("context", F.lit(K.NOT_APPLICABLE))
+        rows = rows.withColumn("text", _headed(Context=context, Script=F.col("text")))
+    if dialect is not None:
+        rows = rows.withColumn("text", F.concat(F.lit(f"Dialect: {dialect}\n\n"), F.col("text")))
+    return rows.select("script_id", "text")
+
+
+def script_results(texts: DataFrame, corpus: DataFrame) -> dict[str, DataFrame]:
+    """Documented scripts to documentation rows, spans, edges and nodes.
+
+    ``documentation`` keeps entities as written, for diagrams; ``sheet`` has them normalised.
+    """
+    whole, unfinished = _split(texts)
     # The rows of a script come from one generated text.
-    filled = keep(
-        parse.fill_same_as_above(
-            parse.lineage_parse(usable), ["script_id"], "row_no", list(K.LINEAGE_COLUMNS), bounded=True
-        )
+    filled = parse.fill_same_as_above(
+        parse.lineage_parse(whole.select("script_id", "text")),
+        ["script_id"],
+        "row_no",
+        list(K.LINEAGE_COLUMNS),
+        bounded=True,
     )
     ctes = (
         scripts.script_table_refs(corpus).where(F.col("role") == "cte").select("script_id", "name")
     )
+    sheet = lineage.normalise_entities(filled)
     return {
         "texts": texts,
+        "unfinished": unfinished,
         "documentation": filled,
-        "spans": merge_spans(filled, ["script_id"], "row_no", list(K.LINEAGE_COLUMNS), bounded=True),
+        "sheet": sheet,
+        "spans": merge_spans(sheet, ["script_id"], "row_no", list(K.LINEAGE_COLUMNS), bounded=True),
         "edges": lineage.lineage_edges(filled, bounded=True),
         "nodes": lineage.lineage_nodes(filled, ctes, bounded=True),
     }
 
 
+def script_lineage(
+    corpus: DataFrame,
+    generator: generate.Generator,
+    *,
+    max_rounds: int | None,
+    contexts: DataFrame | None = None,
+    dialect: str | None = None,
+    keep: Keep = durable,
+    num_partitions: int | None = None,
+) -> dict[str, DataFrame]:
+    """Scripts to documentation rows, spans, edges and nodes."""
+    texts = generate.enrich(
+        script_prompts(corpus, contexts, dialect),
+        generator,
+        max_rounds=max_rounds,
+        ending=generate.documentation_ending(),
+        num_partitions=num_partitions,
+    )
+    return script_results(keep(texts), corpus)
+
+
 def script_diagram(corpus: DataFrame, documentation: DataFrame) -> DataFrame:
     """Diagram lines of documented scripts, in ``section, item, line_no`` order per script."""
     ctes = (

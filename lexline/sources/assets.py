@@ -14,10 +14,10 @@ ENTITY_SCHEMA = (
 )
 
 
-def asset_list(assets: DataFrame, type_name: str = K.ASSET_TABLE_TYPE, cap: int | None = 50) -> DataFrame:
+def asset_list(assets: DataFrame, type_name: str = K.ASSET_TABLE_TYPE, cap: int | None = None) -> DataFrame:
     """Name and guid of assets (``id, name, entityType``) of one type.
 
-    ``cap`` is the size of one search answer; ``None`` lists all.
+    All are listed unless ``cap`` asks for as many as one search answer holds.
     """
     found = assets.where(F.col("entityType") == type_name).select("name", F.col("id").alias("guid"))
     return found if cap is None else found.orderBy("guid").limit(cap)

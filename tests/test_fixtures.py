@@ -151,8 +151,11 @@ def test_f2_f3_labels_overview_chunk(spark):
     assert catalog.table_chunks(overview).first().text == (
         "Tablespace: c\nTable: s.orders\nMetadata: " + str(want) + "\n"
     )
-    parts = catalog.table_overview(labels, labels_per_part=2).orderBy("part_no")
-    assert [r[0] for r in values(parts, "metadata")] == [want[:2], want[2:]]
+    wide = spark.range(1, 1_202).select(
+        F.lit("c").alias("conn_id"), F.lit("s").alias("schema_name"), F.lit("w").alias("table_name"),
+        F.col("id").alias("pos"), F.concat(F.lit("c"), "id").alias("column_name"), F.lit("x").alias("label"),
+    )
+    assert [len(r[0]) for r in values(catalog.table_overview(wide), "metadata")] == [1_201]
 
 
 def test_warehouse_labels(spark):
@@ -388,7 +391,7 @@ def test_f12_trim(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "script_id int, text string")
     got = [r[0] for r in values(parse.trim_partial_rows(docs).orderBy("script_id"), "text")]
     assert got == [texts[0], texts[0], texts[2], texts[3], "h\n| --- |", "h"]
-    assert [generate._finish_rows(t) for t in texts] == got
+    assert [generate.whole_rows(t) for t in texts] == got
 
 
 def test_f12_empty_and_blank_cells(spark):
@@ -444,8 +447,8 @@ def test_f15_chat(spark):
     rows = [(1, i, r, str(i)) for i, r in enumerate(["user", "AI", "assistant", "system", None])]
     messages = spark.createDataFrame(rows, "conv_id int, turn int, role string, content string")
     assert values(chat.chat_normalize(messages).orderBy("turn"), "role") == [("human",), ("ai",), ("ai",), ("human",)]
-    history = chat.chat_history(messages, turns_per_part=2).orderBy("part_no").collect()
-    assert [[m.content for m in r.messages] for r in history] == [["0", "1"], ["2"], ["4"]]
+    history = chat.chat_history(messages).collect()
+    assert [[m.content for m in r.messages] for r in history] == [["0", "1", "2", "4"]]
     got = one(spark, C.prompt(F.col("q"), F.col("p"), F.col("a")), q="Go", p="/u/x.sql", a="LINEAGE")
     assert got == (
         "Go(Note: I have just uploaded a file available at path: /u/x.sql) "
@@ -541,13 +544,31 @@ def failing(prompt, so_far):
 
 def test_generation_rounds_and_errors(spark):
     chunks = spark.createDataFrame([("a", "p"), ("b", "p")], "k string, text string")
-    got = generate.enrich(chunks, stubborn, num_partitions=2).orderBy("k").collect()
+    got = generate.enrich(chunks, stubborn, max_rounds=None, num_partitions=2).orderBy("k").collect()
     assert got[0].text == "row 0\nrow 1\nrow 2\nrow 3\nrow 4\nrow 5\n------"
-    assert got[0].rounds == 3 and got[0].error is None
+    assert got[0].rounds == 3 and got[0].complete and got[0].error is None
     capped = generate.enrich(chunks, stubborn, max_rounds=2).first()
-    assert capped.rounds == 2 and not capped.text.endswith("------")
-    broken = generate.enrich(chunks, failing).collect()
-    assert len(broken) == 2 and broken[0].error == "RuntimeError: no answer"
+    assert capped.rounds == 2 and not capped.complete and not capped.text.endswith("------")
+    broken = generate.enrich(chunks, failing, max_rounds=3).collect()
+    assert len(broken) == 2 and broken[0].error == "RuntimeError: no answer" and not broken[0].complete
+
+
+def test_unfinished_texts_stand_apart(spark):
+    labels = spark.createDataFrame(
+        [("c", "s", "t", 1, "id", "id: (INT)")],
+        "conn_id string, schema_name string, table_name string, pos int, column_name string, label string",
+    )
+    short = flows.discover_glossary(labels, stubborn, max_rounds=2)
+    assert short["glossary"].count() == 0 and short["unfinished"].count() == 1
+    whole = flows.discover_glossary(labels, stubborn, max_rounds=None)
+    assert whole["unfinished"].count() == 0
+
+
+def test_given_answers(spark):
+    prompts = spark.createDataFrame([(1, "p"), (2, "p"), (3, "p")], "k int, text string")
+    answers = spark.createDataFrame([(1, "a\n------"), (2, "b")], "k int, text string")
+    got = generate.answered(prompts, answers, ["k"]).orderBy("k")
+    assert values(got, "complete", "error") == [(True, None), (False, None), (False, "no answer")]
 
 
 def rows_in_parts(prompt, so_far):
@@ -556,21 +577,92 @@ def rows_in_parts(prompt, so_far):
     return "\n".join(lines[have : have + 3]) + ("\n| cut |" if have + 3 < len(lines) else "")
 
 
-def test_documentation_loop(spark):
-    text, rounds = generate.document_until_end(rows_in_parts, "script", 10)
-    assert rounds >= 2 and "cut" not in text
-    text, rounds = generate.document_until_end(rows_in_parts, "script", 10, budget=1)
-    assert rounds == 1
+def test_documentation_loop():
+    ask = generate.ask_until_end
+    text, rounds, complete = ask(rows_in_parts, "script", generate.documentation_ending(), 10)
+    assert rounds >= 2 and "cut" not in text and complete
+    text, rounds, complete = ask(rows_in_parts, "script", generate.documentation_ending(budget=1), 10)
+    assert rounds == 1 and not complete
+
+
+def documented(prompt, so_far):
+    """Rows of the two tables that the flow's script joins; the prompt must hold its context."""
+    assert "Dialect: T-SQL" in prompt and "Context:\nsrc_a: about a" in prompt
+    head = "| " + " | ".join(K.LINEAGE_HEADERS) + " |"
+    same = ["S/B"] * 14
+    first = ["Load", "d", "@stg", "t", "id", "N/A", "x", "src_a, src_b", "N/A", "N/A", "N/A", "N/A", "N/A", "Load it"]
+    second = [*same]
+    second[4] = "amt"
+    return "\n".join([head, "|" + " --- |" * 14, *("| " + " | ".join(r) + " |" for r in (first, second)), "------"])
 
 
 def test_script_flow(spark):
     corpus = spark.createDataFrame([(1, F13.replace("a.id,", "a.id, a.amt,"))], "script_id int, text string")
-    out = flows.script_lineage(corpus)
+    contexts = spark.createDataFrame([(1, "src_a: about a")], "script_id int, context string")
+    out = flows.script_lineage(corpus, documented, max_rounds=3, contexts=contexts, dialect="T-SQL")
     assert sorted(values(out["edges"], "src", "dst")) == [("SRC_A", "STG"), ("SRC_B", "STG")]
+    assert values(out["documentation"].where("column_name = 'amt'"), "table_name") == [("@stg",)]
+    assert values(out["sheet"].where("column_name = 'amt'"), "table_name", "join_table") == [("STG", "SRC_A, SRC_B")]
     assert ("table_name", 2, 3) in values(out["spans"], "column", "first_row", "last_row")
     assert flows.script_diagram(corpus, out["documentation"]).count() > 10
 
 
+def test_sheet_prompts_carry_all_inputs(spark):
+    sheet = sheet_of(spark, F1)
+    excerpts = spark.createDataFrame([("x", 0, "dictionary of A")], "sheet_id string, chunk_no long, excerpt string")
+    got = flows.sheet_prompts(sheet, description="a shop", excerpts=excerpts).orderBy("chunk_no")
+    assert values(got, "description", "excerpt")[:2] == [("a shop", "dictionary of A"), ("a shop", "N/A")]
+
+
+def test_script_reference_forms(spark):
+    texts = {
+        1: "SELECT * FROM s1 a, s2 b WHERE a.id = b.id AND b.k = 1",
+        2: "MERGE INTO tgt t USING src s ON t.id = s.id WHEN MATCHED THEN UPDATE SET x = 1",
+        3: "UPDATE tt SET a = 'a--b' FROM u1",
+        4: "DELETE FROM dd WHERE id IN (SELECT id FROM kept)",
+        5: 'INSERT INTO [dbo].[T1] SELECT * FROM "S"."T2"',
+        6: "WITH a (x,y) AS (SELECT 1 FROM base) INSERT INTO t SELECT x FROM a",
+        7: "insert @t select * from @p -- from nowhere",
+    }
+    df = spark.createDataFrame(list(texts.items()), "script_id int, text string")
+    got = {}
+    for k, name, role in values(scripts.script_table_refs(df), "script_id", "name", "role"):
+        got.setdefault(k, set()).add((name, role))
+    assert got == {
+        1: {("S1", "source"), ("S2", "source")},
+        2: {("TGT", "target"), ("SRC", "source")},
+        3: {("TT", "target"), ("U1", "source")},
+        4: {("DD", "target"), ("KEPT", "source")},
+        5: {("DBO.T1", "target"), ("S.T2", "source")},
+        6: {("A", "cte"), ("BASE", "source"), ("T", "target")},
+        7: {("T", "target"), ("P", "source")},
+    }
+    assert ("filter", "S2", "K") in values(scripts.script_joins(df.where("script_id = 1")), "use", "table_name", "column_name")
+
+
+def test_empty_descriptions_make_no_comment(spark):
+    rows = [(1, "t", "", "a", "x"), (2, "t", "real", "b", "y"), (3, "u", "", "c", "z")]
+    df = spark.createDataFrame(
+        rows, "row_no long, table_name string, table_description string, column_name string, definition string"
+    )
+    got = publish.comment_ddl(df, "c", ["s"]).where("level = 'TABLE'")
+    assert [r[0].endswith("IS 'real'") for r in values(got, "ddl")] == [True]
+
+
+def test_layers_without_entities_of_their_own_take_no_number(spark):
+    rows = [(1, i, layer, name) for i, (layer, name) in enumerate(
+        [("A", "t1"), ("B", "t1"), ("C", "t2"), ("N/A", "t3"), ("D", "t4")], 1)]
+    filled = spark.createDataFrame(rows, "script_id int, row_no long, layer string, table_name string")
+    got = dict((n, k) for n, k in values(lineage.layer_alignment(filled), "name", "layer_no"))
+    assert got == {"T1": 1, "T2": 2, "T3": None, "T4": 3}
+
+
+def test_runs_that_begin_at_one(spark):
+    df = spark.createDataFrame([("r", 1, "a"), ("r", 2, "b")], "run_id string, chunk_no long, text string")
+    got = values(chunking.join_responses(df).orderBy("chunk_no"), "prefix")
+    assert got == [("",), ("  \n",)]
+
+
 def test_select_tables(spark):
     df = spark.createDataFrame([("A",), ("b",), ("c",)], "table_name string")
     assert values(catalog.select_tables(df, " a, B "), "table_name") == [("A",), ("b",)]
@@ -597,10 +689,9 @@ def test_report_file(spark):
 def test_assets_of_one_name_stay_apart(spark):
     listed = spark.createDataFrame([("g1", "T"), ("g2", "T"), ("g3", "U")], "guid string, name string")
     details = spark.createDataFrame([(g, F5) for g in ("g1", "g2", "g3")], "guid string, json string")
-    out = flows.discover_assets(listed, details, "t")["glossary"]
-    assert sorted(values(out, "doc_id", "column_name")) == [
-        (f"live_connection//T/{g}/0", c) for g in ("g1", "g2") for c in "ab"
-    ]
+    prompts = flows.asset_prompts(listed, details, "t")
+    assert sorted(values(prompts, "guid", "table_name")) == [("g1", "T"), ("g2", "T")]
+    assert all("\nTable: T\nMetadata: ['a" in t for (t,) in values(prompts, "text"))
 
 
 def test_every_term_row_is_settled_once(spark):

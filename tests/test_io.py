@@ -162,8 +162,8 @@ def test_asset_list_cap(spark):
         [(f"g{i:03d}", f"n{i}", "azure_sql_table" if i % 2 else "other") for i in range(200)],
         "id string, name string, entityType string",
     )
-    assert assets.asset_list(df).count() == 50
-    assert assets.asset_list(df, cap=None).count() == 100
+    assert assets.asset_list(df).count() == 100
+    assert assets.asset_list(df, cap=50).count() == 50
     assert assets.asset_list(df, "other", cap=3).count() == 3
 
 
