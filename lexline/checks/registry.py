@@ -1030,14 +1030,11 @@ def discover_glossary(load):
     return flows.glossary_results(_answers(load, "g1", "doc_id", ""), ["doc_id"])["glossary"]
 
 
-_ASSET_LABEL = "name || ': (' || type || ')' || CASE WHEN nullable THEN '' ELSE ' [NOT NULL | ' || description || ']' END"
-
-
 @query(
     needs=("asset_entities", "asset_json"),
     sql=_ASSET_COLUMNS_SQL
     + f""",
-    labels AS (SELECT guid, pos, {_ASSET_LABEL} AS label FROM cols)
+    labels AS (SELECT guid, pos, name || ': (' || type || ')' AS label FROM cols)
     SELECT 'live_connection' AS conn_id, '' AS schema_name, e.name AS table_name, guid,
       'Tablespace: live_connection' || chr(10) || 'Table: ' || e.name || chr(10) || 'Metadata: ['
       || string_agg({_QUOTED}, ', ' ORDER BY pos) || ']' || chr(10) AS text
