@@ -1,8 +1,9 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Every step is a grouped minimum and a join on narrow rows; nothing comes to the driver but one
-checksum a round. A star takes all neighbours of a node to the smallest of them, so chains shrink
-by halves and rounds grow with the logarithm of the longest one.
+flag a round. A star takes all neighbours of a node to the smallest of them, so chains shrink
+by halves and rounds grow with the logarithm of the longest one. It ends when every node that has
+an edge is either a centre or has one edge, to a centre.
 """
 
 from __future__ import annotations
@@ -19,8 +20,13 @@ def _to_smallest(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has either edges to it or a single one from it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    sums = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    return sums.where("out > 1 or (out > 0 and into > 0)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,20 +40,16 @@ def components(links: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    mark = _mark(edges)
-    while True:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _to_smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _to_smallest(large)
+        large = _to_smallest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # ``large`` runs from greater to smaller ids, so a node's v are its smaller neighbours.
+        small = _to_smallest(large)
         edges = durable(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        last, mark = mark, _mark(edges)
-        if mark == last:
-            break
     roots = edges.select(F.col("v").alias("id")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         roots.select("id", F.col("id").alias("component"))

@@ -6,8 +6,8 @@ one. Empty registers borrow from others in an order fixed for each register, so
 whole bands too. Four registers are a band, and documents that share a band are candidates.
 
 Documents with equal sets are one class from the start. In a band's bucket not all pairs are made:
-all members are held against one leader, links join them to components, and in further rounds, with
-other leaders, only members of different components meet. Such candidates pass the estimate from
+all members are held against one leader, and links join them to components; in further rounds, if
+there are any, other leaders meet members of other components. Such candidates pass the estimate from
 their registers, corrected for chance collisions and six standard deviations wide, and are then
 confirmed on their full shingle sets.
 
@@ -48,7 +48,7 @@ class Settings:
     registers: int = 128
     band: int = 4
     mantissa: int = 10
-    leader_rounds: int = 2
+    leader_rounds: int = 1
     block: int = 512
 
 
@@ -248,8 +248,9 @@ def near_duplicates(
         links = durable(found if links is None else links.unionByName(found))
         tested = pairs if tested is None else tested.unionByName(pairs)
         reached = components(links)
-    more = _links_across(_placed(members, reached), texts, settings)
-    reached = components(more if links is None else links.unionByName(more))
+    more = durable(_links_across(_placed(members, reached), texts, settings))
+    if reached is None or not more.isEmpty():
+        reached = components(more if links is None else links.unionByName(more))
 
     by_class = classes.select("set_hash", "id").join(reached, "id", "left").select(
         "set_hash", F.coalesce("component", "id").alias("component_id")
