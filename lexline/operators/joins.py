@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexline.operators.ordered import ROWS_PER_BLOCK
+from lexline.operators.ordered import MOST_KEYS, ROWS_PER_BLOCK
 
 SALT = "_salt"
 
@@ -30,9 +30,12 @@ def salted_join(
     """
     if counts is None:
         counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    # At most (rows / rows_per_salt) keys can pass this filter, so the broadcasts are bounded.
-    frequent = counts.where(F.col("n") > rows_per_salt).select(
-        *on, F.ceil(F.col("n") / F.lit(rows_per_salt)).cast("long").alias("_splits")
+    # At most MOST_KEYS rows are broadcast; a key left out has less than that share of all rows.
+    frequent = (
+        counts.where(F.col("n") > rows_per_salt)
+        .orderBy(F.col("n").desc(), *on)
+        .limit(MOST_KEYS)
+        .select(*on, F.ceil(F.col("n") / F.lit(rows_per_salt)).cast("long").alias("_splits"))
     )
     splits = F.coalesce("_splits", F.lit(1).cast("long"))
     salted = (

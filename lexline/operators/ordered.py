@@ -1,9 +1,11 @@
 """Order-dependent operators that hold up when one key has most of the rows.
 
 A plain window sends all rows of a key to one task. Here a key with more than ``rows_per_block``
-rows is cut into blocks of consecutive row numbers. Each block is worked on alone, a one-row
-summary per block is carried over the blocks of its key, and the two are put together. A task sees
-at most ``rows_per_block`` rows of one key, or the block summaries of one key.
+rows is cut into blocks of consecutive row numbers, evenly between its lowest and its highest one, so
+there are as many blocks as its rows ask for, however far apart the numbers are. Each block is worked
+on alone, a one-row summary per block is carried over the blocks of its key, and the two are put
+together. A task sees about ``rows_per_block`` rows of one key where numbers are spread evenly, and the
+block summaries of one key.
 
 Row numbers are integers, unique within a key; keys are not null. ``bounded=True`` is for rows whose
 key cannot be large, such as the lines of one text value; they go through one plain window.
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BLOCK = 1_000_000
+#: Keys that are split, those with most rows: any other has less than that share of all rows.
+MOST_KEYS = 100_000
 LARGE = "_large"
 BLOCK = "_block"
 
@@ -34,23 +38,24 @@ def split_blocks(
     """Mark the rows of large keys and give them their block; all other rows are in block 0."""
     if bounded:
         return df.withColumns({LARGE: F.lit(False), BLOCK: F.lit(0).cast("long")})
-    # At most (rows / rows_per_block) keys can pass this filter, so the broadcast is bounded.
+    low, high = F.col("_low").cast("long"), F.col("_high").cast("long")
+    width = F.ceil((high - low + 1) * (F.lit(rows_per_block) / F.col("_rows"))).cast("long")
+    # At most MOST_KEYS rows are broadcast.
     large = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min(row_no).alias("_low"), F.max(row_no).alias("_high"))
         .where(F.col("_rows") > rows_per_block)
-        .select(*keys, F.lit(True).alias("_found"))
+        .orderBy(F.col("_rows").desc(), *keys)
+        .limit(MOST_KEYS)
+        .select(*keys, low.alias("_low"), F.greatest(F.lit(1), width).alias("_width"))
     )
     return (
         df.join(F.broadcast(large), list(keys), "left")
-        .withColumn(LARGE, F.coalesce("_found", F.lit(False)))
+        .withColumn(LARGE, F.col("_width").isNotNull())
         .withColumn(
-            BLOCK,
-            F.when(F.col(LARGE), F.expr(f"`{row_no}` div {int(rows_per_block)}L")).otherwise(
-                F.lit(0).cast("long")
-            ),
+            BLOCK, F.coalesce(F.expr(f"(`{row_no}` - _low) div _width"), F.lit(0).cast("long"))
         )
-        .drop("_found")
+        .drop("_low", "_width")
     )
 
 

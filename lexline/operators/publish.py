@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -107,14 +108,16 @@ def apply_comments(
 
 
 def apply_in_session(
-    spark: SparkSession, ddl: DataFrame, path: str, rows_per_write: int = 10_000
+    spark: SparkSession, ddl: DataFrame, path: str, rows_per_write: int = 10_000, run: str | None = None
 ) -> DataFrame:
     """Run comment statements on the session's own catalog, whose commands run on the driver.
 
-    Statements come to the driver a partition at a time and outcomes are written to ``path`` in
-    pieces, so neither is held as a whole.
+    For a few statements; ``apply_comments`` runs any number of them in parallel. Statements come to
+    the driver a partition at a time, and outcomes are written in pieces to a folder of this ``run``
+    below ``path``, so that another run counts for itself.
     """
     held = []
+    path = f"{path.rstrip('/')}/{run or uuid.uuid4().hex}"
 
     def flush() -> None:
         spark.createDataFrame(held, _STATUS).write.mode("append").parquet(path)
@@ -129,10 +132,14 @@ def apply_in_session(
 
 
 def publish_summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Counts of done and failed rows; ``results`` has an ``error`` that is null on success."""
+    """Counts of done and failed rows; ``results`` has an ``error`` that is null on success.
+
+    Of comments, column comments are counted as done and any as failed.
+    """
     failed = F.col("error").isNotNull()
+    done = ~failed & (F.col("level") == "COLUMN") if "level" in results.columns else ~failed
     return results.groupBy(*by).agg(
-        F.count(F.when(~failed, 1)).alias("succeeded"), F.count(F.when(failed, 1)).alias("failed")
+        F.count(F.when(done, 1)).alias("succeeded"), F.count(F.when(failed, 1)).alias("failed")
     )
 
 

@@ -134,3 +134,11 @@ def test_salted_join(spark, how, per_salt):
     got = salted_join(df, lookup, ["k"], ["row_no"], how, per_salt)
     want = df.join(lookup, "k", how)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_blocks_of_sparse_row_numbers(spark):
+    df = spark.range(1_000).select(F.lit("k").alias("k"), (F.col("id") * 1_000_000 - 7).alias("row_no"))
+    sizes = [r["count"] for r in ordered.split_blocks(df, ["k"], "row_no", 100).groupBy(ordered.BLOCK).count().collect()]
+    assert 10 <= len(sizes) <= 11 and max(sizes) <= 101
+    got = ordered.number_rows(df, ["k"], "row_no", "i", rows_per_block=100).orderBy("row_no").collect()
+    assert [r["i"] for r in got] == list(range(1, 1_001))
