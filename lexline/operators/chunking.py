@@ -24,16 +24,16 @@ TABLE_KEY = [*SCHEMA_KEY, "table_name"]
 TABLES_PER_BLOCK = 256
 
 
-def sheet_tables(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Tables with first row, column count, number within their schema (from 1), schema's first row.
-
-    One row per table of the sheet, made durable as numbering reads it several times.
-    """
-    tables = durable(
+def _tables(sheet: DataFrame) -> DataFrame:
+    """One row per table of the sheet, made durable as numbering reads it several times."""
+    return durable(
         sheet.groupBy(*TABLE_KEY).agg(
             F.min("row_no").alias("table_row"), F.count(F.lit(1)).alias("n_columns")
         )
     )
+
+
+def _numbered(tables: DataFrame, rows_per_block: int) -> DataFrame:
     return scan(
         tables,
         SCHEMA_KEY,
@@ -44,6 +44,11 @@ def sheet_tables(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> Data
     )
 
 
+def sheet_tables(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Tables with first row, column count, number within their schema (from 1), schema's first row."""
+    return _numbered(_tables(sheet), rows_per_block)
+
+
 def column_lines(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Lines of 12 column names of each table: ``line_no`` from 0 and the joined names."""
     numbered = number_rows(sheet, TABLE_KEY, "row_no", "_idx", rows_per_block=rows_per_block)
@@ -70,10 +75,10 @@ def schema_text(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataF
     lines of a table but its last.
     """
     last_line = F.floor((F.col("n_columns") - F.lit(1)) / F.lit(K.COLUMNS_PER_LINE))
-    tables = durable(sheet_tables(sheet, rows_per_block))
+    tables = _tables(sheet)
     placed = salted_join(
         column_lines(sheet, rows_per_block),
-        tables,
+        _numbered(tables, rows_per_block),
         TABLE_KEY,
         ["line_no"],
         "inner",
@@ -317,7 +322,8 @@ def token_budget(
     A round is started as long as the text so far is below the budget, so the row that crosses it
     is the last one kept. Texts are counted where they are read and take no part in the shuffle.
     """
-    counted = rows.withColumn("n_tokens", X.token_count(F.col(text)).cast("long")).drop(text)
+    # Texts are read and counted once; the counts are read several times.
+    counted = durable(rows.withColumn("n_tokens", X.token_count(F.col(text)).cast("long")).drop(text))
     total = scan(
         counted,
         keys,
