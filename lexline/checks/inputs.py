@@ -53,6 +53,13 @@ SQL = {
                CASE WHEN o_orderkey % 3 = 0 THEN 'NO' ELSE 'YES' END AS is_nullable,
                CASE WHEN o_orderkey % 5 = 0 THEN 'it''s' WHEN o_orderkey % 5 = 1 THEN '' END AS column_default
         FROM {{orders}}""",
+    "connections": f"""
+        SELECT DISTINCT {_CONN} AS conn_id, 'cat' AS catalog_name,
+               CASE WHEN {_CONN} < 'conn_3' THEN 'Databricks' ELSE 'PostgreSQL' END AS db_kind FROM {{orders}}""",
+    "chosen_schemas": f"""
+        SELECT DISTINCT {_CONN} AS conn_id, {_SCHEMA} AS schema_name FROM {{orders}} WHERE {_T} % 4 > 0""",
+    "chosen_tables": f"""
+        SELECT DISTINCT {_SCHEMA} AS schema_name, {_TABLE} AS table_name FROM {{orders}} WHERE {_T} % 7 < 5""",
     "table_constraints": f"""
         SELECT {_CONN} AS conn_id, {_SCHEMA} AS schema_name, {_TABLE} AS table_name,
                CASE WHEN o_orderkey % 20 = 0 THEN 'pk_' || {_s('o_orderkey % 100')}

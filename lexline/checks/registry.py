@@ -233,10 +233,11 @@ def select_tables(load):
 
 @query(
     needs=("catalogs", "catalog_schemas"),
-    sql="""
+    sql=f"""
     shown AS (SELECT * FROM catalogs WHERE lower(catalog_name) NOT IN ('system', 'information_schema'))
     SELECT DISTINCT conn_id, CAST(-1 AS BIGINT) AS catalog_no, CAST(0 AS BIGINT) AS line_no,
-      'Here are the catalogs and schemas found in your workspace:' AS text FROM catalogs
+      {_literal(K.REPORT_HEAD)} AS text FROM catalogs
+    UNION ALL SELECT DISTINCT conn_id, CAST(4611686018427387904 AS BIGINT), CAST(0 AS BIGINT), {_literal(K.REPORT_TAIL)} FROM catalogs
     UNION ALL SELECT conn_id, catalog_no, 0, chr(10) || 'Catalog: `' || catalog_name || '`' FROM shown
     UNION ALL SELECT c.conn_id, catalog_no, schema_no + 1, '  - Schema: `' || schema_name || '`'
       FROM shown c JOIN catalog_schemas s ON c.conn_id = s.conn_id AND c.catalog_name = s.catalog_name WHERE NOT failed
@@ -1015,6 +1016,22 @@ def chat_turns(load):
     return flows.chat_turns(load("requests"), load("agent_events"))
 
 
+@query(
+    needs=(*_CATALOG, "connections", "chosen_schemas", "chosen_tables"),
+    sql=_LABELS_SQL
+    + f""" SELECT l.conn_id, l.schema_name, l.table_name, l.pos, l.column_name, CASE WHEN db_kind = 'Databricks'
+             THEN l.column_name || ': (' || data_type || ') [' || {_CONSTRAINTS} || ']' ELSE label END AS label
+           FROM labels l JOIN dictionary d USING (conn_id, schema_name, table_name, column_name)
+           LEFT JOIN connections c ON c.conn_id = l.conn_id
+           WHERE (l.conn_id, l.schema_name) IN (SELECT (conn_id, schema_name) FROM chosen_schemas)
+             AND (l.schema_name, l.table_name) IN (SELECT (schema_name, table_name) FROM chosen_tables)""",
+)
+def discover_selected(load):
+    return flows.selected_labels(
+        *(load(n) for n in (*_CATALOG, "connections", "chosen_schemas", "chosen_tables"))
+    )
+
+
 # ---- flows over texts that were generated elsewhere -------------------------------------------
 
 

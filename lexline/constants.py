@@ -109,3 +109,12 @@ LINEAGE_COLUMNS = tuple(
 )
 GLOSSARY_COLUMNS = ("tablespace", "table_name", "table_description", "column_name", "definition")
 SHEET_GLOSSARY_COLUMNS = tuple(snake(h) for h in SHEET_GLOSSARY_HEADERS)
+
+# First and last line of a structure report.
+REPORT_HEAD = "Here are the catalogs and schemas found in your workspace:"
+REPORT_TAIL = (
+    "\nPlease review the list and tell me which catalog and which specific schema(s) you want me to "
+    "generate a glossary for."
+)
+# Kinds of servers whose labels carry no key notes.
+PLAIN_LABEL_KINDS = ("Databricks",)

@@ -140,6 +140,24 @@ def table_overview(
     return overview.unionByName(empty, allowMissingColumns=True)
 
 
+def with_connections(rows: DataFrame, connections: DataFrame) -> DataFrame:
+    """Rows with the catalog and the kind of their connection (``conn_id, catalog_name, db_kind``).
+
+    A connection that is not listed leaves both null.
+    """
+    return rows.join(connections.select("conn_id", "catalog_name", "db_kind"), "conn_id", "left")
+
+
+def select_columns(columns: DataFrame, schemas: DataFrame, tables: DataFrame) -> DataFrame:
+    """Dictionary rows of the ``tables`` (``schema_name, table_name``) that were chosen in schemas which
+    were chosen for their connection (``conn_id, schema_name``)."""
+    chosen = schemas.select("conn_id", "schema_name").distinct()
+    named = tables.select("schema_name", "table_name").distinct()
+    return columns.join(chosen, ["conn_id", "schema_name"], "left_semi").join(
+        named, ["schema_name", "table_name"], "left_semi"
+    )
+
+
 def select_tables(tables: DataFrame, selection: str | Column, name: str = "table_name") -> DataFrame:
     """Tables named in a comma list; ``all`` keeps every table.
 
@@ -177,12 +195,13 @@ def structure_report(catalogs: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     shown = catalogs.where(~F.lower("catalog_name").isin(*K.SYSTEM_CATALOGS))
     on = ["conn_id", "catalog_name"]
+    frame = F.array(
+        F.struct(F.lit(-1).cast("long").alias("catalog_no"), F.lit(K.REPORT_HEAD).alias("text")),
+        F.struct(F.lit(1 << 62).alias("catalog_no"), F.lit(K.REPORT_TAIL).alias("text")),
+    )
     conns = catalogs.select("conn_id").distinct()
-    head = conns.select(
-        "conn_id",
-        F.lit(-1).cast("long").alias("catalog_no"),
-        F.lit(0).cast("long").alias("line_no"),
-        F.lit("Here are the catalogs and schemas found in your workspace:").alias("text"),
+    head = conns.select("conn_id", F.explode(frame).alias("f")).select(
+        "conn_id", "f.catalog_no", F.lit(0).cast("long").alias("line_no"), "f.text"
     )
     titles = shown.select(
         "conn_id",

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexline import constants as K
+from lexline import sinks
 from lexline.operators import catalog, chat, chunking, generate, lineage, parse, publish, scripts, spans
 from lexline.operators.ordered import merge_spans
 from lexline.session import durable
@@ -53,6 +54,65 @@ def discover_glossary(
     return glossary_results(keep(texts), keys)
 
 
+def selected_labels(
+    columns: DataFrame,
+    constraints: DataFrame,
+    usage: DataFrame,
+    connections: DataFrame,
+    schemas: DataFrame,
+    tables: DataFrame,
+) -> DataFrame:
+    """Labels of the chosen tables of a dictionary, as ``relational.read_dictionary`` reads it.
+
+    The kind of a connection (see ``catalog.with_connections``) decides whether keys are noted.
+    """
+    rows = catalog.with_connections(
+        catalog.catalog_columns(catalog.select_columns(columns, schemas, tables)), connections
+    )
+    plain = F.coalesce(F.col("db_kind").isin(*K.PLAIN_LABEL_KINDS), F.lit(False))
+    keys = catalog.catalog_constraints(constraints, usage)
+    return catalog.column_labels(rows.where(~plain), keys).unionByName(catalog.plain_labels(rows.where(plain)))
+
+
+def discover_selected(
+    dictionary: tuple[DataFrame, DataFrame, DataFrame],
+    connections: DataFrame,
+    schemas: DataFrame,
+    tables: DataFrame,
+    generator: generate.Generator,
+    path: str,
+    *,
+    max_rounds: int | None,
+    keep: Keep = durable,
+    num_partitions: int | None = None,
+) -> dict[str, DataFrame]:
+    """From a dictionary and a choice of schemas and tables to the glossary file at ``path``."""
+    labels = selected_labels(*dictionary, connections, schemas, tables)
+    out = discover_glossary(labels, generator, max_rounds=max_rounds, keep=keep, num_partitions=num_partitions)
+    sinks.write_glossary(out["glossary"], path)
+    return out
+
+
+def publish_comments(
+    glossary: DataFrame,
+    catalog_name: str | None,
+    schemas: Sequence[str],
+    connect: Callable[[], Callable[[str], object]],
+    *,
+    keep: Keep = durable,
+    num_connections: int | None = None,
+) -> dict[str, DataFrame]:
+    """A glossary with ``row_no``, as ``files.read_glossary`` reads it, to comments on a server: outcomes,
+    counts and failure lines. Statements run once, their outcomes are kept."""
+    ddl = publish.comment_ddl(glossary, catalog_name, schemas)
+    outcomes = keep(publish.apply_comments(ddl, connect, num_connections))
+    return {
+        "outcomes": outcomes,
+        "summary": publish.publish_summary(outcomes),
+        "failures": publish.failure_lines(outcomes),
+    }
+
+
 def asset_table_labels(
     listed: DataFrame, details: DataFrame, selection: str = "all", conn_id: str = "live_connection"
 ) -> DataFrame:

@@ -518,6 +518,7 @@ def test_structure_report(spark):
         "  - (Could not fetch schemas)",
         "\nCatalog: `bare`",
         "  - (No schemas found in this catalog)",
+        K.REPORT_TAIL,
     ]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexline import constants as K
 from lexline import sinks
 from lexline.operators import catalog, chat, parse, publish
+from lexline.plans import flows
 from lexline.session import checkpoint_dir, durable
 from lexline.sources import assets, files, relational, session_catalog
 from lexline.streaming import fold
@@ -157,6 +158,8 @@ def test_comments_on_a_server(spark):
         ("COLUMN", "id", None),
         ("TABLE", None, None),
     ]
+    out = flows.publish_comments(glossary, None, ["s"], connect)
+    assert rows(out["summary"], "succeeded", "failed") == [(1, 1)] and out["failures"].count() == 1
 
 
 def test_asset_list_cap(spark):
