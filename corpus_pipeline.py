@@ -15,38 +15,58 @@ from lexline.llm.common import remainder, table
 from lexline.llm.registry import tokenizer_file
 from lexline.session import durable
 
-#: Stages need a column and must not clash with one that the documents bring along.
-_MADE = ("lang_pred", "lang_score")
+#: Columns that operators add to documents; a document's own column of such a name is set aside.
+_MADE = {
+    "lang_pred", "lang_score", "base_failed", "kept", "longest", "spans", "items", "_id",
+    "_words", "_lines", "_counts", "_limits", *quality.COUNTS,
+}
+
+
+def _aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with clashing names replaced by their place."""
+    return docs.toDF(*[f"_own_{i}" if c.lower() in _MADE else c for i, c in enumerate(docs.columns)])
+
+
+def _back(result: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` under their own names."""
+    return result.select(
+        *[F.col(f"`{new}`").alias(old) for new, old in zip(_aside(docs).columns, docs.columns, strict=True)]
+    )
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model can name; null texts and texts without a letter go."""
-    model = language.fit(docs.where(remainder("doc_id", 4) != 2))
-    named = language.predict(docs, model).where(F.col("lang_pred") != language.UNKNOWN)
-    return named.select(*[f"`{c}`" for c in docs.columns if c not in _MADE])
+    rows = _aside(docs)
+    model = language.fit(rows.where(remainder("doc_id", 4) != 2))
+    return _back(language.predict(rows, model).where(F.col("lang_pred") != language.UNKNOWN), docs)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the cutoffs fitted to ``labels`` keep."""
-    counted = quality.with_counts(docs)
+    counted = quality.with_counts(_aside(docs))
     narrow = durable(counted.select("doc_id", "lang", *quality.COUNTS))
     limits = quality.fit(narrow, table(spark, sf_dir, "labels"))
-    judged = quality.judge(counted, limits).where("kept")
-    return judged.select(*[f"`{c}`" for c in docs.columns])
+    return _back(quality.judge(counted, limits).where("kept"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near-duplicates. Rows with the same id and
     text count as one document and stay together; a null id stays unless its text is another's."""
-    gone = neardup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    return stay.select(*[f"`{c}`" for c in docs.columns])
+    rows = _aside(docs)
+    gone = neardup.near_duplicates(rows).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    return _back(rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"), docs)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages they share with ``benchmark``; those that are mostly such go."""
-    found = decontaminate.find_spans(docs, table(spark, sf_dir, "benchmark"))
-    return decontaminate.remove_spans(found).select(*[f"`{c}`" for c in docs.columns])
+    """Documents without the passages they share with ``benchmark``; those that are mostly such go.
+    ``n_chars`` follows a text that was cut."""
+    found = decontaminate.find_spans(_aside(docs), table(spark, sf_dir, "benchmark"))
+    left = decontaminate.remove_spans(found)
+    if "n_chars" in left.columns:
+        kind = left.schema["n_chars"].dataType
+        cut = F.size("spans") > 0
+        left = left.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return _back(left, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,3 +178,15 @@ def test_pipeline_stages_and_result(spark, docs):
         if k in left["decontamination"]:
             assert (left["decontamination"][k] == t) == (hit == 0)
     packed_exactly(QUERIES["pipeline"](spark, DATA).collect(), left["decontamination"])
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    own = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("*", "doc_id AS N_Words", "'x' AS kept", "1.5 AS items")
+    odd = spark.createDataFrame([(None, None, None, "s", None), (-1, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = own.limit(40).unionByName(odd, allowMissingColumns=True)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = durable(stage(spark, docs, DATA))
+        assert left.columns == docs.columns
+        assert all(r["N_Words"] == r["doc_id"] and r["kept"] == "x" for r in left.where("doc_id >= 0").collect())
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 40
