@@ -56,6 +56,16 @@ SQL = {
     "connections": f"""
         SELECT DISTINCT {_CONN} AS conn_id, 'cat' AS catalog_name,
                CASE WHEN {_CONN} < 'conn_3' THEN 'Databricks' ELSE 'PostgreSQL' END AS db_kind FROM {{orders}}""",
+    "listed_connections": f"""
+        SELECT DISTINCT {_CONN} || CASE WHEN {_T} % 5 = 0 THEN '_new' ELSE '' END AS conn_id FROM {{orders}}""",
+    "comment_results": f"""
+        SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'TABLE' ELSE 'COLUMN' END AS level, 't_' || {_s('o_custkey % 9')} AS fq_table,
+               CASE WHEN o_orderkey % 3 > 0 THEN 'c_' || {_s('o_orderkey')} END AS column_name,
+               CASE WHEN o_orderstatus = 'F' THEN 'no ' || o_orderpriority END AS error
+        FROM {{orders}}""",
+    "doc_ctes": f"""
+        SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS script_id,
+               'src_' || {_s('o_orderkey % 13')} AS name FROM {{orders}} WHERE o_orderstatus = 'F'""",
     "chosen_schemas": f"""
         SELECT DISTINCT {_CONN} AS conn_id, {_SCHEMA} AS schema_name FROM {{orders}} WHERE {_T} % 4 > 0""",
     "chosen_tables": f"""

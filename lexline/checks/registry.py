@@ -1032,6 +1032,58 @@ def discover_selected(load):
     )
 
 
+# ---- less common cases of operators above ----------------------------------------------------
+
+
+@query(
+    needs=(*_CATALOG, "listed_connections"),
+    sql=_LABELS_SQL
+    + """ SELECT conn_id, schema_name, table_name, string_agg(label, ', ' ORDER BY pos) AS metadata FROM labels GROUP BY ALL
+          UNION ALL SELECT conn_id, NULL, NULL, NULL FROM listed_connections
+            WHERE conn_id NOT IN (SELECT conn_id FROM dictionary)""",
+)
+def connection_overview(load):
+    overview = catalog.table_overview(_labels(load), load("listed_connections"))
+    return overview.withColumn("metadata", F.array_join("metadata", ", "))
+
+
+@query(
+    needs=("asset_json",),
+    sql=_ASSET_COLUMNS_SQL + " SELECT guid, pos, name, name || ': (' || type || ')' AS label FROM cols",
+)
+def bare_asset_labels(load):
+    return assets.asset_labels(assets.asset_columns(load("asset_json")), notes=False)
+
+
+@query(
+    needs=("doc_rows", "doc_ctes"),
+    sql=_EDGES_SQL
+    + """ SELECT n.script_id, n.name, CASE WHEN c.name IS NULL THEN kind ELSE 'cte' END AS kind, layer, layer_no
+          FROM nodes n LEFT JOIN (SELECT script_id, upper(name) AS name FROM doc_ctes) c
+            ON c.script_id = n.script_id AND c.name = n.name""",
+)
+def node_kinds(load):
+    return lineage.lineage_nodes(_filled(load), load("doc_ctes"))
+
+
+@query(
+    needs=("comment_results",),
+    sql="""SELECT '- ' || fq_table || '.' || coalesce(column_name, '[TABLE_DESC]') || ': ' || error AS line
+           FROM comment_results WHERE error IS NOT NULL""",
+)
+def failure_lines(load):
+    return publish.failure_lines(load("comment_results"))
+
+
+@query(
+    needs=("comment_results",),
+    sql="""SELECT fq_table, count(*) FILTER (error IS NULL AND level = 'COLUMN') AS succeeded,
+             count(*) FILTER (error IS NOT NULL) AS failed FROM comment_results GROUP BY ALL""",
+)
+def comment_summary(load):
+    return publish.publish_summary(load("comment_results"), ["fq_table"])
+
+
 # ---- flows over texts that were generated elsewhere -------------------------------------------
 
 
