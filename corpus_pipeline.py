@@ -17,7 +17,7 @@ from lexline.session import durable
 
 #: Columns that operators add to documents; a document's own column of such a name is set aside.
 _MADE = {
-    "lang_pred", "lang_score", "base_failed", "kept", "longest", "spans", "items", "_id",
+    "lang_pred", "lang_score", "base_failed", "kept", "longest", "spans", "items", "_at",
     "_words", "_lines", "_counts", "_limits", *quality.COUNTS,
 }
 
@@ -50,11 +50,15 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of near-duplicates. Rows with the same id and
-    text count as one document and stay together; a null id stays unless its text is another's."""
-    rows = _aside(docs)
-    gone = neardup.near_duplicates(rows).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return _back(rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti"), docs)
+    """One row of every group of near-duplicates, the one with the smallest id. Each row is judged by
+    its own text: rows that share an id, or have none, are linked like others, and a row without an id
+    goes if its group has one with an id. Of equal ids any one row stays."""
+    numbered = durable(_aside(docs).withColumn("_at", F.monotonically_increasing_id()))
+    linked = durable(neardup.near_duplicates(numbered, key="_at").select("_at", "component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_at"))
+    stay = linked.join(numbered.select("_at", "doc_id"), "_at").groupBy("component_id").agg(first.alias("first"))
+    gone = linked.select("_at").join(stay.select("first._at"), "_at", "left_anti")
+    return _back(numbered.join(gone, "_at", "left_anti"), docs)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

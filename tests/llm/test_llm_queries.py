@@ -190,3 +190,18 @@ def test_stages_keep_columns_of_clashing_names(spark):
         assert all(r["N_Words"] == r["doc_id"] and r["kept"] == "x" for r in left.where("doc_id >= 0").collect())
         assert stage(spark, docs.limit(0), DATA).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 40
+
+
+def test_near_duplicates_are_dropped_row_by_row(spark):
+    text = {n: " ".join(f"{n}{i}" for i in range(60)) for n in "abcdefg"}
+    near = text["c"] + " end"
+    given = [
+        (1, text["a"]), (None, text["a"]), (None, text["b"]), (None, text["b"] + " end"), (2, text["c"]), (5, near),
+        (5, text["d"]), (5, text["e"]), (7, text["f"]), (7, text["f"]), (None, text["g"]), (None, None), (None, ""),
+    ]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(given)], "doc_id long, text string, _at long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, DATA)
+    assert left.columns == docs.columns
+    got = sorted(r["_at"] for r in left.collect())
+    assert [i for i in got if i not in (2, 3, 8, 9)] == [0, 4, 6, 7, 10, 11, 12]
+    assert len({2, 3} & set(got)) == len({8, 9} & set(got)) == 1
