@@ -298,6 +298,27 @@ def test_licenses_found_whole_in_part_and_not(spark, odd, none):
     assert licenses.find_licenses(odd, (("empty", ""),)).where(F.size("licenses") > 0).count() == 0
 
 
+def test_licenses_of_a_family_are_told_apart(spark):
+    gnu = {name: licenses._gnu_notices(*of) for name, *of in licenses._GNU}
+    texts = [(name, t) for name, ts in gnu.items() for t in ts]
+    texts += [(name, f"{ts[-1]}; if not, write to the Free Software Foundation, Inc.") for name, ts in gnu.items()]
+    texts += licenses._whole_texts()
+    texts += [(name, t) for name, t in licenses.NOTICES if name != "bsd"]
+    texts += [
+        ("gpl-2.0,gpl-3.0", f"{gnu['gpl-3.0'][2]} {gnu['gpl-2.0'][2]}"),
+        ("lgpl-2.1", " ".join(gnu["lgpl-2.1"][2].split()[3:-3])),
+        ("bsd", f"{licenses._BSD}:"),
+        ("", "This work is licensed under the GNU General Public License, version 9."),
+        ("", "This work is licensed under a Creative Commons License."),
+    ]
+    rows = [(i, f"{prose(30)}\n{t}\n{prose(20)}") for i, (_, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = licenses.find_licenses(docs)
+    assert "from_json" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["doc_id"]: ",".join(x["license"] for x in r["licenses"]) for r in found.collect()}
+    assert [(i, got[i]) for i in range(len(texts))] == [(i, name) for i, (name, _) in enumerate(texts)]
+
+
 # Token counts
 
 
