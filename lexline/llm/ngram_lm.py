@@ -7,8 +7,9 @@ a probe fails. Rates come from these levels and are smoothed towards the word's
 
 Training: every task counts the n-grams of its texts, sorted by hash, in one block for each segment
 of the hash range; each segment is summed and turned into bits of its own. The filter is sent to the
-workers if its measured size is below a limit; beyond it, probes go to the segments instead of
-the segments to the workers, with the same result.
+workers if its measured size is below a limit; beyond it, the distinct n-grams of a block of texts are
+dealt to the segments, each of which is read once for a bounded share of them, and their levels go
+back to the block, with the same result.
 
 Exact word counts, which the base score needs, are summed as a table. The most frequent words, a
 fixed number, are sent to the workers; occurrences of all others are joined with the table.
@@ -32,6 +33,8 @@ from lexline.session import durable
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 #: n-grams a task holds before it gives them out.
 _HELD = 3_000_000
+#: Tokens after which a block of texts is closed: what one task scores at a time with a filter that is not sent.
+_BLOCK = 500_000
 
 
 @dataclass(frozen=True)
@@ -222,7 +225,7 @@ def score(
     every token is unknown.
     """
     spark = docs.sparkSession
-    made = ("n_tokens", "n_known", "train_tokens", "base_score", "lm_score", "_row", "_rare")
+    made = ("n_tokens", "n_known", "train_tokens", "base_score", "lm_score", "_row", "_rare", "_block")
     base = docs.drop(*[c for c in docs.columns if c.lower() in made])
     learned = docs.where(F.coalesce(training, F.lit(False))).select(F.col(text).cast("string"))
     counts = durable(word_counts(learned))
@@ -239,11 +242,12 @@ def score(
     sent = spark.sparkContext.broadcast(
         Filter({r["segment"]: bytes(r["bits"]) for r in stored.toLocalIterator()}, segments, settings) if small else None
     )
-    schema = "_row long, _n long, _known long, _sum double, _rare binary, _score double"
+    schema = "_row long, _n long, _known long, _sum double, _rare binary, _score double, _block long"
     place = base.columns.index(text)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, (common, c), model = TaskContext.get().partitionId() << 33, frequent.value, sent.value
+        block, held = row, 0
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch, rows = whole.slice(at, 512), []
@@ -254,8 +258,10 @@ def score(
                     where = np.minimum(np.searchsorted(common, signed), max(0, len(common) - 1))
                     known = common[where] == signed if len(common) else np.zeros(len(token), bool)
                     log_sum = float(np.log10(c[where[known]] + 1).sum())
-                    rows.append((row, len(token), int(known.sum()), log_sum, signed[~known].tobytes(), value))
-                    row += 1
+                    rows.append((row, len(token), int(known.sum()), log_sum, signed[~known].tobytes(), value, block))
+                    row, held = row + 1, held + len(token)
+                    if held >= _BLOCK:
+                        block, held = row, 0
                 columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema([*batch.schema, *fields]))
 
@@ -266,6 +272,7 @@ def score(
         pa.field("_sum", pa.float64()),
         pa.field("_rare", pa.binary()),
         pa.field("_score", pa.float64()),
+        pa.field("_block", pa.int64()),
     ]
     out_schema = spark.createDataFrame([], schema).schema
     measured = base.mapInArrow(measure, type(out_schema)([*base.schema.fields, *out_schema.fields]))
@@ -288,7 +295,7 @@ def score(
     )
     joined = measured.drop("_rare").join(found, "_row", "left")
     if not small:
-        joined = joined.drop("_score").join(_by_probes(measured, place, stored, segments, total, settings), "_row")
+        joined = joined.drop("_score").join(_by_probes(measured, place, stored, segments, n, total, settings), "_row")
     nothing = F.lit(0)
     return joined.select(
         *[F.col(f"`{x}`") for x in base.columns],
@@ -300,58 +307,69 @@ def score(
     )
 
 
-def _by_probes(measured: DataFrame, place: int, stored: DataFrame, segments: int, total: float, settings: Settings) -> DataFrame:
-    """(_row, _score) for a filter that is too large to send: the distinct n-grams of each text meet
-    their segment, and their levels go back to the text."""
-    name = measured.columns[place]
+def _by_probes(
+    measured: DataFrame, place: int, stored: DataFrame, segments: int, learned: int, total: float, settings: Settings
+) -> DataFrame:
+    """(_row, _score) for a filter that is too large to send. A block of texts asks each segment for its
+    distinct n-grams, so a frequent one is asked once a block. Where more tokens are scored than were
+    ``learned``, the blocks are parted by a salt, and a segment is sent once for each: a group holds the
+    n-grams of about ``segment_tokens`` tokens and one segment, whatever the size of the corpus."""
+    texts = measured.select("_block", "_row", F.col(f"`{measured.columns[place]}`").cast("string").alias("text"))
+    scored = measured.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    salts = 1 + scored // max(1, learned)
+
+    def kinds(token: np.ndarray) -> np.ndarray:
+        return np.concatenate([[START], token, bigrams(token)])
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r, t in zip(batch.column(0), batch.column(1), strict=True):
-                token = tokens(t.as_py())
-                hashes = np.unique(np.concatenate([[START], token, bigrams(token)]))
-                ends = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
-                own = np.flatnonzero(ends[1:] > ends[:-1])
+        def asked(block: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            hashes = np.unique(np.concatenate(parts))
+            ends = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
+            own = np.flatnonzero(ends[1:] > ends[:-1])
+            for at in range(0, len(own), 64):
+                some = own[at : at + 64]
+                packed = [_packed(hashes[ends[s] : ends[s + 1]]) for s in some]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r.as_py()] * len(own), pa.int64()),
-                        pa.array(own, pa.int32()),
-                        pa.array([hashes[ends[s] : ends[s + 1]].tobytes() for s in own], pa.binary()),
-                    ],
-                    ["_row", "segment", "hashes"],
+                    [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())],
+                    ["_block", "segment", "hashes"],
                 )
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = (-1, None)
+        last, parts = None, []
         for batch in batches:
-            got = []
-            for s, packed, bits in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if s != last[0]:
-                    last = (s, Filter({s: bits.as_py()}, segments, settings))
-                got.append(last[1].level(np.frombuffer(packed.as_py(), np.uint64)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(got, pa.binary())], ["_row", "hashes", "levels"]
-            )
-
-    asked = measured.select("_row", F.col(f"`{name}`").cast("string")).mapInArrow(
-        probes, "_row long, segment int, hashes binary"
-    )
-    told = asked.join(stored, "segment").sortWithinPartitions("segment").select("_row", "segment", "hashes", "bits")
-    answers = told.mapInArrow(read, "_row long, hashes binary, levels binary").groupBy("_row").agg(
-        F.collect_list(F.struct("hashes", "levels")).alias("told")
+            for block, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if block != last and parts:
+                    yield from asked(last, parts)
+                    parts = []
+                last = block
+                parts.append(np.unique(kinds(tokens(t.as_py()))))
+        if parts:
+            yield from asked(last, parts)
+
+    def read(asked: pa.Table, own: pa.Table) -> pa.Table:
+        bits = {s.as_py(): b.as_py() for s, b in zip(own["segment"], own["bits"], strict=True)}
+        model = Filter(bits, segments, settings)
+        told = [model.level(_unpacked(x.as_py())).astype(np.uint8).tobytes() for x in asked["hashes"]]
+        return pa.table(
+            {"_block": asked["_block"], "segment": asked["segment"], "levels": pa.array(told, pa.binary())}
+        )
+
+    def rate(own: pa.Table, told: pa.Table) -> pa.Table:
+        parts = [tokens(t.as_py()) for t in own["text"]]
+        hashes = np.unique(np.concatenate([np.unique(kinds(p)) for p in parts]))
+        # Segments are parts of the hash range, so levels in their order are in that of the hashes.
+        order = np.argsort(told["segment"].to_numpy())
+        levels_of = told["levels"].to_pylist()
+        level = np.concatenate([np.frombuffer(levels_of[k], np.uint8) for k in order]).astype(np.int64)
+        scores = _text_scores(parts, lambda h: level[np.searchsorted(hashes, h)], total, settings)
+        return pa.table({"_row": own["_row"], "_score": pa.array(scores, pa.float64())})
+
+    salt = F.pmod(F.xxhash64("_block"), F.lit(salts)).alias("salt")
+    asked = texts.select("_block", "text").mapInArrow(probes, "_block long, segment int, hashes binary")
+    sent = stored.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    told = (
+        asked.select("*", salt)
+        .groupBy("segment", "salt")
+        .cogroup(sent.groupBy("segment", "salt"))
+        .applyInArrow(read, "_block long, segment int, levels binary")
     )
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = []
-            for t, told in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                hashes = np.concatenate([np.frombuffer(x["hashes"], np.uint64) for x in told])
-                level = np.concatenate([np.frombuffer(x["levels"], np.uint8) for x in told])
-                order = np.argsort(hashes)
-                hashes, level = hashes[order], level[order].astype(np.int64)
-                own = [tokens(t.as_py())]
-                scores.append(_text_scores(own, lambda h: level[np.searchsorted(hashes, h)], total, settings)[0])  # noqa: B023
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["_row", "_score"])
-
-    texts = measured.select("_row", F.col(f"`{name}`").cast("string").alias("text"))
-    return texts.join(answers, "_row").mapInArrow(rate, "_row long, _score double")
+    return texts.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(rate, "_row long, _score double")

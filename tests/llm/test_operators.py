@@ -406,6 +406,19 @@ def test_scores_equal_counting_and_either_way_of_probing(spark, odd, none):
     assert {r["n_known"] for r in untrained} == {0} and {r["train_tokens"] for r in untrained} == {0}
 
 
+def test_segments_are_sent_to_blocks_of_texts_not_to_each(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "_BLOCK", 150)
+    docs = spark.createDataFrame([(i, prose(40, "abc", seed=i % 50)) for i in range(120)], "doc_id long, text string").repartition(3)
+    runs = []
+    for most in (1 << 20, 0):
+        s = ngram_lm.Settings(frequent=3, segment_tokens=40, broadcast_bytes=most)
+        got = ngram_lm.score(docs, F.col("doc_id") < 10, settings=s)
+        runs.append(sorted((r["doc_id"], round(r["lm_score"], 9)) for r in got.collect()))
+    assert runs[0] == runs[1] and len(runs[0]) == 120
+    readers = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "bits#" in x and " read(" in x]
+    assert readers and all("CoGroups" in x for x in readers)
+
+
 def test_filter_reads_back_levels():
     s, r = ngram_lm.Settings(), np.random.default_rng(2)
     hashes = np.unique(r.integers(0, 1 << 63, 20_000, dtype=np.uint64))
