@@ -220,10 +220,11 @@ def n_hit(spans: Column) -> Column:
 
 
 def remove_spans(
-    found: DataFrame, *, max_run: int = 9, max_share: float = 0.5, text: str = "text"
+    found: DataFrame, *, max_run: int = 0, max_share: float = 0.5, text: str = "text"
 ) -> DataFrame:
     """Result of ``find_spans`` without the passages: spans of more than ``max_run`` words are cut
     out of the text, and a document of whose words more than ``max_share`` are hit goes as a whole.
+    Spans shorter than a window are whole items of few words; by default these are cut as well.
 
     A cut takes the text from the first character of the first word to the last of the last, and
     leaves all else as it is. Documents without such spans are returned unchanged, null texts too.

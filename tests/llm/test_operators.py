@@ -220,6 +220,19 @@ def test_spans_found_and_removed(spark, odd, none, max_words):
     assert whole.count() == odd.count() and whole.where(F.size("spans") > 0).count() == 0
 
 
+@pytest.mark.parametrize("max_words", [250_000, 8])
+def test_whole_short_items_are_cut(spark, max_words):
+    items = [(1, "How far is the moon, exactly?"), (2, prose(30, seed=8)), (3, "lone")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    before, after = prose(40, "ABCDE", seed=6), prose(40, "ABCDE", seed=7)
+    texts = [f"{before} how far IS the moon exactly; {after}", f"{before} how far is the moon {after}", f"{before} (lone) {after}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.find_spans(docs, bench, max_words=max_words)
+    left = dict(rows_of(decontaminate.remove_spans(found), "doc_id", "text"))
+    assert left == {0: f"{before} ; {after}", 1: texts[1], 2: f"{before} () {after}"}
+    assert decontaminate.find_spans(decontaminate.remove_spans(found), bench).where(F.size("spans") > 0).count() == 0
+
+
 # Toxicity
 
 
