@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexline.llm import (
+    codebooks,
     decontaminate,
     language,
     licenses,
@@ -23,7 +24,6 @@ from lexline.llm.common import remainder, table
 from lexline.session import durable
 
 
-
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer's file, the same on all machines."""
     import public_tokenizers
@@ -164,6 +164,71 @@ def op10_quality(spark, sf_dir):
     )
 
 
+@query
+def op11_vector_codes(spark, sf_dir):
+    """Codes of 16 parts and 64 entries after two rounds; see ``codebooks.compress`` for odd rows."""
+    return codebooks.compress(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256"
+    )
+
+
+def _op11_sql() -> str:
+    """The same by a full comparison of parts and entries in each round."""
+
+    def assigned(n: int) -> str:
+        return f"""
+        a{n} AS (
+            SELECT vec_id, p, any_value(label) AS label, any_value(x) AS x,
+                min(CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 64 + e)
+                    AS best
+            FROM parts JOIN c{n} USING (p) GROUP BY vec_id, p
+        )"""
+
+    def means(n: int) -> str:
+        return f"""
+        c{n} AS (
+            SELECT c{n - 1}.p, c{n - 1}.e, coalesce(m.c, c{n - 1}.c) AS c
+            FROM c{n - 1} LEFT JOIN (
+                SELECT p, e, list(CAST(floor(total / members) AS BIGINT) ORDER BY i) AS c
+                FROM (
+                    SELECT p, best % 64 AS e, i, CAST(sum(x[i]) AS DOUBLE) AS total, count(*) AS members
+                    FROM a{n - 1} CROSS JOIN unnest(range(1, len(x) + 1)) AS places(i) GROUP BY ALL
+                ) GROUP BY p, e
+            ) AS m USING (p, e)
+        )"""
+
+    steps = ",".join([assigned(0), means(1), assigned(1), means(2), assigned(2)])
+    return f"""
+    WITH kept AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    parts AS (
+        SELECT vec_id, label, p, list_slice(v, p * (len(v) // 16) + 1, (p + 1) * (len(v) // 16)) AS x
+        FROM kept CROSS JOIN range(16) AS positions(p)
+    ),
+    c0 AS (
+        SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+        FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)
+    ),
+    {steps},
+    coded AS (
+        SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code,
+            CAST(sum(best // 64) AS BIGINT) AS error
+        FROM a2 GROUP BY vec_id
+    ),
+    entries AS (
+        SELECT sha256(coalesce(string_agg(array_to_string(c, ','), ',' ORDER BY p, e), '')) AS codebooks_sha256 FROM c2
+    )
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM coded CROSS JOIN entries
+    """
+
+
+ORACLES["op11_vector_codes"] = _op11_sql()
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
