@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from lexline.llm import (
     codebooks,
+    conversations,
     decontaminate,
     language,
     licenses,
+    mixture,
     neardup,
     ngram_lm,
     packing,
@@ -229,6 +231,18 @@ def _op11_sql() -> str:
 ORACLES["op11_vector_codes"] = _op11_sql()
 
 
+@query
+def op12_mixture(spark, sf_dir):
+    """A mix of one and a half times all words, weights 3, 1, 2; see ``mixture.mix`` for odd rows."""
+    return mixture.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op13_conversations(spark, sf_dir):
+    """Cheapest edits of every conversation; see ``conversations.repair`` for odd rows."""
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 @query
 def pipeline(spark, sf_dir):
     import corpus_pipeline
