@@ -156,7 +156,7 @@ SQL = {
                || 'FROM src_' || {_s('o_orderkey % 13')} || ' a LEFT JOIN dbo.cust_' || {_s('o_custkey % 17')}
                || ' AS b ON a.id = b.id AND b.flag = ''from x join y''' || chr(10)
                || 'JOIN c_' || {_s('o_orderkey % 5')} || ' ON a.id=c_' || {_s('o_orderkey % 5')} || '.id'
-               || chr(10) || 'WHERE a.st <> 3 /* join z */ OR b.note IS NULL' || chr(10) || CASE o_orderkey % 7
+               || chr(10) || 'WHERE a.st <> 3 /* join z */ OR b.note IS NULL' || chr(10) || CASE o_orderkey % 15
                  WHEN 1 THEN 'MERGE INTO [dbo].[m_' || {_s('o_orderkey % 29')} || '] t USING "S"."q_1" s ON t.id = s.id '
                    || 'WHEN MATCHED THEN UPDATE SET a = 1'
                  WHEN 2 THEN 'UPDATE u_' || {_s('o_orderkey % 23')} || ' SET a = ''x--y'' FROM p_1 x, p_2 AS y, p_3 '
@@ -164,6 +164,20 @@ SQL = {
                  WHEN 3 THEN 'DELETE FROM d_' || {_s('o_orderkey % 11')} || ' WHERE id IN (SELECT e.id FROM e_1 e)'
                  WHEN 4 THEN 'insert @v_1 select z.id from @w_1 z, [w 2] v'
                  WHEN 5 THEN 'WITH k (i, j) AS (SELECT 1, ''it''''s -- not''), l AS(SELECT i FROM k) INSERT INTO n SELECT l.i FROM l'
+                 WHEN 6 THEN ';SELECT a.id, sum(b.amt) AS amt INTO #tmp_' || {_s('o_orderkey % 29')} || ' FROM s6_1 a JOIN r6_1 b '
+                   || 'ON a.dt >= b.lo AND a.dt < b.hi GROUP BY a.id'
+                 WHEN 7 THEN 'CREATE TABLE ct_' || {_s('o_orderkey % 23')} || ' AS SELECT q.id FROM (SELECT x.id FROM s7_1 x) q, '
+                   || 't7_' || {_s('o_custkey % 9')} || ' z WHERE z.id = q.id'
+                 WHEN 8 THEN 'CREATE OR REPLACE VIEW v8_' || {_s('o_orderkey % 23')} || ' (y) AS SELECT EXTRACT(YEAR FROM o.dt) '
+                   || 'FROM o8_1 o WHERE o.dt BETWEEN 1 AND 5'
+                 WHEN 9 THEN 'CURSOR cur_' || {_s('o_orderkey % 29')} || ' IS SELECT h.id FROM h9_1 h WHERE h.flag NOT IN (1, 2) FOR UPDATE;'
+                 WHEN 10 THEN 'DECLARE crs_1 CURSOR LOCAL FOR SELECT i.id FROM i10_' || {_s('o_custkey % 7')} || ' i;'
+                   || 'FETCH NEXT FROM crs_1 INTO @x;'
+                 WHEN 11 THEN 'DELETE g FROM g11_' || {_s('o_orderkey % 11')} || ' g JOIN [k 11] k ON g.id = k.id'
+                 WHEN 12 THEN 'UPDATE y SET y.a = w.b FROM y12_' || {_s('o_orderkey % 11')} || ' y INNER JOIN w12_1 w ON y.id = w.id '
+                   || 'WHERE w.ok IS NOT NULL'
+                 WHEN 13 THEN ';SELECT trim(LEADING FROM u.nm) FROM u13_1 u WITH (NOLOCK), v13_1 (NOLOCK) '
+                   || 'WHERE u.id = v13_1.id AND u.a IS DISTINCT FROM 3'
                  ELSE '' END AS text
         FROM {{orders}}""",
     "glossary5": f"""

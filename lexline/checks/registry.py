@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -763,56 +764,57 @@ def dot_text(load):
     return lineage.dot_text(_filled(load))
 
 
-_CLEAN = "text"
-for _pattern, _by in ((scripts.LITERAL_OR_COMMENT, " \\1\\1 "), (scripts.DELIMITED, "\\1"), (scripts.DELETE_FROM, "delete ")):
-    _CLEAN = f"regexp_replace({_CLEAN}, {_literal(_pattern)}, '{_by}', 'g')"
-
-
-def _found(pattern: str, group: int = 1) -> str:
-    return f"regexp_extract_all(q, {_literal(pattern)}, {group})"
-
-
-_NOT_ALIAS = ", ".join(_literal(w) for w in scripts._NOT_ALIASES)
-_NOT_TARGET = ", ".join(_literal(w) for w in scripts._NOT_TARGETS)
-_SCRIPT_SQL = f"""
-    clean AS (SELECT script_id, {_CLEAN} AS q FROM scripts),
-    found AS (SELECT script_id, flatten(list_transform({_found(scripts.SOURCES)}, lambda x: string_split(x, ','))) AS items,
-                {_found(scripts.TARGET)} AS targets, {_found(scripts.CTE)} AS ctes, {_found(scripts.JOIN)} AS joins,
-                {_found(scripts.FILTER)} AS filters FROM clean),
-    named_items AS (
-      SELECT script_id, i, {_ENTITY.format(f"regexp_extract(items[i], {_literal(scripts.ITEM_NAME)}, 1)")} AS name,
-        upper(regexp_extract(items[i], {_literal(scripts.ITEM_ALIAS)}, 1)) AS a
-      FROM found, UNNEST(range(1, len(items) + 1)) t(i)),
-    aliased AS (SELECT script_id, i, name, CASE WHEN a IN ('', {_NOT_ALIAS}) THEN name ELSE a END AS alias FROM named_items),
-    cte_names AS (SELECT script_id, upper(unnest(ctes)) AS name FROM found)"""
-
-
-@query(
-    needs=("scripts",),
-    sql=_SCRIPT_SQL
-    + f""" SELECT DISTINCT script_id, {_ENTITY.format('n')} AS name, 'target' AS role, '' AS alias
-           FROM (SELECT script_id, unnest(targets) AS n FROM found) WHERE upper(n) NOT IN ({_NOT_TARGET})
-           UNION SELECT script_id, name, 'cte', '' FROM cte_names
-           UNION SELECT script_id, name, 'source', alias FROM aliased a WHERE NOT EXISTS
-             (SELECT 1 FROM cte_names c WHERE c.script_id = a.script_id AND c.name = a.name)""",
-)
+#: What each script must give, by the form it ends with (``o_orderkey % 15``, None for all): references
+#: (name, role, alias) and conditions (use, table, column). ``N % 29`` in a name is that number.
+_SCRIPT_FORMS: list[tuple[int | None, str, str]] = [
+    (
+        None,
+        "C_{k % 5} cte, STG_{k % 31} target, RAW_{k % 19} source R, SRC_{k % 13} source A, DBO.CUST_{c % 17} source B",
+        "join SRC_{k % 13} ID, join DBO.CUST_{c % 17} ID, join C_{k % 5} ID, filter DBO.CUST_{c % 17} FLAG, "
+        "filter SRC_{k % 13} ST, filter DBO.CUST_{c % 17} NOTE",
+    ),
+    (1, "DBO.M_{k % 29} target T, S.Q_1 source S", "join DBO.M_{k % 29} ID, join S.Q_1 ID"),
+    (2, "U_{k % 23} target, P_1 source X, P_2 source Y, P_3 source P_3", "join P_1 ID, join P_2 ID, filter P_3 K"),
+    (3, "D_{k % 11} target, E_1 source E", ""),
+    (4, "V_1 target, W_1 source Z, W~2 source V", ""),
+    (5, "K cte, L cte, N target", ""),
+    (6, "#TMP_{k % 29} target, S6_1 source A, R6_1 source B", "join S6_1 DT, join R6_1 LO, join R6_1 HI"),
+    (7, "CT_{k % 23} target, S7_1 source X, T7_{c % 9} source Z", "join T7_{c % 9} ID, join Q ID"),
+    (8, "V8_{k % 23} target, O8_1 source O", "filter O8_1 DT"),
+    (9, "CUR_{k % 29} target, H9_1 source H", "filter H9_1 FLAG"),
+    (10, "CRS_1 target, I10_{c % 7} source I, CRS_1 source CRS_1", ""),
+    (11, "G11_{k % 11} target, G11_{k % 11} source G, K~11 source K", "join G11_{k % 11} ID, join K~11 ID"),
+    (12, "Y12_{k % 11} target, Y12_{k % 11} source Y, W12_1 source W", "join Y12_{k % 11} ID, join W12_1 ID, filter W12_1 OK"),
+    (13, "U13_1 source U, V13_1 source V13_1", "join U13_1 ID, join V13_1 ID"),
+]
+
+
+def _forms_sql(which: int, columns: Sequence[str]) -> str:
+    """One SELECT for each row that a form gives, written from the forms and not from the scanner."""
+
+    def value(text: str) -> str:
+        text = _literal(text.replace("~", " "))
+        for letter, column in (("k", "o_orderkey"), ("c", "o_custkey")):
+            text = re.sub(r"{" + letter + r" % (\d+)}", rf"' || CAST({column} % \1 AS VARCHAR) || '", text)
+        return text
+
+    parts = []
+    for form in _SCRIPT_FORMS:
+        where = "" if form[0] is None else f" WHERE o_orderkey % 15 = {form[0]}"
+        for item in filter(None, form[which].split(", ")):
+            fields = re.findall(r"(?:{[^}]*}|\S)+", item)
+            cells = [value(f) for f in [*fields, ""][: len(columns)]]
+            listed = ", ".join(f"{v} AS {c}" for v, c in zip(cells, columns, strict=True))
+            parts.append(f"SELECT o_orderkey AS script_id, {listed} FROM orders{where}")
+    return "SELECT DISTINCT * FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+@query(sql=_forms_sql(1, ["name", "role", "alias"]))
 def script_table_refs(load):
     return scripts.script_table_refs(load("scripts"))
 
 
-@query(
-    needs=("scripts",),
-    sql=_SCRIPT_SQL
-    + f""",
-    uses AS (
-      SELECT script_id, 'join' AS use, {_strip("unnest(string_split(j, '='))")} AS ref
-      FROM (SELECT script_id, unnest(joins) AS j FROM found)
-      UNION ALL SELECT script_id, 'filter', unnest(filters) FROM found),
-    firsts AS (SELECT script_id, alias, arg_min(name, i) AS name FROM aliased GROUP BY ALL)
-    SELECT DISTINCT u.script_id, use, coalesce(name, upper(split_part(ref, '.', 1))) AS table_name,
-      upper(split_part(ref, '.', 2)) AS column_name
-    FROM uses u LEFT JOIN firsts f ON f.script_id = u.script_id AND f.alias = upper(split_part(ref, '.', 1))""",
-)
+@query(sql=_forms_sql(2, ["use", "table_name", "column_name"]))
 def script_joins(load):
     return scripts.script_joins(load("scripts"))
 

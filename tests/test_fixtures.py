@@ -641,6 +641,90 @@ def test_script_reference_forms(spark):
     assert ("filter", "S2", "K") in values(scripts.script_joins(df.where("script_id = 1")), "use", "table_name", "column_name")
 
 
+SCANNED = {
+    "SELECT a.x INTO #tmp FROM src a; SELECT v.y INTO v_a, v_b FROM w v": [
+        ("#TMP", "target", ""), ("SRC", "source", "A"), ("W", "source", "V"),
+    ],
+    "CREATE TABLE IF NOT EXISTS c AS SELECT * FROM s; CREATE TABLE d (id int, k varchar(3) DEFAULT 'from x')": [
+        ("C", "target", ""), ("S", "source", "S"),
+    ],
+    "create or replace view v (a, b) as with k as (select 1 from base) select * from k, z": [
+        ("BASE", "source", "BASE"), ("K", "cte", ""), ("V", "target", ""), ("Z", "source", "Z"),
+    ],
+    "CURSOR c (p IN number) IS SELECT id FROM h FOR UPDATE; DECLARE d CURSOR LOCAL FOR SELECT 1 FROM g; FETCH NEXT FROM d INTO @x": [
+        ("C", "target", ""), ("D", "source", "D"), ("D", "target", ""), ("G", "source", "G"), ("H", "source", "H"),
+    ],
+    "SELECT * FROM [my table] m, \"Other Table\" JOIN `x y`.`z` ON m.a = 1, last l": [
+        ("LAST", "source", "L"), ("MY TABLE", "source", "M"), ("OTHER TABLE", "source", "OTHER TABLE"), ("X Y.Z", "source", "X Y.Z"),
+    ],
+    "SELECT * FROM (SELECT a FROM (SELECT b FROM deep) i) q (a, b), t2 z LEFT JOIN t3 ON f(z.a, 1) = 2, t4": [
+        ("DEEP", "source", "DEEP"), ("T2", "source", "Z"), ("T3", "source", "T3"), ("T4", "source", "T4"),
+    ],
+    "SELECT * FROM (a JOIN b ON a.i = b.i) JOIN c USING (i, j), d": [
+        ("A", "source", "A"), ("B", "source", "B"), ("C", "source", "C"), ("D", "source", "D"),
+    ],
+    "DELETE a FROM tgt a JOIN src s ON a.i = s.i; DELETE TOP (5) FROM other; DELETE FROM x WHERE y = 1": [
+        ("OTHER", "target", ""), ("SRC", "source", "S"), ("TGT", "source", "A"), ("TGT", "target", ""), ("X", "target", ""),
+    ],
+    "UPDATE a SET a.v = s.v, w = 1 FROM dbo.tgt AS a, src s": [
+        ("DBO.TGT", "source", "A"), ("DBO.TGT", "target", ""), ("SRC", "source", "S"),
+    ],
+    "SELECT EXTRACT(YEAR FROM o.dt), TRIM(LEADING FROM o.n) FROM o WHERE o.a IS DISTINCT FROM b AND EXISTS (SELECT 1 FROM e)": [
+        ("E", "source", "E"), ("O", "source", "O"),
+    ],
+    "SELECT * FROM t WITH (NOLOCK), u x WITH (NOLOCK, INDEX(1)) JOIN v (NOLOCK) ON 1 = 1 CROSS APPLY f(x.a) y, generate(1, 2) g": [
+        ("T", "source", "T"), ("U", "source", "X"), ("V", "source", "V"),
+    ],
+    "INSERT ALL INTO a (x) VALUES (1) INTO b VALUES (2) SELECT * FROM s; INSERT OVERWRITE TABLE c SELECT 1": [
+        ("A", "target", ""), ("B", "target", ""), ("C", "target", ""), ("S", "source", "S"),
+    ],
+    "MERGE INTO t USING (SELECT * FROM s) q ON t.i = q.i WHEN MATCHED THEN UPDATE SET a = 1, b = 2 WHEN NOT MATCHED THEN INSERT (a) VALUES (1)": [
+        ("S", "source", "S"), ("T", "target", ""),
+    ],
+    "CREATE TABLE k (i int REFERENCES p ON DELETE CASCADE ON UPDATE SET NULL); SELECT 1 FROM a UNION ALL SELECT 2 FROM b": [
+        ("A", "source", "A"), ("B", "source", "B"),
+    ],
+    "SELECT 'it''s FROM x -- ' /* FROM y */ FROM z -- FROM w": [("Z", "source", "Z")],
+    "": [],
+}
+
+
+def test_scripts_are_scanned_form_by_form(spark):
+    df = spark.createDataFrame([*enumerate(SCANNED), (99, None)], "script_id int, text string")
+    got = {i: [] for i in range(len(SCANNED))}
+    for i, *ref in values(scripts.script_table_refs(df), "script_id", "name", "role", "alias"):
+        got[i].append(tuple(ref))
+    assert {text: sorted(got[i]) for i, text in enumerate(SCANNED)} == {t: sorted(r) for t, r in SCANNED.items()}
+
+
+def test_script_conditions(spark):
+    texts = {
+        1: "SELECT * FROM a x JOIN b y ON x.lo >= y.d AND x.hi<y.d AND x.k <> 'n' WHERE NOT y.z IN (1) OR x.n IS NOT NULL",
+        2: "UPDATE t SET t.a = s.b FROM s WHERE s.c NOT LIKE 'x%' AND s.d = @p AND t.i = s.i AND s.e BETWEEN 1 AND 2",
+        3: "SELECT 1 FROM p a WHERE a.i = 1; SELECT 1 FROM q a WHERE a.j = 2; DELETE r WHERE zz.k = 3",
+        4: "SELECT CASE WHEN a.x = 1 THEN 2 END FROM db.s.t a WHERE db.s.t.y > 3 AND a.w = (SELECT max(b.w) FROM b)",
+        5: "MERGE tgt t USING src s ON t.id = s.id WHEN MATCHED THEN UPDATE SET t.v = s.v",
+    }
+    df = spark.createDataFrame(list(texts.items()), "script_id int, text string")
+    got = {}
+    for i, use, table, column in values(scripts.script_joins(df), "script_id", "use", "table_name", "column_name"):
+        got.setdefault(i, set()).add((use, table, column))
+    assert got == {
+        1: {("join", "A", "LO"), ("join", "B", "D"), ("join", "A", "HI"), ("filter", "A", "K"), ("filter", "B", "Z"), ("filter", "A", "N")},
+        2: {("filter", "S", "C"), ("filter", "S", "D"), ("filter", "S", "E"), ("join", "T", "I"), ("join", "S", "I")},
+        3: {("filter", "P", "I"), ("filter", "Q", "J"), ("filter", "ZZ", "K")},
+        4: {("filter", "DB.S.T", "Y"), ("filter", "DB.S.T", "W")},
+        5: {("join", "TGT", "ID"), ("join", "SRC", "ID")},
+    }
+
+
+def test_long_scripts_and_literals(spark):
+    literal = "'" + "a''" * 20_000 + "'"
+    text = f"INSERT INTO t SELECT {literal} FROM s WHERE s.a = {literal};\n" + "SELECT a.x FROM u a;\n" * 2_000
+    df = spark.createDataFrame([(1, text)], "script_id int, text string")
+    assert sorted(values(scripts.script_table_refs(df), "name")) == [("S",), ("T",), ("U",)]
+
+
 def test_empty_descriptions_make_no_comment(spark):
     rows = [(1, "t", "", "a", "x"), (2, "t", "real", "b", "y"), (3, "u", "", "c", "z")]
     df = spark.createDataFrame(
