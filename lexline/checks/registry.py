@@ -785,7 +785,7 @@ _SCRIPT_FORMS: list[tuple[int | None, str, str]] = [
     (10, "CRS_1 target, I10_{c % 7} source I, CRS_1 source CRS_1", ""),
     (11, "G11_{k % 11} target, G11_{k % 11} source G, K~11 source K", "join G11_{k % 11} ID, join K~11 ID"),
     (12, "Y12_{k % 11} target, Y12_{k % 11} source Y, W12_1 source W", "join Y12_{k % 11} ID, join W12_1 ID, filter W12_1 OK"),
-    (13, "U13_1 source U, V13_1 source V13_1", "join U13_1 ID, join V13_1 ID"),
+    (13, "U13_1 source U, V13_1 source V13_1", "join U13_1 ID, join V13_1 ID, filter U13_1 A"),
 ]
 
 
