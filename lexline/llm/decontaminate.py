@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from lexline.session import durable
 
+#: Bytes of text that are worked on and given back together, one document more at most.
+BATCH_BYTES = 4 << 20
+
 #: Bytes that stand between words; A-Z are lowered first.
 _WORD_BYTES = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -154,9 +157,30 @@ def find_spans(
 
     ``spans`` holds runs of hit word numbers, from 0 and without the end; ``items`` the ids of all
     items with an occurring window, as text, in order. A null or empty text has no words. Items
-    without words match nothing, repeated items count once, and without items nothing is hit. If
-    ``docs`` has columns of these four names, they are replaced.
+    without words or without an id match nothing, repeated items count once, and without items nothing
+    is hit. If ``docs`` has columns of these four names, they are replaced.
     """
+    return _found(docs, items, window, text, item_id, item_text, max_words, None)
+
+
+def remove_passages(
+    docs: DataFrame,
+    items: DataFrame,
+    *,
+    max_run: int = 0,
+    max_share: float = 0.5,
+    window: int = 10,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    max_words: int = 250_000,
+) -> DataFrame:
+    """``remove_spans`` of ``find_spans``, found and cut in one pass over the texts."""
+    cut = (max_run, max_share)
+    return _found(docs, items, window, text, item_id, item_text, max_words, cut)
+
+
+def _found(docs, items, window, text, item_id, item_text, max_words, cut) -> DataFrame:
     spark, names = docs.sparkSession, {"n_words", "longest", "spans", "items"}
     found = docs.drop(*[c for c in docs.columns if c.lower() in names])
     found = found.withColumns(
@@ -172,12 +196,15 @@ def find_spans(
     chosen = items.where(F.col(item_id).isNotNull()).select(
         F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")
     )
-    first = True
-    for block in _blocks(((r["id"], words(r["text"])) for r in chosen.toLocalIterator()), max_words):
+    blocks = _blocks(((r["id"], words(r["text"])) for r in chosen.toLocalIterator()), max_words)
+    block, first = next(blocks), True
+    while block is not None:
+        later = next(blocks, None)
         if not first:
             found = durable(found)
         automaton = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        found, first = found.mapInArrow(_marker(automaton, place), schema), False
+        mark = _marker(automaton, place, cut if later is None else None)
+        found, first, block = found.mapInArrow(mark, schema), False, later
     return found
 
 
@@ -193,24 +220,53 @@ def _blocks(items: Iterable[tuple[str, list[bytes]]], max_words: int) -> Iterato
     yield block
 
 
-def _marker(automaton, place: int):
+def _runs(batch: pa.RecordBatch, place: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``BATCH_BYTES`` of text each."""
+    start, held = 0, 0
+    for i, t in enumerate(batch.column(place)):
+        held += t.as_buffer().size if t.is_valid else 0
+        if held >= BATCH_BYTES or i == batch.num_rows - 1:
+            yield batch.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+
+
+def _marker(automaton, place: int, cut: tuple[int, float] | None):
+    """Marks spans; with ``cut`` also takes the longer ones out, and documents that are mostly hit."""
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton.value
-        for batch in batches:
-            counts, longest, spans, items = [], [], [], []
-            earlier = [batch.column(batch.num_columns - k) for k in (3, 2, 1)]
-            for i, t in enumerate(batch.column(place)):
-                ws = words(t.as_py())
-                runs, names, most = machine.scan(ws)
-                before = [(s["from"], s["to"]) for s in earlier[1][i].as_py()]
-                counts.append(len(ws))
-                longest.append(max(most, earlier[0][i].as_py()))
-                spans.append([{"from": a, "to": b} for a, b in (merged([*runs, *before]) if before else runs)])
-                items.append(sorted(names | set(earlier[2][i].as_py())))
-            columns = batch.columns[:-4]
-            for values, field in zip((counts, longest, spans, items), list(batch.schema)[-4:], strict=True):
-                columns.append(pa.array(values, field.type))
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        for whole in batches:
+            for batch in _runs(whole, place):
+                earlier = [batch.column(batch.num_columns - k) for k in (3, 2, 1)]
+                rows, marks, texts = [], [], []
+                for i, t in enumerate(batch.column(place)):
+                    body = t.as_py()
+                    ws = words(body)
+                    spans, names, most = machine.scan(ws)
+                    before = [(s["from"], s["to"]) for s in earlier[1][i].as_py()]
+                    spans = merged([*spans, *before]) if before else spans
+                    if cut is not None:
+                        if sum(b - a for a, b in spans) > cut[1] * len(ws):
+                            continue
+                        texts.append(without(body, [(a, b) for a, b in spans if b - a > cut[0]]))
+                    rows.append(i)
+                    marks.append(
+                        (
+                            len(ws),
+                            max(most, earlier[0][i].as_py()),
+                            [{"from": a, "to": b} for a, b in spans],
+                            sorted(names | set(earlier[2][i].as_py())),
+                        )
+                    )
+                if len(rows) < batch.num_rows:
+                    batch = batch.take(pa.array(rows, pa.int64()))
+                columns = batch.columns[:-4]
+                if cut is not None:
+                    columns[place] = pa.array(texts, batch.schema.field(place).type)
+                marks = list(zip(*marks, strict=True)) or [()] * 4
+                for values, field in zip(marks, list(batch.schema)[-4:], strict=True):
+                    columns.append(pa.array(values, field.type))
+                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return mark
 

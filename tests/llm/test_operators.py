@@ -213,6 +213,8 @@ def test_spans_found_and_removed(spark, odd, none, max_words):
         hit = sum(s["to"] - s["from"] for s in r["spans"])
         assert (r["n_words"], hit, r["items"]) == brute_spans(r["text"], known)
     left = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(found).collect()}
+    at_once = decontaminate.remove_passages(docs, bench, max_words=max_words).collect()
+    assert {r["doc_id"]: r["text"] for r in at_once} == left
     assert left[0].startswith("Before, . After") and left[3] == "nothing at all" and left[4] is None and left[5] == ""
     assert 2 not in left and 1 not in left
     assert decontaminate.find_spans(none, bench).count() == 0
