@@ -35,17 +35,20 @@ def _back(result: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model can name; null texts and texts without a letter go."""
+    """Documents in a language that the model can name; null texts and texts without a letter go.
+    Without any row to learn from, all texts with a letter stay."""
     rows = _aside(docs)
     model = language.fit(rows.where(remainder("doc_id", 4) != 2))
+    if model is None:
+        return _back(rows.where(F.col("text").rlike("\\p{L}")), docs)
     return _back(language.predict(rows, model).where(F.col("lang_pred") != language.UNKNOWN), docs)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the cutoffs fitted to ``labels`` keep."""
-    counted = quality.with_counts(_aside(docs))
-    narrow = durable(counted.select("doc_id", "lang", *quality.COUNTS))
-    limits = quality.fit(narrow, table(spark, sf_dir, "labels"))
+    """Documents that the base rules and the cutoffs fitted to ``labels`` keep. The counts are written
+    with the texts, as the rules are fitted to them and then applied."""
+    counted = durable(quality.with_counts(_aside(docs)))
+    limits = quality.fit(counted, table(spark, sf_dir, "labels"))
     return _back(quality.judge(counted, limits).where("kept"), docs)
 
 
@@ -64,8 +67,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages they share with ``benchmark``; those that are mostly such go.
     ``n_chars`` follows a text that was cut."""
-    found = decontaminate.find_spans(_aside(docs), table(spark, sf_dir, "benchmark"))
-    left = decontaminate.remove_spans(found)
+    left = decontaminate.remove_passages(_aside(docs), table(spark, sf_dir, "benchmark"))
     if "n_chars" in left.columns:
         kind = left.schema["n_chars"].dataType
         cut = F.size("spans") > 0
