@@ -253,6 +253,12 @@ SQL = {
         FROM {{orders}}
         UNION ALL
         SELECT -1 - conv_id * 1000 - turn AS id, text AS content, role AS agent FROM {{conversations}}""",
+    "chunk_rows": f"""
+        SELECT 's' || {_s('o_orderkey % 2')} AS sheet_id, CAST(FLOOR(o_orderkey / 14) AS BIGINT) AS chunk_no,
+               o_orderkey % 14 * 3 AS pos,
+               CASE WHEN FLOOR(o_orderkey / 60) % 5 = 4 THEN NULL
+                    ELSE 't_' || CAST(CAST(FLOOR(o_orderkey / 60) AS BIGINT) AS STRING) END AS table_name
+        FROM {{orders}}""",
     "span_rows": """
         SELECT o_custkey AS doc_id, o_orderkey AS row_no,
                CASE WHEN o_orderpriority = '2-HIGH' THEN NULL ELSE o_orderstatus END AS table_name

@@ -369,6 +369,47 @@ def schema_chunks10(load):
     return chunking.schema_chunks(load("sheet"))
 
 
+def _sections_sql(select: str, title: str, schema_end: str) -> str:
+    return (
+        _SHEET_SQL
+        + f""" SELECT {select}, CASE WHEN table_no = 1 AND line_no = 0 THEN chr(10) || 'SCHEMA: ' || schema_name
+          || {schema_end} ELSE '' END || CASE WHEN line_no = 0 THEN chr(10) || 'Table: ' || table_name || chr(10)
+          || {title} ELSE '' END || text || chr(10) AS text FROM placed"""
+    )
+
+
+@query(
+    needs=("sheet",),
+    sql=_sections_sql("sheet_id, schema_name, table_name, schema_row, table_no, line_no", "'Columns:' || chr(10)", "''"),
+)
+def sheet_sections(load):
+    return chunking.sheet_sections(load("sheet"))
+
+
+@query(
+    needs=("sheet",),
+    sql=_SHEET_SQL
+    + """ SELECT 'sheet' AS sheet_id, schema_name, table_name, schema_row, table_no, CAST(0 AS BIGINT) AS line_no,
+          CASE WHEN table_no = 1 THEN chr(10) || 'SCHEMA: ' || schema_name ELSE '' END || chr(10) || 'Table: ' || table_name
+            AS text FROM numbered JOIN schemas USING (schema_name)""",
+)
+def table_sections(load):
+    return chunking.table_sections(load("sheet"))
+
+
+@query(
+    needs=("sheet",),
+    sql=_sections_sql(
+        "sheet_id, schema_name, table_name, (table_no - 1) // 10 AS chunk_no, table_no, line_no, "
+        "table_no = 1 AND line_no = 0 AS schema_header",
+        "'Columns: '",
+        "chr(10)",
+    ),
+)
+def chunk_sections(load):
+    return chunking.chunk_sections(load("sheet"))
+
+
 def _batches_sql(chunk_size: int, batch_size: int) -> str:
     return (
         _SHEET_SQL
@@ -608,6 +649,21 @@ def glossary_spans(load):
     return spans.glossary_spans(load("span_rows"))
 
 
+_SHEET_ROWS_SQL = """
+    placed AS (SELECT sheet_id, table_name, 1 + row_number() OVER (PARTITION BY sheet_id ORDER BY chunk_no, pos) AS sheet_row
+               FROM chunk_rows),"""
+
+
+@query(
+    needs=("chunk_rows",),
+    sql=_SHEET_ROWS_SQL
+    + _spans_sql("placed", "sheet_id", "sheet_row", ("table_name",))
+    + " SELECT sheet_id, value AS table_name, first_row, last_row, rows FROM spans WHERE value IS NOT NULL",
+)
+def sheet_spans(load):
+    return spans.sheet_spans(load("chunk_rows"))
+
+
 # ---- lineage ---------------------------------------------------------------------------------
 
 _ENTITY = "upper(trim({}, '@'))"
@@ -834,6 +890,36 @@ def glossary_context(load):
     return scripts.glossary_context(load("script_tables"), load("sheet_glossary"))
 
 
+_CONTEXT_SQL = """
+    tokens AS (SELECT DISTINCT script_id, unnest(string_split_regex(upper(name), '[_.]')) AS token FROM script_tables),
+    heads AS (SELECT table_name, min(row_no) AS table_row, arg_min(table_description, row_no) AS d
+              FROM sheet_glossary GROUP BY ALL),
+    described AS (
+      SELECT table_name, string_agg(column_name || ': ' || column_description || chr(10), '' ORDER BY row_no) AS columns
+      FROM sheet_glossary GROUP BY ALL),
+    contexts AS (
+      SELECT script_id, string_agg(table_name || chr(10) || d || chr(10) || columns || chr(10), '' ORDER BY table_row) AS context
+      FROM tokens JOIN heads ON token = upper(table_name) JOIN described USING (table_name) GROUP BY ALL)"""
+
+
+@query(needs=("script_tables", "sheet_glossary"), sql=_CONTEXT_SQL + " SELECT * FROM contexts")
+def script_contexts(load):
+    return scripts.script_contexts(scripts.glossary_context(load("script_tables"), load("sheet_glossary")))
+
+
+@query(
+    needs=("script_tables", "sheet_glossary", "scripts"),
+    sql=_CONTEXT_SQL
+    + """ SELECT s.script_id, 'Dialect: T-SQL' || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(context, 'N/A')
+          || chr(10) || chr(10) || 'Script:' || chr(10) || text AS text
+        FROM scripts s LEFT JOIN contexts c ON c.script_id = s.script_id""",
+)
+def script_prompts(load):
+    """What a generator is asked for each script, with what the glossary says of its tables."""
+    lines = scripts.glossary_context(load("script_tables"), load("sheet_glossary"))
+    return flows.script_prompts(load("scripts"), scripts.script_contexts(lines), "T-SQL")
+
+
 # ---- publishing ------------------------------------------------------------------------------
 
 _GUIDS_SQL = f"guids AS (SELECT {_normalize('name')} AS n, arg_max(guid, pos) AS table_guid FROM assets GROUP BY ALL)"
@@ -1018,6 +1104,22 @@ def chat_turns(load):
     return flows.chat_turns(load("requests"), load("agent_events"))
 
 
+@query(
+    needs=("requests", "agent_events", "messages"),
+    sql=f"""
+    said AS (SELECT conv_id, turn, {_ROLE} AS role, coalesce(content, '') AS content FROM messages WHERE {_ROLE} IS NOT NULL),
+    given AS (
+      SELECT r.conv_id, turn, role, content FROM requests r JOIN said s ON s.conv_id = r.conv_id
+      UNION ALL SELECT conv_id, 9223372036854775807, 'human', {_PROMPT} FROM requests)
+    SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role, content FROM given""",
+)
+def chat_turn_messages(load):
+    """What the model is given in each turn: the history of the conversation and the new prompt."""
+    turns = flows.chat_turns(load("requests"), load("agent_events"), load("messages"))
+    rows = turns.select("conv_id", F.posexplode("messages").alias("pos", "m"))
+    return rows.select("conv_id", "pos", "m.role", "m.content")
+
+
 @query(
     needs=(*_CATALOG, "connections", "chosen_schemas", "chosen_tables"),
     sql=_LABELS_SQL
@@ -1090,13 +1192,12 @@ def comment_summary(load):
 
 
 def _answers(load: Load, name: str, key: str, end: str) -> DataFrame:
-    """Given answers as a batch service returns them; every fifth is cut off before its ``end``."""
-    cut = F.col(key) % 5 == 0
-    texts = load(name).select(key, F.when(cut, F.concat("text", F.lit("\ncut"))).otherwise(F.concat("text", F.lit(end))).alias("text"))
+    """Given answers as a batch service returns them, with their ``end``."""
+    texts = load(name).select(key, F.concat("text", F.lit(end)).alias("text"))
     return generate.answered(texts.select(key), texts, [key], generate.mark_in_last_line)
 
 
-@query(needs=("g1",), sql=_G1_ROWS_SQL + " SELECT * REPLACE (CAST(doc_id AS VARCHAR) AS doc_id) FROM terms WHERE doc_id % 5 <> 0")
+@query(needs=("g1",), sql=_G1_ROWS_SQL + " SELECT * REPLACE (CAST(doc_id AS VARCHAR) AS doc_id) FROM terms")
 def discover_glossary(load):
     return flows.glossary_results(_answers(load, "g1", "doc_id", ""), ["doc_id"])["glossary"]
 
@@ -1123,20 +1224,46 @@ def discover_assets(load):
            FROM numbered_chunks c LEFT JOIN excerpts e ON c.run_id = e.run_id AND c.chunk_no = e.chunk_no""",
 )
 def enrich_chunks(load):
+    """Prompts with the answers that came for them."""
     found = load("excerpts").select("run_id", "chunk_no", F.col("excerpt").alias("text"))
     return generate.answered(load("numbered_chunks"), found, ["run_id", "chunk_no"])
 
 
+@query(
+    needs=("numbered_chunks", "excerpts"),
+    sql="""SELECT c.run_id, c.chunk_no, excerpt AS text, CASE WHEN excerpt IS NULL THEN 'no answer' END AS error
+           FROM numbered_chunks c LEFT JOIN excerpts e ON c.run_id = e.run_id AND c.chunk_no = e.chunk_no
+           WHERE NOT coalesce(ends_with(excerpt, '------'), false)""",
+)
+def unfinished_texts(load):
+    """What is set aside before parsing: prompts without an answer, and answers without an end."""
+    found = load("excerpts").select("run_id", "chunk_no", F.col("excerpt").alias("text"))
+    texts = generate.answered(load("numbered_chunks"), found, ["run_id", "chunk_no"])
+    return flows.glossary_results(texts, ["run_id", "chunk_no"])["unfinished"].drop("rounds", "complete")
+
+
+@query(
+    needs=("sheet",),
+    sql=_batches_sql(1, 1)
+    + """ SELECT sheet_id, batch_no, chunk_no, 'N/A' AS excerpt, 'a shop' AS description,
+          string_agg(CASE WHEN schema_header THEN chr(10) || 'SCHEMA: ' || schema_name || chr(10) ELSE '' END || text, ''
+                     ORDER BY table_no, slice_no) AS text
+        FROM batches GROUP BY ALL""",
+)
+def sheet_prompts(load):
+    """What a generator is asked for each chunk of a sheet."""
+    return flows.sheet_prompts(load("sheet"), description="a shop")
+
+
 @query(
     needs=("g2",),
-    sql=_G2_SQL.replace("SELECT doc_id, pos, table_name,", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, pos, table_name,")
-    + " AND doc_id % 5 <> 0",
+    sql=_G2_SQL.replace("SELECT doc_id, pos, table_name,", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, pos, table_name,"),
 )
 def define_glossary(load):
     return flows.define_results(_answers(load, "g2", "doc_id", "\n------"), ["doc_id"])["glossary"]
 
 
-_WHOLE_SQL = _G3_SQL + ", whole AS (SELECT * FROM parsed WHERE script_id % 5 <> 0), " + _filled_sql("whole")
+_WHOLE_SQL = _G3_SQL + ", " + _filled_sql("parsed")
 
 
 def _documented(load: Load) -> dict[str, DataFrame]:

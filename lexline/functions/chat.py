@@ -13,10 +13,13 @@ _WS = "[\\t-\\r\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028
 SAVED_PATH = "(?i)saved to:" + _WS + "*`?([^`]+?\\.(?:xlsx|csv|png|txt))`?"
 
 
+HUMAN, AI = "human", "ai"
+
+
 def message_role(role: Column) -> Column:
     """``human``, ``ai``, or null for roles that take no part in a conversation."""
     r = F.lower(F.coalesce(role, F.lit("user")))
-    return F.when(r == "user", "human").when(r.isin("ai", "assistant"), "ai")
+    return F.when(r == "user", HUMAN).when(r.isin("ai", "assistant"), AI)
 
 
 def prompt(question: Column, path: Column, agent: Column) -> Column:

@@ -43,8 +43,17 @@ def classify_response(replies: DataFrame) -> DataFrame:
     )
 
 
-def kept_events(events: DataFrame) -> DataFrame:
-    """Step events that can be the reply: AI messages with a text that is not a routing word."""
+def with_history(turns: DataFrame, messages: DataFrame) -> DataFrame:
+    """Add ``messages``: what was said before in the conversation, then the ``prompt`` as the user's."""
+    asked = F.array(F.struct(F.lit(C.HUMAN).alias("role"), F.col("prompt").alias("content")))
+    before = chat_history(messages).select("conv_id", F.col("messages").alias("_before"))
+    joined = turns.join(before, "conv_id", "left")
+    return joined.withColumn("messages", F.coalesce(F.concat("_before", asked), asked)).drop("_before")
+
+
+def kept_events(events: DataFrame, *extra: str) -> DataFrame:
+    """Step events that can be the reply: AI messages with a text that is not a routing word. Columns
+    named in ``extra`` are kept too."""
     routing = [name for name, _ in K.AGENTS] + [K.SUPERVISOR]
     return events.where(
         (F.col("msg_type") == "ai") & (F.col("content") != "") & ~F.col("content").isin(*routing)
@@ -53,6 +62,7 @@ def kept_events(events: DataFrame) -> DataFrame:
         "seq",
         "content",
         F.coalesce(F.nullif(F.col("msg_name"), F.lit("")), F.col("agent")).alias("agent"),
+        *extra,
     )
 
 

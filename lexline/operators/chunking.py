@@ -111,6 +111,43 @@ def schema_chunks(
     )
 
 
+def _sections(rows: DataFrame, columns_title: str, schema_end: str, header: Column) -> DataFrame:
+    """``schema_text`` rows with the titles of schema and table in the text of their first line."""
+    schema = F.when(header, F.concat(F.lit("\nSCHEMA: "), "schema_name", F.lit(schema_end))).otherwise("")
+    table = F.when(F.col("line_no") == 0, F.concat(F.lit("\nTable: "), "table_name", F.lit(columns_title))).otherwise("")
+    return rows.withColumn("text", F.concat(schema, table, "text", F.lit("\n")))
+
+
+def sheet_sections(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Pieces of a sheet's whole text, with a title for each schema and table.
+
+    Put together in the order of ``schema_row, table_no, line_no`` within a sheet, without anything between
+    them, they are the text. For a sheet without column names see ``table_sections``.
+    """
+    first = (F.col("table_no") == 1) & (F.col("line_no") == 0)
+    return _sections(schema_text(sheet, rows_per_block), "\nColumns:\n", "", first)
+
+
+def table_sections(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """``sheet_sections`` of a sheet that names schemas and tables alone: one piece per table, no columns."""
+    schema = F.when(F.col("table_no") == 1, F.concat(F.lit("\nSCHEMA: "), "schema_name")).otherwise("")
+    return sheet_tables(sheet, rows_per_block).select(
+        *TABLE_KEY,
+        "schema_row",
+        "table_no",
+        F.lit(0).cast("long").alias("line_no"),
+        F.concat(schema, F.lit("\nTable: "), "table_name").alias("text"),
+    )
+
+
+def chunk_sections(
+    sheet: DataFrame, tables_per_chunk: int = K.TABLES_PER_CHUNK, rows_per_block: int = ROWS_PER_BLOCK
+) -> DataFrame:
+    """``schema_chunks`` with the titles in the text: the pieces of a chunk, put together in the order of
+    ``table_no, line_no``, are its text."""
+    return _sections(schema_chunks(sheet, tables_per_chunk, rows_per_block), "\nColumns: ", "\n", F.col("schema_header"))
+
+
 def table_slices(sheet: DataFrame, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """Slices of 36 columns of each table as text, ``slice_no`` from 0."""
     numbered = number_rows(sheet, TABLE_KEY, "row_no", "_idx", rows_per_block=rows_per_block)

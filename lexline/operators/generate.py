@@ -64,6 +64,15 @@ def documentation_ending(budget: int = K.ANALYSIS_TOKENS) -> Ending:
     )
 
 
+#: What the text of a whole diagram ends with.
+DIAGRAM_END = "}"
+
+
+def diagram_ending() -> Ending:
+    """A closing brace ends the diagram; rounds are counted by ``flows.diagram_rounds``, one call each."""
+    return Ending(lambda text, _: text.rstrip().endswith(DIAGRAM_END), lambda text: text)
+
+
 def ask_until_end(
     generator: Generator, prompt: str, ending: Ending, max_rounds: int | None
 ) -> tuple[str, int, bool]:

@@ -427,3 +427,14 @@ def drop_repeated_tail(text: Column) -> Column:
         kept, lambda line, i: F.when((i == 0) | (line != F.get(kept, i - F.lit(1))), i)
     )
     return F.array_join(F.slice(kept, F.lit(1), F.coalesce(F.array_max(changes) + F.lit(1), F.lit(0))), "\n")
+
+
+#: A last line with this closes the label of an edge, so only the closing brace is missing.
+EDGE_CLOSED = ">]"
+
+
+def resumed_diagram(text: Column) -> Column:
+    """Unfinished diagram text as it is gone on with: closed if its last line closes an edge, else
+    without its last line and repeats."""
+    last = F.substring_index(text, "\n", -1)
+    return F.when(F.contains(last, F.lit(EDGE_CLOSED)), F.concat(text, F.lit("\n}"))).otherwise(drop_repeated_tail(text))

@@ -256,5 +256,14 @@ def find_or_create_glossary(requests: DataFrame, registry: DataFrame) -> DataFra
     )
 
 
+def new_entries(created: DataFrame, registry: DataFrame) -> DataFrame:
+    """Registry rows (``name, guid, pos``) of created glossaries, behind those that are there."""
+    last = registry.agg(F.coalesce(F.max("pos"), F.lit(0)).cast("long").alias("_last"))
+    # One row of totals; entries are numbered by the range they are sorted into.
+    return created.orderBy("name").crossJoin(F.broadcast(last)).select(
+        "name", "guid", (F.col("_last") + 1 + F.monotonically_increasing_id()).cast("long").alias("pos")
+    )
+
+
 def list_glossaries(registry: DataFrame) -> DataFrame:
     return registry.select("name", "guid")

@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexline import constants as K
 from lexline import sinks
+from lexline.functions import text as X
 from lexline.operators import catalog, chat, chunking, generate, lineage, parse, publish, scripts, spans
 from lexline.operators.ordered import merge_spans
 from lexline.session import durable
-from lexline.sources import assets
+from lexline.sources import assets, versions
 
 Keep = Callable[[DataFrame], DataFrame]
 
@@ -194,15 +195,30 @@ def sheet_prompts(
     return prompts.withColumn("description", F.lit(description))
 
 
-def define_results(texts: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
-    """Answered sheet prompts to glossary rows and the spans of merged descriptions."""
+def define_results(texts: DataFrame, keys: Sequence[str], keep: Keep = durable) -> dict[str, DataFrame]:
+    """Answered sheet prompts to glossary rows and the spans of merged descriptions.
+
+    ``keys`` are a text's sheet and, if the sheet came in several texts, its chunk. ``sheet`` has the rows with
+    their place in the written sheet, and ``spans`` are over its rows, across chunks.
+    """
     whole, unfinished = _split(texts)
-    rows = parse.define_parse(whole.select(F.concat_ws("/", *keys).alias("doc_id"), "text"))
+    rows = keep(parse.define_parse(whole.select(F.to_json(F.struct(*keys)).alias("doc_id"), "text")))
+    types = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
+    key = F.from_json("doc_id", ", ".join(f"`{k}` {types[k]}" for k in keys))
+    chunk = key[keys[1]] if len(keys) > 1 else F.lit(0)
+    placed = spans.sheet_rows(
+        rows.select(
+            key[keys[0]].alias("sheet_id"),
+            chunk.cast("long").alias("chunk_no"),
+            *[c for c in rows.columns if c != "doc_id"],
+        )
+    )
     return {
         "texts": texts,
         "unfinished": unfinished,
-        "glossary": rows,
-        "spans": spans.glossary_spans(rows, row_no="pos", bounded=True),
+        "glossary": rows.withColumn("doc_id", F.concat_ws("/", *[key[k] for k in keys])),
+        "sheet": placed,
+        "spans": spans.glossary_spans(placed, ("sheet_id",), "sheet_row"),
     }
 
 
@@ -229,20 +245,26 @@ def define_glossary(
         _headed(Description=F.col("description"), Dictionary=F.col("excerpt"), Schema=F.col("text")).alias("text"),
     )
     texts = generate.enrich(asked, generator, max_rounds=max_rounds, num_partitions=num_partitions)
-    return define_results(keep(texts), ["sheet_id", "chunk"])
+    return define_results(keep(texts), ["sheet_id", "chunk"], keep)
 
 
 def _headed(**parts: Column) -> Column:
     return F.concat_ws("\n\n", *[F.concat(F.lit(f"{name}:\n"), part) for name, part in parts.items()])
 
 
+def script_contexts(corpus: DataFrame, glossary: DataFrame) -> DataFrame:
+    """(script_id, context): what a glossary sheet says of the tables that each script reads or fills."""
+    named = scripts.script_table_refs(corpus).where(F.col("role") != "cte").select("script_id", "name").distinct()
+    return scripts.script_contexts(scripts.glossary_context(named, glossary))
+
+
 def script_prompts(
     corpus: DataFrame, contexts: DataFrame | None = None, dialect: str | None = None
 ) -> DataFrame:
     """``text`` of each script, with the ``dialect`` and with its own lines of context before it.
 
     ``contexts`` has ``script_id`` and ``context``, what the glossary says of the script's tables;
-    scripts without any have ``N/A``.
+    scripts without any have ``N/A``. ``script_contexts`` makes them.
     """
     rows = corpus.select("script_id", "text")
     if contexts is not None:
@@ -257,7 +279,8 @@ def script_prompts(
 def script_results(texts: DataFrame, corpus: DataFrame) -> dict[str, DataFrame]:
     """Documented scripts to documentation rows, spans, edges and nodes.
 
-    ``documentation`` keeps entities as written, for diagrams; ``sheet`` has them normalised.
+    ``documentation`` keeps entities as written, for diagrams; ``sheet`` has them normalised, with the row
+    of the written sheet, over which ``spans`` go.
     """
     whole, unfinished = _split(texts)
     # The rows of a script come from one generated text.
@@ -271,13 +294,15 @@ def script_results(texts: DataFrame, corpus: DataFrame) -> dict[str, DataFrame]:
     ctes = (
         scripts.script_table_refs(corpus).where(F.col("role") == "cte").select("script_id", "name")
     )
-    sheet = lineage.normalise_entities(filled)
+    # Rows of the written sheet: those of a script in order, below the header.
+    place = F.row_number().over(Window.partitionBy("script_id").orderBy("row_no")) + F.lit(spans.HEADER_ROWS)
+    sheet = lineage.normalise_entities(filled).withColumn("sheet_row", place.cast("long"))
     return {
         "texts": texts,
         "unfinished": unfinished,
         "documentation": filled,
         "sheet": sheet,
-        "spans": merge_spans(sheet, ["script_id"], "row_no", list(K.LINEAGE_COLUMNS), bounded=True),
+        "spans": merge_spans(sheet, ["script_id"], "sheet_row", list(K.LINEAGE_COLUMNS), bounded=True),
         "edges": lineage.lineage_edges(filled, bounded=True),
         "nodes": lineage.lineage_nodes(filled, ctes, bounded=True),
     }
@@ -304,6 +329,63 @@ def script_lineage(
     return script_results(keep(texts), corpus)
 
 
+def diagram_rounds(
+    documentation: DataFrame,
+    generator: generate.Generator,
+    *,
+    max_rounds: int,
+    budget: int = K.DIAGRAM_TOKENS,
+    keep: Keep = durable,
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """(script_id, text, rounds, complete, error): diagrams that a generator writes, round after round.
+
+    In each round all scripts whose diagram has no closing brace yet, and whose rows and text are below
+    ``budget`` words, are asked at once, with their rows and the diagram so far. Where little of the
+    budget is left, leading rows are taken out of the prompt (``drop_leading_rows``). An unfinished text
+    loses its last line and what repeats at its end (``drop_repeated_tail``) before it is gone on with; one
+    whose last line closes an edge is closed as it stands. A script that fails is asked no more.
+    ``documentation`` has the rows of ``script_results``; those of one script fit into one prompt.
+    """
+    line = F.concat_ws(" | ", *[F.coalesce(F.col(c), F.lit("")) for c in K.LINEAGE_COLUMNS])
+    rows = keep(documentation.select("script_id", "row_no", line.alias("line")))
+    closed = F.endswith("text", F.lit(generate.DIAGRAM_END))
+    state = rows.select("script_id").distinct().select(
+        "script_id", F.lit("").alias("text"), F.lit(0).alias("rounds"), F.lit(None).cast("string").alias("error")
+    )
+    state = keep(state)
+    for _ in range(max_rounds):
+        begun = state.where(F.col("error").isNull() & ~closed)
+        spent = rows.groupBy("script_id").agg(F.sum(X.token_count(F.col("line"))).alias("_words"))
+        used = (F.col("_words") + X.token_count(F.col("text"))).cast("long").alias("used_tokens")
+        open_scripts = keep(
+            begun.join(spent, "script_id").select("script_id", "text", "rounds", used).where(F.col("used_tokens") < budget)
+        )
+        if open_scripts.isEmpty():
+            break
+        asked_rows = rows.join(open_scripts.select("script_id", "used_tokens"), "script_id")
+        rows = keep(
+            chunking.drop_leading_rows(keep(asked_rows), ["script_id"], "row_no", "used_tokens").drop("used_tokens")
+        )
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "line"))), lambda r: r["line"])
+        prompts = rows.groupBy("script_id").agg(F.array_join(lines, "\n").alias("_rows")).join(open_scripts, "script_id")
+        asked = prompts.select(
+            "script_id",
+            F.col("text").alias("_begun"),
+            (F.col("rounds") + 1).alias("_round"),
+            _headed(Documentation=F.col("_rows"), Diagram=F.col("text")).alias("text"),
+        )
+        answers = generate.enrich(
+            asked, generator, max_rounds=1, ending=generate.diagram_ending(), num_partitions=num_partitions
+        )
+        text = F.concat("_begun", F.when(F.col("_begun") != "", F.lit("\n")).otherwise(F.lit("")), F.coalesce("text", F.lit("")))
+        now = answers.select("script_id", F.rtrim(text, F.lit(" \n\r\t")).alias("text"), F.col("_round").alias("rounds"), "error")
+        settled = now.withColumn("text", F.when(closed, F.col("text")).otherwise(lineage.resumed_diagram(F.col("text"))))
+        rest = state.join(open_scripts.select("script_id"), "script_id", "left_anti")
+        state = keep(rest.unionByName(keep(settled)))
+    return state.withColumn("complete", closed & F.col("error").isNull())
+
+
 def script_diagram(corpus: DataFrame, documentation: DataFrame) -> DataFrame:
     """Diagram lines of documented scripts, in ``section, item, line_no`` order per script."""
     ctes = (
@@ -320,8 +402,32 @@ def publish_terms(
     return {"terms": terms, "summary": publish.publish_summary(terms, ["glossary_guid"])}
 
 
-def chat_turns(requests: DataFrame, events: DataFrame) -> DataFrame:
-    """Requests and their step events to classified replies with the prompt that was asked."""
+def push_glossary(
+    spark: SparkSession,
+    requests: DataFrame,
+    glossary: DataFrame,
+    registry_path: str,
+    asset_names: DataFrame,
+    existing: DataFrame,
+) -> dict[str, DataFrame]:
+    """Glossary rows to terms of the glossaries that are asked for by name.
+
+    ``requests`` (``name, pos``) are found in the registry at ``registry_path``, ignoring case, or written to it;
+    ``glossary`` has ``glossary_name``, ``row_no`` and the columns of ``assign_terms``.
+    """
+    glossaries = versions.register_glossaries(spark, requests, registry_path)
+    guids = glossaries.select(F.lower("name").alias("_low"), F.col("guid").alias("glossary_guid"))
+    rows = glossary.withColumn("_low", F.lower("glossary_name")).join(guids, "_low").drop("_low", "glossary_name")
+    return {"glossaries": glossaries, **publish_terms(rows, asset_names, existing)}
+
+
+def chat_turns(requests: DataFrame, events: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """Requests and their step events to classified replies with the prompt that was asked, and with
+    ``messages`` all that the model is given: what was said before and the prompt.
+
+    ``streaming.turns`` has the same as a stream.
+    """
     replies = chat.with_fallback(requests, chat.fold_events(events))
     prompts = chat.chat_prompt(requests).select("conv_id", "prompt")
-    return chat.classify_response(replies).join(prompts, "conv_id")
+    turns = chat.classify_response(replies).join(prompts, "conv_id")
+    return turns if messages is None else chat.with_history(turns, messages)

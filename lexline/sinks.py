@@ -52,6 +52,13 @@ def write_lines(lines: DataFrame, path: str, order: Sequence[str], mode: str = "
     lines.orderBy(*order).select("text").write.mode(mode).text(path)
 
 
-def append_text(texts: DataFrame, path: str) -> None:
-    """Append generated texts of a batch."""
-    texts.select("text").write.mode("append").text(path)
+def append_text(texts: DataFrame, path: str, batch_id: int | str | None = None) -> None:
+    """Append generated texts of a batch.
+
+    With a ``batch_id`` the batch has a folder of its own below ``path``, which the same batch replaces when it
+    is run again, as a stream's batch may be; ``spark.read.text(path)`` then reads each text once.
+    """
+    if batch_id is None:
+        texts.select("text").write.mode("append").text(path)
+    else:
+        texts.select("text").write.mode("overwrite").text(f"{path.rstrip('/')}/batch_id={batch_id}")

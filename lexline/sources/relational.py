@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,14 +55,19 @@ def jdbc_scan(
     bounds: tuple[int, int] | None = None,
     num_partitions: int = 16,
     fetch_size: int = 10_000,
+    predicates: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Read a table, or a query in parentheses with an alias, in ranges of a partition column.
+    """Read a table, or a query in parentheses with an alias, in ranges of a partition column, or by one task
+    for each of ``predicates``, which must part the rows.
 
     Filters, column choice and limits on the result are pushed to the server.
     """
     options, error = jdbc_options(config)
     if error:
         raise ValueError(error)
+    if predicates is not None:
+        properties = {k: v for k, v in options.items() if k != "url"} | {"fetchsize": str(fetch_size)}
+        return spark.read.jdbc(options["url"], source, predicates=list(predicates), properties=properties)
     reader = spark.read.format("jdbc").options(**options, dbtable=source, fetchsize=str(fetch_size))
     if partition_column and bounds:
         reader = reader.options(
@@ -159,19 +164,48 @@ DICTIONARY = {
 }
 
 
+def dictionary_schemas(spark: SparkSession, config: Mapping[str, str]) -> list[str]:
+    """Names of the schemas that a server's dictionary has columns of: one small query, one name a row."""
+    columns, _, _ = DICTIONARY[config.get("rdbms", "")]
+    found = jdbc_scan(spark, config, f"(SELECT DISTINCT schema_name FROM ({columns}) c) schemas")
+    return sorted(r[0] for r in found.where(F.col("schema_name").isNotNull()).collect())
+
+
+def schema_predicates(schemas: Sequence[str], groups: int = 16) -> list[str]:
+    """Conditions that part a dictionary by schema, each schema in one of at most ``groups`` groups.
+
+    Rows of schemas that are not named, such as one made after the list was read, are in the last group.
+    """
+    names = sorted(set(schemas))
+    quoted = ["'" + n.replace("'", "''") + "'" for n in names]
+    n = max(1, min(groups, len(quoted)))
+    parts = [quoted[i::n] for i in range(n)]
+    if not quoted:
+        return ["1 = 1"]
+    out = [f"schema_name IN ({', '.join(part)})" for part in parts]
+    out.append(f"schema_name IS NULL OR schema_name NOT IN ({', '.join(quoted)})")
+    return out
+
+
 def read_dictionary(
-    spark: SparkSession, config: Mapping[str, str], conn_id: str
+    spark: SparkSession,
+    config: Mapping[str, str],
+    conn_id: str,
+    schemas: Sequence[str] | None = None,
+    groups: int = 16,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Columns, constraints and key usage of a whole server in three reads, tagged with its id.
 
     One read per view replaces the reads per table; choices of schema or table made on the result
-    are pushed to the server.
+    are pushed to the server. With ``schemas`` (see ``dictionary_schemas``) each view is read by as many
+    tasks as there are groups of schemas, otherwise by one.
     """
     kind = config.get("rdbms", "")
     if kind not in DICTIONARY:
         raise ValueError(f"Unsupported kind of server: {kind}")
+    predicates = None if schemas is None else schema_predicates(schemas, groups)
     columns, constraints, usage = (
-        jdbc_scan(spark, config, f"({sql}) dictionary").select(F.lit(conn_id).alias("conn_id"), "*")
+        jdbc_scan(spark, config, f"({sql}) dictionary", predicates=predicates).select(F.lit(conn_id).alias("conn_id"), "*")
         for sql in DICTIONARY[kind]
     )
     return columns, constraints, usage
