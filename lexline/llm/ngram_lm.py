@@ -3,7 +3,8 @@
 Counts are quantised to the base of a logarithm; an n-gram of level j is put into the filter j
 times, once with each number up to j, and its level is read back by probing with 1, 2, ... until
 a probe fails. Rates come from these levels and are smoothed towards the word's own rate:
-(c(v, w) + k * p(w)) / (c(v) + k).
+(c(v, w) + k * p(w)) / (c(v) + k + e). Of V words that do not follow v, the filter answers a known
+share with a count of 1 all the same; ``e`` is that mass, so that the rates after v add up to one.
 
 Training: every task counts the n-grams of its texts, sorted by hash, in one block for each segment
 of the hash range; each segment is summed and turned into bits of its own. The filter is sent to the
@@ -26,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexline.llm.common import bounded_batches
 from lexline.llm.hashing import mix, window_hashes, word_hashes
 from lexline.session import durable
 
@@ -44,8 +46,8 @@ class Settings:
     most ``broadcast_bytes`` are sent to the workers."""
 
     base: float = 1.5
-    bits: int = 10
-    probes: int = 4
+    bits: int = 14
+    probes: int = 8
     weight: float = 300.0
     segment_tokens: int = 1_500_000
     frequent: int = 1 << 17
@@ -65,10 +67,13 @@ def levels(counts: np.ndarray, base: float) -> np.ndarray:
 
 
 def expected(level: np.ndarray, base: float) -> np.ndarray:
-    """Middle of the counts of a level; 0 for level 0."""
+    """Mean of the counts of a level, if a count of c is as frequent as 1 / c**2; 0 for level 0."""
     low = np.ceil(base ** (level - 1) - 1e-9)
     high = np.maximum(low, np.ceil(base**level - 1e-9) - 1)
-    return np.where(level > 0, (low + high) / 2, 0.0)
+    # Sums over 1 / c and 1 / c**2 from low to high by the midpoint rule, which is right for one count.
+    a, b = low - 0.5, high + 0.5
+    mean = np.where(high > low, np.log(b / np.maximum(a, 0.5)) / (1 / np.maximum(a, 0.5) - 1 / b), low)
+    return np.where(level > 0, mean, 0.0)
 
 
 def _places(hashes: np.ndarray, level: int, probe: int, size: np.ndarray | int) -> np.ndarray:
@@ -169,7 +174,8 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 def train_filter(texts: DataFrame, segments: int, settings: Settings) -> DataFrame:
-    """(segment, bits) over the words and bigrams of ``texts`` (text)."""
+    """(segment, bits, wrong) over the words and bigrams of ``texts`` (text); ``wrong`` is the share of
+    n-grams that are not there but have a level all the same."""
     held = _counting(lambda token: np.concatenate([[START], token, bigrams(token)]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,28 +196,65 @@ def train_filter(texts: DataFrame, segments: int, settings: Settings) -> DataFra
         hashes = np.concatenate([_unpacked(x.as_py()) for x in group["hashes"]])
         counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in group["counts"]]).astype(np.int64)
         bits = fill(*_summed(hashes, counts), settings)
-        return pa.table({"segment": group["segment"][:1], "bits": pa.array([bits], pa.binary())})
+        wrong = np.unpackbits(np.frombuffer(bits, np.uint8)).mean() ** settings.probes
+        columns = {"segment": group["segment"][:1], "bits": pa.array([bits], pa.binary()), "wrong": pa.array([wrong])}
+        return pa.table(columns)
 
     blocks = texts.mapInArrow(count, "segment int, hashes binary, counts binary")
-    return blocks.groupBy("segment").applyInArrow(gather, "segment int, bits binary")
+    return blocks.groupBy("segment").applyInArrow(gather, "segment int, bits binary, wrong double")
 
 
-def _text_scores(texts: list[np.ndarray], level_of, total: float, settings: Settings) -> np.ndarray:
-    """log10 of the smoothed probability of each text's tokens; ``total`` is N + V + 1."""
+@dataclass(frozen=True)
+class Known:
+    """What all tasks know: the exact counts ``c`` of the most frequent words, sorted by ``hash``,
+    ``total``, which is N + V + 1, and ``noise``, the sum of counts that a context's V words have by
+    mistake."""
+
+    hash: np.ndarray
+    c: np.ndarray
+    total: float
+    noise: float
+
+    def exact(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is among the most frequent, and its place there."""
+        signed = hashes.view(np.int64)
+        where = np.minimum(np.searchsorted(self.hash, signed), max(0, len(self.hash) - 1))
+        return (self.hash[where] == signed if len(self.hash) else np.zeros(len(signed), bool)), where
+
+
+def known_words(counts: DataFrame, total: float, noise: float, settings: Settings) -> Known:
+    """The most frequent words of ``word_counts``, a fixed number, and how many texts begin: as many as end."""
+    start, end = (int(np.array([x]).view(np.int64)[0]) for x in (START, END))
+    top = counts.orderBy(F.col("c").desc(), "hash").limit(settings.frequent).toPandas()
+    texts = counts.where(F.col("hash") == F.lit(end)).select("c").toPandas()["c"]
+    hashes, c = np.append(top["hash"].to_numpy(np.int64), start), np.append(top["c"].to_numpy(np.int64), texts.sum())
+    order = np.argsort(hashes)
+    return Known(hashes[order], c[order], total, noise)
+
+
+def _text_scores(texts: list[np.ndarray], level_of, known: Known, settings: Settings) -> np.ndarray:
+    """log10 of the smoothed probability of each text's tokens. A pair of words has no greater count than
+    either of them, and a word that was never learned follows none."""
 
     def count(hashes: np.ndarray) -> np.ndarray:
         own, at = np.unique(hashes, return_inverse=True)
         return expected(level_of(own), settings.base)[at]
 
+    def words(hashes: np.ndarray) -> np.ndarray:
+        is_known, where = known.exact(hashes)
+        found = count(hashes)
+        found[is_known] = known.c[where[is_known]]
+        return found
+
     token = np.concatenate(texts)
     first = np.cumsum([0, *map(len, texts)])[:-1]
     context = np.concatenate([[START], token[:-1]])
     context[first] = START
-    single = count(np.concatenate([token, context]))
+    single = words(np.concatenate([token, context]))
     c_w, c_v = single[: len(token)], single[len(token) :]
-    c_vw = np.minimum(count(np.concatenate([bigrams(t) for t in texts])), c_v)
-    k = settings.weight
-    return np.add.reduceat(np.log10((c_vw + k * (c_w + 1) / total) / (c_v + k)), first)
+    c_vw = np.minimum(count(np.concatenate([bigrams(t) for t in texts])), np.minimum(c_w, c_v))
+    k, mass = settings.weight, np.where(c_v > 0, c_v + known.noise, 0.0)
+    return np.add.reduceat(np.log10((c_vw + k * (c_w + 1) / known.total) / (mass + k)), first)
 
 
 def score(
@@ -225,6 +268,7 @@ def score(
     every token is unknown.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     made = ("n_tokens", "n_known", "train_tokens", "base_score", "lm_score", "_row", "_rare", "_block")
     base = docs.drop(*[c for c in docs.columns if c.lower() in made])
     learned = docs.where(F.coalesce(training, F.lit(False))).select(F.col(text).cast("string"))
@@ -233,12 +277,11 @@ def score(
     total = float(n + v + 1)
     segments = 1 + n // settings.segment_tokens
     stored = durable(train_filter(learned, segments, settings))
-    size = stored.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
+    size, wrong = stored.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0)), F.coalesce(F.avg("wrong"), F.lit(0.0))).first()
     small = size <= settings.broadcast_bytes
 
-    # A fixed number of words.
-    top = counts.orderBy(F.col("c").desc(), "hash").limit(settings.frequent).toPandas().sort_values("hash")
-    frequent = spark.sparkContext.broadcast((top["hash"].to_numpy(), top["c"].to_numpy()))
+    known = known_words(counts, total, float(v * wrong), settings)
+    frequent = spark.sparkContext.broadcast(known)
     sent = spark.sparkContext.broadcast(
         Filter({r["segment"]: bytes(r["bits"]) for r in stored.toLocalIterator()}, segments, settings) if small else None
     )
@@ -246,18 +289,17 @@ def score(
     place = base.columns.index(text)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, (common, c), model = TaskContext.get().partitionId() << 33, frequent.value, sent.value
+        row, common, model = TaskContext.get().partitionId() << 33, frequent.value, sent.value
         block, held = row, 0
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch, rows = whole.slice(at, 512), []
                 texts = [tokens(t.as_py()) for t in batch.column(place)]
-                scores = _text_scores(texts, model.level, total, settings) if model else [None] * len(texts)
+                scores = _text_scores(texts, model.level, common, settings) if model else [None] * len(texts)
                 for token, value in zip(texts, scores, strict=True):
                     signed = token.view(np.int64)
-                    where = np.minimum(np.searchsorted(common, signed), max(0, len(common) - 1))
-                    known = common[where] == signed if len(common) else np.zeros(len(token), bool)
-                    log_sum = float(np.log10(c[where[known]] + 1).sum())
+                    known, where = common.exact(token)
+                    log_sum = float(np.log10(common.c[where[known]] + 1).sum())
                     rows.append((row, len(token), int(known.sum()), log_sum, signed[~known].tobytes(), value, block))
                     row, held = row + 1, held + len(token)
                     if held >= _BLOCK:
@@ -295,7 +337,7 @@ def score(
     )
     joined = measured.drop("_rare").join(found, "_row", "left")
     if not small:
-        joined = joined.drop("_score").join(_by_probes(measured, place, stored, segments, n, total, settings), "_row")
+        joined = joined.drop("_score").join(_by_probes(measured, place, stored, segments, n, frequent, settings), "_row")
     nothing = F.lit(0)
     return joined.select(
         *[F.col(f"`{x}`") for x in base.columns],
@@ -308,7 +350,7 @@ def score(
 
 
 def _by_probes(
-    measured: DataFrame, place: int, stored: DataFrame, segments: int, learned: int, total: float, settings: Settings
+    measured: DataFrame, place: int, stored: DataFrame, segments: int, learned: int, frequent, settings: Settings
 ) -> DataFrame:
     """(_row, _score) for a filter that is too large to send. A block of texts asks each segment for its
     distinct n-grams, so a frequent one is asked once a block. Where more tokens are scored than were
@@ -360,12 +402,12 @@ def _by_probes(
         order = np.argsort(told["segment"].to_numpy())
         levels_of = told["levels"].to_pylist()
         level = np.concatenate([np.frombuffer(levels_of[k], np.uint8) for k in order]).astype(np.int64)
-        scores = _text_scores(parts, lambda h: level[np.searchsorted(hashes, h)], total, settings)
+        scores = _text_scores(parts, lambda h: level[np.searchsorted(hashes, h)], frequent.value, settings)
         return pa.table({"_row": own["_row"], "_score": pa.array(scores, pa.float64())})
 
     salt = F.pmod(F.xxhash64("_block"), F.lit(salts)).alias("salt")
     asked = texts.select("_block", "text").mapInArrow(probes, "_block long, segment int, hashes binary")
-    sent = stored.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    sent = stored.select("segment", "bits").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     told = (
         asked.select("*", salt)
         .groupBy("segment", "salt")

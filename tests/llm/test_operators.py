@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -494,3 +495,30 @@ def test_cutoffs_keep_good_documents(spark, odd, none):
     assert all(x["kept"] != x["base_failed"] for x in plain.collect()) and plain.count() == odd.count()
 
 
+
+
+def test_probabilities_of_a_context_add_up_to_one(spark):
+    """But for what chance leaves of the share of words that the filter takes for followers."""
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("needs the test tables")
+    s = ngram_lm.Settings()
+    learned = spark.read.parquet(str(path)).select("text")
+    counts = ngram_lm.word_counts(learned).cache()
+    rows = counts.toPandas()
+    n, v = int(rows["c"].sum()), len(rows)
+    segments = 1 + n // s.segment_tokens
+    stored = ngram_lm.train_filter(learned, segments, s).toPandas()
+    model = ngram_lm.Filter(dict(zip(stored["segment"], stored["bits"], strict=True)), segments, s)
+    known = ngram_lm.known_words(counts, float(n + v + 1), v * stored["wrong"].mean(), s)
+    words = np.append(rows["hash"].to_numpy(np.int64).view(np.uint64), np.uint64(1))  # and one that is unknown
+    ranked = rows.sort_values("c", ascending=False)["hash"].to_numpy(np.int64).view(np.uint64)
+    contexts = [ranked[i] for i in sorted({0, 1, 2, 5, 20, 100, len(ranked) // 10, len(ranked) // 2, len(ranked) - 1})]
+    for context in contexts:
+        pairs = [np.array([context, w]) for w in words]
+        alone = ngram_lm._text_scores([pairs[0][:1]], model.level, known, s)[0]
+        total = (10 ** (ngram_lm._text_scores(pairs, model.level, known, s) - alone)).sum()
+        assert 0.95 <= total <= 1.05, (context, total)
+    first = ngram_lm._text_scores([np.array([w]) for w in words], model.level, known, s)
+    assert 0.95 <= (10**first).sum() <= 1.05
+    counts.unpersist()
