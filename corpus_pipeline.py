@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexline.llm import decontaminate, language, neardup, packing, quality
-from lexline.llm.common import remainder, table
+from lexline.llm.common import bounded_batches, remainder, table
 from lexline.llm.registry import tokenizer_file
 from lexline.session import durable
 
@@ -23,7 +23,8 @@ _MADE = {
 
 
 def _aside(docs: DataFrame) -> DataFrame:
-    """``docs`` with clashing names replaced by their place."""
+    """``docs`` with clashing names replaced by their place, to be sent to Python in small batches."""
+    bounded_batches(docs.sparkSession)
     return docs.toDF(*[f"_own_{i}" if c.lower() in _MADE else c for i, c in enumerate(docs.columns)])
 
 
@@ -77,6 +78,7 @@ def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence of 1,024 tokens."""
+    bounded_batches(spark)
     packed = packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
