@@ -1279,7 +1279,8 @@ def analyse_scripts(load):
     needs=("g3",),
     sql=_WHOLE_SQL
     + f""" SELECT * REPLACE ({_ENTITY.format('table_name')} AS table_name, {_ENTITY.format('join_table')} AS join_table,
-           {_ENTITY.format('filter_table')} AS filter_table) FROM filled""",
+           {_ENTITY.format('filter_table')} AS filter_table),
+           1 + row_number() OVER (PARTITION BY script_id ORDER BY row_no) AS sheet_row FROM filled""",
 )
 def documentation_sheet(load):
     return _documented(load)["sheet"]

@@ -105,14 +105,14 @@ def enrich(
 ) -> DataFrame:
     """Replace the ``prompt`` column by the generated text; adds ``rounds``, ``complete`` and ``error``.
 
-    ``max_rounds`` is the caller's bound on calls for one text, None for as many as it takes. The
-    chunks' own partitions are the parallel callers unless ``num_partitions`` names their number. Each
-    text is given out when it is finished.
+    ``max_rounds`` is the caller's bound on calls for one text, None for as many as it takes. There are
+    ``num_partitions`` parallel callers, by default as many as the session has cores, however few
+    partitions short prompts would be put together to. Each text is given out when it is finished.
     """
     how = ending or glossary_ending()
     keys = [c for c in chunks.columns if c != prompt]
-    if num_partitions:
-        chunks = chunks.repartition(num_partitions, *keys)
+    callers = num_partitions or chunks.sparkSession.sparkContext.defaultParallelism
+    chunks = chunks.repartition(callers, *keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
