@@ -1,13 +1,14 @@
 """Sources, sinks and their round trips, and the stream."""
 
 import sys
+from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lexline import constants as K
-from lexline import sinks
+from lexline import session, sinks
 from lexline.operators import catalog, chat, parse, publish
 from lexline.plans import flows
 from lexline.session import checkpoint_dir, durable
@@ -206,3 +207,33 @@ def test_written_glossary_without_numbers(spark, tmp_path, column):
         df = df.withColumn(column, F.lit(1).cast("long"))
     sinks.write_glossary(df, str(tmp_path / "g"))
     assert files.read_glossary(spark, str(tmp_path / "g")).columns == [*K.GLOSSARY_COLUMNS, *([column] if column else [])]
+
+
+def test_a_bucketed_table_is_not_dealt_again(spark):
+    rows = spark.range(400).select((F.col("id") * 7).alias("k"), F.col("id").cast("string").alias("t"))
+    table = session.bucketed(rows, "k")
+    with_small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in with_small}
+    for name, value in with_small.items():
+        spark.conf.set(name, value)
+    try:
+        joined = table.join(spark.range(0, 2_800, 14).withColumnRenamed("id", "k"), "k")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and joined.count() == 200
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lexline_")]
+    assert sorted(table.collect()) == sorted(rows.collect())
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    scratch = session.Scratch(spark)
+    scratch.remove()
+    small = scratch.keep(spark.range(10))
+    kept = session.durable(small.groupBy((F.col("id") % 3).alias("m")).count())
+    assert Path(scratch.folder).exists()
+    scratch.remove()
+    assert not Path(scratch.folder).exists()
+    assert sorted(kept.collect()) == [(0, 4), (1, 3), (2, 3)]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
