@@ -31,8 +31,8 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_language`` labelled texts of at most ``train_chars`` characters are learned from for each
-    language, ``landmarks`` of them are landmarks. n-grams are hashed to ``bits`` bits."""
+    """``per_language`` labelled texts are learned from for each language, longer ones by a piece of
+    ``train_chars`` characters; ``landmarks`` of them are landmarks. n-grams are hashed to ``bits`` bits."""
 
     orders: tuple[int, ...] = (2, 3, 4)
     per_language: int = 250
@@ -91,10 +91,13 @@ def sample(labelled: DataFrame, settings: Settings, key: str = "doc_id", seed: i
     """At most ``per_language`` rows (lang, n, text) of each language, picked by a hash of the key.
 
     Languages are counted first, and each gives about twice what is needed to the ranking, so no
-    language is ranked as a whole.
+    language is ranked as a whole. Of a text longer than ``train_chars`` a piece from anywhere is taken.
     """
-    fit = labelled.where(F.length("text") <= settings.train_chars).select(
-        F.col("lang").cast("string").alias("lang"), "text", uniform(seed, F.col(key)).alias("u"), key
+    beyond = F.length("text") - settings.train_chars
+    start = 1 + F.floor(uniform(seed + 1, F.col(key)) * (beyond + 1)).cast("int")
+    piece = F.when(beyond > 0, F.substr("text", start, F.lit(settings.train_chars))).otherwise(F.col("text"))
+    fit = labelled.select(
+        F.col("lang").cast("string").alias("lang"), piece.alias("text"), uniform(seed, F.col(key)).alias("u"), key
     )
     counts = fit.groupBy("lang").agg(F.count("*").alias("rows"))
     chance = F.lit(2.0 * settings.per_language + 50) / F.col("rows")

@@ -160,7 +160,7 @@ def shuffle_into_shards(
     """All rows of ``df`` with ``shard`` and ``slot``: shard sizes differ by one row at most, every
     arrangement is as likely, and slots run from 0 without gaps.
 
-    Rows are placed by a hash of ``key`` and then of all columns; equal rows take places of their
+    Rows fall into blocks by a hash of ``key`` and all columns; equal rows take places of their
     own, null keys and null texts are values, no row gives no row. Columns of ``df`` named shard or
     slot are replaced. ``blocks`` is a power of two; a block and a part of a shard are what one
     task sorts, so at 100 TB take 4,096 blocks and 256 parts.
@@ -171,7 +171,8 @@ def shuffle_into_shards(
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")]
     rows = df.select(F.struct(*kept).alias("row"))
     key_of = F.col("row").getField(key)
-    block = F.pmod(F.xxhash64(F.lit(seed), key_of), F.lit(blocks)).cast("int")
+    # Of key and row, so that rows that share a key, or have none, fall into all blocks.
+    block = F.pmod(F.xxhash64(F.lit(seed), key_of, "row"), F.lit(blocks)).cast("int")
 
     # One number a block comes to the driver.
     given = {r["block"]: r["n"] for r in rows.groupBy(block.alias("block")).agg(F.count("*").alias("n")).collect()}
