@@ -145,6 +145,13 @@ def test_shards_are_whole_exact_and_gapless(spark, odd, none):
     assert sharding.shuffle_into_shards(none, shards=3, blocks=4, parts=2).count() == 0
 
 
+def test_rows_that_share_a_key_are_dealt_like_others(spark):
+    df = spark.range(960).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    got = rows_of(sharding.shuffle_into_shards(df, shards=4, blocks=16, parts=4), "text", "shard", "slot")
+    assert len({g[0] for g in got}) == 960
+    assert sorted(g[1:] for g in got) == [(s, n) for s in range(4) for n in range(240)]
+
+
 def test_matrix_has_its_sums(spark):
     rows, columns = [5, 0, 17, 100, 3, 40, 1, 34], [50, 0, 30, 120]
     got = sorted(rows_of(sharding.communication_matrix(spark, rows, columns, 1), "block", "counts"))
@@ -184,6 +191,20 @@ def test_language_held_out_and_odd_rows(spark, odd, none):
     assert language.predict(none, model).count() == 0
 
 
+def test_language_of_long_texts_only_is_learned(spark):
+    settings = language.Settings(per_language=30, landmarks=5, train_chars=300)
+    kinds = {"xx": ("abcd", 300), "yy": ("efgh", 30)}
+    rows = [(i, prose(kinds[k][1], kinds[k][0], seed=i), k) for i, k in enumerate(list(kinds) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, k in rows if k == "xx") > 300
+    got = language.sample(docs, settings).collect()
+    assert {len(r["text"]) for r in got if r["lang"] == "xx"} == {300}
+    assert all(any(r["text"] in t for _, t, k in rows if k == r["lang"]) for r in got)
+    assert any(r["text"] not in {t[:300] for _, t, _ in rows} for r in got if r["lang"] == "xx")
+    model = language.fit(docs.where("doc_id % 4 <> 2"), settings)
+    assert all(r["lang"] == r["lang_pred"] for r in language.predict(docs, model).collect())
+
+
 # Decontamination
 
 
