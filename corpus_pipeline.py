@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexline.llm import decontaminate, language, neardup, packing, quality
 from lexline.llm.common import bounded_batches, remainder, table
 from lexline.llm.registry import tokenizer_file
-from lexline.session import durable
+from lexline.session import bucketed, durable
 
 #: Columns that operators add to documents; a document's own column of such a name is set aside.
 _MADE = {
@@ -56,8 +56,9 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of near-duplicates, the one with the smallest id. Each row is judged by
     its own text: rows that share an id, or have none, are linked like others, and a row without an id
-    goes if its group has one with an id. Of equal ids any one row stays."""
-    numbered = durable(_aside(docs).withColumn("_at", F.monotonically_increasing_id()))
+    goes if its group has one with an id. Of equal ids any one row stays. Rows are dealt by their number
+    once; neither the texts to compare nor the rows that stay are shuffled again."""
+    numbered = bucketed(_aside(docs).withColumn("_at", F.monotonically_increasing_id()), "_at")
     linked = durable(neardup.near_duplicates(numbered, key="_at").select("_at", "component_id"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_at"))
     stay = linked.join(numbered.select("_at", "doc_id"), "_at").groupBy("component_id").agg(first.alias("first"))
