@@ -817,3 +817,14 @@ def test_fill_undoes_compress(spark):
     schema = "k int, i long, a string, b string"
     got = parse.fill_same_as_above(spark.createDataFrame(short, schema), ["k"], "i", ["a", "b"], rows_per_block=8)
     assert sorted(values(got, "k", "i", "a", "b")) == sorted(full)
+
+
+def test_context_lines_of_one_table_are_dealt_out(spark):
+    tables = spark.range(1500).select(F.col("id").alias("script_id"), F.lit("stg_a").alias("name"))
+    glossary = spark.range(5000).selectExpr(
+        "'A' AS table_name", "'d' AS table_description", "'c' || id AS column_name", "'x' AS column_description", "id AS row_no"
+    )
+    lines = scripts.glossary_context(tables, glossary).where("line_row >= 0")
+    tasks = lines.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("script_id", "line_row").alias("d")).collect()
+    assert sum(r.n for r in tasks) == sum(r.d for r in tasks) == 1500 * 5000
+    assert max(r.n for r in tasks) < 0.9 * 1500 * 5000
