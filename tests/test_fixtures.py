@@ -828,3 +828,20 @@ def test_context_lines_of_one_table_are_dealt_out(spark):
     tasks = lines.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("script_id", "line_row").alias("d")).collect()
     assert sum(r.n for r in tasks) == sum(r.d for r in tasks) == 1500 * 5000
     assert max(r.n for r in tasks) < 0.9 * 1500 * 5000
+
+
+def test_scripts_of_the_same_tables_share_a_context(spark):
+    tables = spark.createDataFrame(
+        [(1, "x_b.a"), (2, "A"), (2, "b"), (None, "a_B"), (3, "b"), (4, "none")], "script_id int, name string"
+    )
+    glossary = spark.createDataFrame(
+        [("A", "all", "i", "key", 1), ("A", "", "n", None, 3), ("B", "buyers", "j", "id", 2)],
+        "table_name string, table_description string, column_name string, column_description string, row_no long",
+    )
+    members, contexts = flows.shared_contexts(tables, glossary)
+    assert contexts.count() == 2
+    shown = scripts.with_contexts(members, members, contexts)
+    both, one = "A\nall\ni: key\nB\nbuyers\nj: id\n\n", "B\nbuyers\nj: id\n\n"
+    assert sorted(values(shown, "script_id", "context"), key=str) == [(1, both), (2, both), (3, one), (None, both)]
+    plain = scripts.script_contexts(scripts.glossary_context(tables, glossary))
+    assert sorted(values(plain, "script_id", "context"), key=str) == sorted(values(shown, "script_id", "context"), key=str)
