@@ -845,3 +845,14 @@ def test_scripts_of_the_same_tables_share_a_context(spark):
     assert sorted(values(shown, "script_id", "context"), key=str) == [(1, both), (2, both), (3, one), (None, both)]
     plain = scripts.script_contexts(scripts.glossary_context(tables, glossary))
     assert sorted(values(plain, "script_id", "context"), key=str) == sorted(values(shown, "script_id", "context"), key=str)
+
+
+def test_prompts_of_shared_contexts(spark):
+    corpus = spark.createDataFrame([(1, "s1"), (1, "again"), (2, "s2"), (None, "s"), (9, None)], "script_id int, text string")
+    members = spark.createDataFrame([(1, "A"), (2, "A"), (None, "A"), (7, "B")], "script_id int, context_id string")
+    contexts = spark.createDataFrame([("A", "about a"), ("B", "about b")], "script_id string, context string")
+    shared = flows.script_prompts(corpus, contexts, "D", members)
+    each = members.join(contexts.withColumnRenamed("script_id", "context_id"), "context_id")
+    plain = flows.script_prompts(corpus, each, "D")
+    assert sorted(values(shared, "script_id", "text"), key=str) == sorted(values(plain, "script_id", "text"), key=str)
+    assert sum("about a" in text for _, text in values(shared, "script_id", "text")) == 3
