@@ -6,7 +6,7 @@ says that the rows of a script cannot be many, as when they come from one text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexline import constants as K
@@ -52,8 +52,8 @@ def _is_value(c: Column) -> Column:
     return c.isNotNull() & ~c.isin("", K.NOT_APPLICABLE, K.SAME_AS_ABOVE)
 
 
-def _sources(filled: DataFrame) -> DataFrame:
-    """One row per source named in a documentation row."""
+def _sources(filled: DataFrame, *more: str) -> DataFrame:
+    """One row per source named in a documentation row, with ``more`` of its columns."""
 
     def items(column: str, from_join: bool) -> Column:
         return F.transform(
@@ -68,9 +68,10 @@ def _sources(filled: DataFrame) -> DataFrame:
             "row_no",
             dst.alias("dst"),
             F.col("derivation_purpose").alias("purpose"),
+            *more,
             F.explode(F.concat(items("join_table", True), items("filter_table", False))).alias("s"),
         )
-        .select(KEY, "row_no", "dst", "purpose", "s.src", "s.from_join")
+        .select(KEY, "row_no", "dst", "purpose", *more, "s.src", "s.from_join")
         .where(_is_value(F.col("src")) & _is_value(F.col("dst")))
     )
 
@@ -107,6 +108,27 @@ def purpose_legend(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, boun
     return _numbered(first, "purpose_no", rows_per_block, bounded)
 
 
+def _edges_of_short(filled: DataFrame) -> DataFrame:
+    """``lineage_edges`` of scripts that have few rows each: all of a script in one task, read once.
+
+    Windows stand for the joins with the legend and with the sources, so rows that are dealt by script
+    are not dealt again. A script without a key has no legend, and none of its tables is known to feed another.
+    """
+    purpose, known = F.col("derivation_purpose"), F.col(KEY).isNotNull()
+    seen = F.when(_is_value(purpose), F.min("row_no").over(Window.partitionBy(KEY, purpose)))
+    place = F.dense_rank().over(Window.partitionBy(KEY).orderBy(F.col("_seen").asc_nulls_last(), purpose))
+    number = F.when(known & _is_value(purpose), place.cast("long"))
+    numbered = filled.withColumn("_seen", seen).withColumn("purpose_no", number)
+    edges = _sources(numbered, "purpose_no").groupBy(KEY, "src", "dst", "purpose").agg(
+        F.first("purpose_no").alias("purpose_no"),
+        (~F.max("from_join")).alias("filter_only"),
+        F.min("row_no").alias("first_row"),
+    )
+    feeding = F.collect_set("src").over(Window.partitionBy(KEY))
+    to_final = ~(known & F.array_contains(feeding, F.col("dst")))
+    return edges.select(KEY, "src", "dst", "purpose", "purpose_no", "filter_only", to_final.alias("to_final"), "first_row")
+
+
 def lineage_edges(
     filled: DataFrame,
     rows_per_block: int = ROWS_PER_BLOCK,
@@ -117,18 +139,19 @@ def lineage_edges(
 
     ``legend`` is the result of ``purpose_legend`` where it is at hand.
     """
+    if bounded:
+        return _edges_of_short(filled)
     edges = _sources(filled).groupBy(KEY, "src", "dst", "purpose").agg(
         (~F.max("from_join")).alias("filter_only"), F.min("row_no").alias("first_row")
     )
-    if not bounded:
-        edges = durable(edges)
+    edges = durable(edges)
     if legend is None:
-        legend = purpose_legend(filled, rows_per_block, bounded)
+        legend = purpose_legend(filled, rows_per_block)
     legend = legend.select(KEY, "purpose", "purpose_no")
     inner = edges.select(KEY, F.col("src").alias("dst")).distinct().withColumn("_inner", F.lit(True))
-    numbered = _joined(edges, legend, [KEY, "purpose"], ["src", "dst"], "left", rows_per_block, bounded)
+    numbered = _joined(edges, legend, [KEY, "purpose"], ["src", "dst"], "left", rows_per_block, False)
     return (
-        _joined(numbered, inner, [KEY, "dst"], ["src", "purpose"], "left", rows_per_block, bounded)
+        _joined(numbered, inner, [KEY, "dst"], ["src", "purpose"], "left", rows_per_block, False)
         .select(
             KEY,
             "src",
