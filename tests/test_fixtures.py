@@ -819,15 +819,14 @@ def test_fill_undoes_compress(spark):
     assert sorted(values(got, "k", "i", "a", "b")) == sorted(full)
 
 
-def test_context_lines_of_one_table_are_dealt_out(spark):
+def test_context_lines_of_one_table_named_by_many_scripts(spark):
     tables = spark.range(1500).select(F.col("id").alias("script_id"), F.lit("stg_a").alias("name"))
     glossary = spark.range(5000).selectExpr(
         "'A' AS table_name", "'d' AS table_description", "'c' || id AS column_name", "'x' AS column_description", "id AS row_no"
     )
     lines = scripts.glossary_context(tables, glossary).where("line_row >= 0")
-    tasks = lines.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.count_distinct("script_id", "line_row").alias("d")).collect()
-    assert sum(r.n for r in tasks) == sum(r.d for r in tasks) == 1500 * 5000
-    assert max(r.n for r in tasks) < 0.9 * 1500 * 5000
+    tasks = lines.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in tasks) == 1500 * 5000
 
 
 def test_scripts_of_the_same_tables_share_a_context(spark):
@@ -856,3 +855,32 @@ def test_prompts_of_shared_contexts(spark):
     plain = flows.script_prompts(corpus, each, "D")
     assert sorted(values(shared, "script_id", "text"), key=str) == sorted(values(plain, "script_id", "text"), key=str)
     assert sum("about a" in text for _, text in values(shared, "script_id", "text")) == 3
+
+
+def test_scripts_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(scripts, "SCRIPTS_PER_TASK", 10)
+    corpus = spark.range(200).coalesce(1).selectExpr("id AS script_id", "'SELECT * FROM a, b WHERE a.i = b.i' AS text")
+    for found, n in ((scripts.script_joins(corpus), 400), (scripts.script_table_refs(corpus), 400)):
+        tasks = [r.n for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(tasks) == n and len(tasks) == 20 and max(tasks) <= 40
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_short_scripts_deal_rows_once(spark):
+    cell = lambda x: None if x % 7 == 0 else ["", "N/A", "a, b", "@b", "c,a", "D"][x % 6]
+    draw = random.Random(3)
+    rows = [
+        (None if k == 4 else k, n, *[cell(draw.randrange(50)) for _ in range(3)], f"P{draw.randrange(4)}" if n % 3 else "N/A")
+        for k in range(5)
+        for n in range(12)
+    ]
+    filled = spark.createDataFrame(
+        rows, "script_id int, row_no int, table_name string, join_table string, filter_table string, derivation_purpose string"
+    )
+    short, long = lineage.lineage_edges(filled, bounded=True), lineage.lineage_edges(filled)
+    assert short.dtypes == long.dtypes
+    assert sorted(map(str, short.collect())) == sorted(map(str, long.collect())) and short.count() > 20
+    assert plan_of(lineage.lineage_edges(filled, bounded=True)).count("Exchange hashpartitioning") <= 2
