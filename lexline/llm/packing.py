@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql.window import Window
 from lexline.llm import bpe
 from lexline.session import durable
 
-#: Bytes of texts or ids that a batch given back to Spark holds, one document more at most.
+#: Bytes of texts that are encoded together, or of ids in a batch given back to Spark, one document more at most.
 BATCH_BYTES = 4 << 20
 
 
@@ -37,29 +38,36 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int = 0, key: str = "doc_
         model, part, before = bpe.load(tokenizer), TaskContext.get().partitionId(), 0
         end, width = np.array([end_id], model.dtype).tobytes(), model.dtype.itemsize
         for batch in batches:
-            start, counts, ids, held = 0, [], [], 0
-            for i, t in enumerate(batch.column(1)):
-                ids.append(model.ids(t.as_py()) + end)
-                counts.append(len(ids[-1]) // width)
-                held += len(ids[-1])
-                if held >= BATCH_BYTES or i == batch.num_rows - 1:
-                    run = np.cumsum([before, *counts])
-                    before = int(run[-1])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(start, i + 1 - start),
-                            pa.array(np.full(len(counts), part, np.int32)),
-                            pa.array(run[:-1]),
-                            pa.array(np.array(counts, np.int64)),
-                            pa.array(ids, pa.binary()),
-                        ],
-                        ["doc_id", "part", "before", "n_tokens", "ids"],
-                    )
-                    start, counts, ids, held = i + 1, [], [], 0
+            for keys, texts in runs(*batch.columns[:2]):
+                ids = [own + end for own in model.ids(texts)]
+                counts = np.array([len(own) // width for own in ids], np.int64)
+                upto = before + np.cumsum(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        keys,
+                        pa.array(np.full(len(counts), part, np.int32)),
+                        pa.array(upto - counts),
+                        pa.array(counts),
+                        pa.array(ids, pa.binary()),
+                    ],
+                    ["doc_id", "part", "before", "n_tokens", "ids"],
+                )
+                before = int(upto[-1])
 
     return rows.mapInArrow(encode, schema)
 
 
+def runs(keys: pa.Array, texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Consecutive rows whose texts have ``most`` bytes together, or one row that has more."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(upto[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield keys.slice(start, stop - start), texts.slice(start, stop - start)
+        start = stop
+
+
 def pack(
     docs: DataFrame,
     tokenizer: str,

@@ -7,11 +7,13 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from lexline.llm import (
+    bpe,
     decontaminate,
     language,
     licenses,
@@ -411,6 +413,39 @@ def test_packing_gives_back_every_id(spark, odd, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_words_of_many_texts_are_encoded_together_once():
+    path = tokenizer_file("byte_bpe_50k.json")
+    model, whole, r = bpe.ByteBpe(path), Tokenizer.from_file(path), random.Random(3)
+    parts = [*"ab ,.\n\t1'sé€\r中\x1c", *["  ", " ", " \n", "\u3000", "\x85", "\u200b", "'ll", "<|endoftext|>", " word"]]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)] + [None]
+    got = [own for _, run in packing.runs(pa.array(texts), pa.array(texts), 5000) for own in model.ids(run)]
+    for t, own in zip(texts, got, strict=True):
+        assert np.frombuffer(own, model.dtype).tolist() == whole.encode(t or "", add_special_tokens=False).ids, t
+    assert model.ids(pa.array([], pa.string())) == []
+    # 200 texts of 1,000 words, 500 different ones: one call for all of them and one for each first word.
+    words = [f"{chr(97 + i % 26)}{i}," for i in range(500)]
+    run, seen, encoder = [" ".join(r.choices(words, k=1000)) for _ in range(200)], [], model.words
+
+    class Counted:
+        def encode_to_numpy(self, text, **options):
+            seen.append(len(text))
+            return encoder.encode_to_numpy(text, **options)
+
+    model.words = Counted()
+    got = model.ids(pa.array(run))
+    assert [np.frombuffer(own, model.dtype).tolist() for own in got] == [
+        e.ids for e in whole.encode_batch(run, add_special_tokens=False)
+    ]
+    assert len(seen) == 201 and max(seen) <= 500 * 6
+
+
+def test_runs_are_bounded_by_bytes():
+    texts = pa.array(["a" * 7, None, "", "b" * 20, "c" * 3, "d" * 3])
+    got = [(k.to_pylist(), t.to_pylist()) for k, t in packing.runs(pa.array(range(6)), texts, 10)]
+    assert [k for k, _ in got] == [[0, 1, 2], [3], [4, 5]]
+    assert [t for _, ts in got for t in ts] == texts.to_pylist()
+
+
 # Language model
 
 
