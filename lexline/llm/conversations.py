@@ -488,6 +488,7 @@ def repair(
     conversation whose rows are all dropped has zeros, an empty audit and the digest of nothing.
     Other columns are left aside; an empty table gives no rows.
     """
+    rows_per_chunk, bytes_per_chunk = max(1, rows_per_chunk), max(1, bytes_per_chunk)
     narrow = damaged(rows, key, turn, role, text)
     size = F.sum(F.octet_length("text"))
     counts = narrow.groupBy("conv_id").agg(F.count("*").alias("rows"), size.alias("bytes"))

@@ -53,7 +53,11 @@ def _is_value(c: Column) -> Column:
 
 
 def _sources(filled: DataFrame, *more: str) -> DataFrame:
-    """One row per source named in a documentation row, with ``more`` of its columns."""
+    """One row per source named in a documentation row, with ``more`` of its columns.
+
+    Cells are stripped once for each row: a filter of the derived table would strip it again, and a plain
+    ``explode`` all sources, as both look at them below.
+    """
 
     def items(column: str, from_join: bool) -> Column:
         return F.transform(
@@ -61,21 +65,52 @@ def _sources(filled: DataFrame, *more: str) -> DataFrame:
             lambda s: F.struct(X.entity(X.strip(s)).alias("src"), F.lit(from_join).alias("from_join")),
         )
 
-    dst = X.entity(X.strip(F.col("table_name")))
+    found = filled.select(
+        KEY,
+        "row_no",
+        F.col("derivation_purpose").alias("purpose"),
+        *more,
+        X.entity(X.strip(F.col("table_name"))).alias("dst"),
+        F.concat(items("join_table", True), items("filter_table", False)).alias("_sources"),
+    )
+    each = found.select(KEY, "row_no", "purpose", *more, "dst", F.explode_outer(F.when(_is_value(F.col("dst")), F.col("_sources"))).alias("s"))
+    return each.where(_is_value(F.col("s.src"))).select(KEY, "row_no", "dst", "purpose", *more, "s.src", "s.from_join")
+
+
+def _edge_rows(filled: DataFrame) -> DataFrame:
+    """Each pair of a source and a derived table, per purpose."""
+    return _sources(filled).groupBy(KEY, "src", "dst", "purpose").agg(
+        (~F.max("from_join")).alias("filter_only"), F.min("row_no").alias("first_row")
+    )
+
+
+def _named(filled: DataFrame, *more: str) -> DataFrame:
+    """Rows that derive an entity: its name and whether it is marked as temporary, with ``more`` columns."""
+
+    def entity(raw: Column) -> Column:
+        return F.struct(X.entity(raw).alias("name"), F.substring(raw, 1, 1).isin("@", "#").alias("marked"))
+
+    found = F.filter(F.transform(F.array(X.strip(F.col("table_name"))), entity), lambda e: _is_value(e["name"]))
     return (
-        filled.select(
-            KEY,
-            "row_no",
-            dst.alias("dst"),
-            F.col("derivation_purpose").alias("purpose"),
-            *more,
-            F.explode(F.concat(items("join_table", True), items("filter_table", False))).alias("s"),
-        )
-        .select(KEY, "row_no", "dst", "purpose", *more, "s.src", "s.from_join")
-        .where(_is_value(F.col("src")) & _is_value(F.col("dst")))
+        filled.select(KEY, "row_no", *more, F.explode_outer(found).alias("e"))
+        .where(F.col("e").isNotNull())
+        .select(KEY, "row_no", *more, "e.name", "e.marked")
+    )
+
+
+def _placed(filled: DataFrame) -> DataFrame:
+    """Each derived entity with the layers that derive it and the first row of each."""
+    return _named(filled, "layer").groupBy(KEY, "name", "layer").agg(
+        F.min("row_no").alias("first_row"), F.max("marked").alias("marked")
     )
 
 
+def _few(kept: DataFrame, rows_per_block: int) -> bool:
+    """Whether no script has more than ``rows_per_block`` of the rows, so that each can go to one task."""
+    counts = kept.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    return (counts.agg(F.max("n")).first()[0] or 0) <= rows_per_block
+
+
 def _joined(
     rows: DataFrame,
     lookup: DataFrame,
@@ -84,18 +119,24 @@ def _joined(
     how: str,
     rows_per_block: int,
     bounded: bool,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Join within a script; without a bound on its rows no key may go to one task."""
+    """Join within a script; without a bound on its rows no key may go to one task.
+
+    ``counted`` has as many rows of each key as ``rows`` and is read instead of them to count.
+    """
     if bounded:
         return rows.join(lookup, on, how)
-    return salted_join(rows, lookup, on, spread, how, rows_per_block)
+    counts = None if counted is None else counted.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    return salted_join(rows, lookup, on, spread, how, rows_per_block, counts)
 
 
 def _numbered(first: DataFrame, out: str, rows_per_block: int, bounded: bool) -> DataFrame:
     """Number the items of each script by their first row."""
-    if bounded:
-        return number_rows(first, [KEY], "first_row", out, bounded=True)
-    return number_rows(durable(first), [KEY], "first_row", out, rows_per_block=rows_per_block)
+    if not bounded:
+        first = durable(first)
+        bounded = _few(first, rows_per_block)
+    return number_rows(first, [KEY], "first_row", out, rows_per_block=rows_per_block, bounded=bounded)
 
 
 def purpose_legend(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, bounded: bool = False) -> DataFrame:
@@ -134,24 +175,24 @@ def lineage_edges(
     rows_per_block: int = ROWS_PER_BLOCK,
     bounded: bool = False,
     legend: DataFrame | None = None,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Unique table-level edges per purpose: number, filter-only mark and to-final mark.
 
-    ``legend`` is the result of ``purpose_legend`` where it is at hand.
+    ``legend`` is the result of ``purpose_legend`` where it is at hand, ``edges`` that of ``_edge_rows``, kept.
     """
     if bounded:
         return _edges_of_short(filled)
-    edges = _sources(filled).groupBy(KEY, "src", "dst", "purpose").agg(
-        (~F.max("from_join")).alias("filter_only"), F.min("row_no").alias("first_row")
-    )
-    edges = durable(edges)
+    if edges is None:
+        edges = durable(_edge_rows(filled))
     if legend is None:
         legend = purpose_legend(filled, rows_per_block)
     legend = legend.select(KEY, "purpose", "purpose_no")
     inner = edges.select(KEY, F.col("src").alias("dst")).distinct().withColumn("_inner", F.lit(True))
-    numbered = _joined(edges, legend, [KEY, "purpose"], ["src", "dst"], "left", rows_per_block, False)
+    few = _few(edges, rows_per_block)
+    numbered = _joined(edges, legend, [KEY, "purpose"], ["src", "dst"], "left", rows_per_block, few)
     return (
-        _joined(numbered, inner, [KEY, "dst"], ["src", "purpose"], "left", rows_per_block, False)
+        _joined(numbered, inner, [KEY, "dst"], ["src", "purpose"], "left", rows_per_block, few, edges)
         .select(
             KEY,
             "src",
@@ -165,22 +206,30 @@ def lineage_edges(
     )
 
 
-def layer_alignment(filled: DataFrame, rows_per_block: int = ROWS_PER_BLOCK, bounded: bool = False) -> DataFrame:
+def layer_alignment(
+    filled: DataFrame,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    bounded: bool = False,
+    placed: DataFrame | None = None,
+) -> DataFrame:
     """Each derived entity with the first layer that derives it.
 
     Layers are numbered as first seen, without gaps: one that places no entity of its own, or is not
-    applicable, has no number.
+    applicable, has no number. ``placed`` is the result of ``_placed`` where it is at hand, kept.
     """
-    rows = filled.select(
-        KEY, "row_no", "layer", X.entity(X.strip(F.col("table_name"))).alias("name")
-    ).where(_is_value(F.col("name")) & F.col("layer").isNotNull())
-    first = rows.groupBy(KEY, "name").agg(F.min_by("layer", "row_no").alias("layer"))
+    if placed is None:
+        placed = _placed(filled)
+        if not bounded:
+            placed = durable(placed)
+    rows = placed.where(F.col("layer").isNotNull())
+    first = rows.groupBy(KEY, "name").agg(F.min_by("layer", "first_row").alias("layer"))
     if not bounded:
         first = durable(first)
     shown = first.where(_is_value(F.col("layer"))).select(KEY, "layer").distinct()
-    seen = rows.groupBy(KEY, "layer").agg(F.min("row_no").alias("first_row")).join(shown, [KEY, "layer"], "left_semi")
+    seen = rows.groupBy(KEY, "layer").agg(F.min("first_row").alias("first_row")).join(shown, [KEY, "layer"], "left_semi")
     layers = _numbered(seen, "layer_no", rows_per_block, bounded).select(KEY, "layer", "layer_no")
-    return _joined(first, layers, [KEY, "layer"], ["name"], "left", rows_per_block, bounded).select(
+    few = bounded or _few(first, rows_per_block)
+    return _joined(first, layers, [KEY, "layer"], ["name"], "left", rows_per_block, few).select(
         KEY, "name", "layer", "layer_no"
     )
 
@@ -190,29 +239,31 @@ def lineage_nodes(
     ctes: DataFrame | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
     bounded: bool = False,
+    placed: DataFrame | None = None,
+    edges: DataFrame | None = None,
 ) -> DataFrame:
     """Entities of each script with kind and layer.
 
     A source is never derived, a final entity never feeds another, ``ctes`` (``script_id, name``)
     marks common table expressions, and the rest is temporary, as is any entity whose raw name
-    starts with ``@`` or ``#``.
+    starts with ``@`` or ``#``. ``placed`` and ``edges`` are the results of ``_placed`` and ``_edge_rows``
+    where they are at hand, kept.
     """
-    sources = _sources(filled)
-    ends = sources.select(
-        KEY, F.explode(F.array(
-            F.struct(F.col("src").alias("name"), F.lit(True).alias("feeds"), F.lit(False).alias("derived")),
-            F.struct(F.col("dst").alias("name"), F.lit(False).alias("feeds"), F.lit(True).alias("derived")),
-        )).alias("e")
-    ).select(KEY, "e.name", "e.feeds", "e.derived", F.lit(False).alias("marked"))
-    raw = X.strip(F.col("table_name"))
-    derived = filled.select(
-        KEY,
-        X.entity(raw).alias("name"),
-        F.lit(False).alias("feeds"),
-        F.lit(True).alias("derived"),
-        F.rlike(raw, F.lit("^[@#]")).alias("marked"),
-    ).where(_is_value(F.col("name")))
-    nodes = ends.unionByName(derived).groupBy(KEY, "name").agg(
+    if placed is None:
+        placed = _placed(filled)
+        if not bounded:
+            placed = durable(placed)
+    if edges is None:
+        edges = _sources(filled)
+
+    def ends(rows: DataFrame, name: str, feeds: bool, marked: Column) -> DataFrame:
+        return rows.select(
+            KEY, F.col(name).alias("name"), F.lit(feeds).alias("feeds"), F.lit(not feeds).alias("derived"), marked.alias("marked")
+        )
+
+    # What a source feeds is derived in the same row, so it is among the derived ones.
+    both = ends(edges, "src", True, F.lit(False)).unionByName(ends(placed, "name", False, F.col("marked")))
+    nodes = both.groupBy(KEY, "name").agg(
         F.max("feeds").alias("feeds"), F.max("derived").alias("derived"), F.max("marked").alias("marked")
     )
     is_cte = F.lit(False)
@@ -227,17 +278,15 @@ def lineage_nodes(
         .when(~F.col("feeds"), "final")
         .otherwise("temp")
     )
-    layers = layer_alignment(filled, rows_per_block, bounded).select(KEY, "name", "layer", "layer_no")
+    layers = layer_alignment(filled, rows_per_block, bounded, placed).select(KEY, "name", "layer", "layer_no")
     return nodes.select(KEY, "name", kind.alias("kind")).join(layers, [KEY, "name"], "left")
 
 
 def node_columns(filled: DataFrame) -> DataFrame:
     """Distinct columns of each derived entity, ``first_row`` gives their order."""
     return (
-        filled.select(
-            KEY, "row_no", X.entity(X.strip(F.col("table_name"))).alias("name"), "column_name"
-        )
-        .where(_is_value(F.col("name")) & _is_value(F.col("column_name")))
+        _named(filled, "column_name")
+        .where(_is_value(F.col("column_name")))
         .groupBy(KEY, "name", "column_name")
         .agg(F.min("row_no").alias("first_row"))
     )
@@ -262,23 +311,30 @@ def dot_text(
     Node labels carry one column per line, joined by the backslash that ends a line inside a quoted
     string, so no label is ever held as one value.
     """
-    nodes = durable(lineage_nodes(filled, ctes, rows_per_block, bounded))
+    placed, kept_edges = (None, None) if bounded else (durable(_placed(filled)), durable(_edge_rows(filled)))
+    nodes = durable(lineage_nodes(filled, ctes, rows_per_block, bounded, placed, kept_edges))
     legend = purpose_legend(filled, rows_per_block, bounded)
     if not bounded:
         legend = durable(legend)
-    edges = lineage_edges(filled, rows_per_block, bounded, legend)
+    edges = lineage_edges(filled, rows_per_block, bounded, legend, kept_edges)
     columns = node_columns(filled)
     scripts = nodes.select(KEY).distinct()
 
-    def rows(df: DataFrame, section: int, item: Column, line_no: Column, text: Column) -> DataFrame:
-        return df.select(
-            KEY,
+    def line(section: int, item: Column, line_no: Column, text: Column) -> Column:
+        return F.struct(
             F.lit(section).alias("section"),
             item.cast("string").alias("item"),
             line_no.cast("long").alias("line_no"),
             text.alias("text"),
         )
 
+    def rows(df: DataFrame, *lines: Column) -> DataFrame:
+        """The lines that each row of ``df`` gives, without those that are null, from one reading of it."""
+        if len(lines) == 1:
+            return df.select(KEY, *[lines[0].getField(c).alias(c) for c in ("section", "item", "line_no", "text")])
+        each = df.select(KEY, F.explode_outer(F.array(*lines)).alias("_line")).where(F.col("_line").isNotNull())
+        return each.select(KEY, "_line.*")
+
     none, zero = F.lit(""), F.lit(0)
     fill = F.lit(None).cast("string")
     border = F.lit(None).cast("string")
@@ -296,12 +352,9 @@ def dot_text(
         ("Data flow to final report (aggregation)", K.FINAL_EDGE_COLOUR, "solid"),
         ("Filters only (dashed)", K.EDGE_COLOUR, "dashed"),
     ]
-    parts = [
-        rows(scripts, 0, none, zero, F.lit("digraph lineage {")),
-    ]
-    parts += [
-        rows(
-            scripts,
+    fixed = [line(0, none, zero, F.lit("digraph lineage {"))]
+    fixed += [
+        line(
             1,
             F.lit(f"{i}"),
             zero,
@@ -312,9 +365,8 @@ def dot_text(
         )
         for i, (title, kind) in enumerate(node_legend)
     ]
-    parts += [
-        rows(
-            scripts,
+    fixed += [
+        line(
             2,
             F.lit(f"{i}"),
             zero,
@@ -322,120 +374,81 @@ def dot_text(
         )
         for i, (title, colour, style) in enumerate(edge_legend)
     ]
-    parts.append(
-        rows(
-            legend,
-            3,
-            F.lpad(F.col("purpose_no").cast("string"), 20, "0"),
-            zero,
-            F.concat(
-                F.lit('  "purpose '),
-                F.col("purpose_no").cast("string"),
-                F.lit('" [shape=plaintext, label="'),
-                F.col("purpose_no").cast("string"),
-                F.lit(". "),
-                _dot_string(F.col("purpose")),
-                F.lit('"];'),
-            ),
-        )
+    fixed.append(line(9, none, zero, F.lit("}")))
+    number = F.col("purpose_no").cast("string")
+    purpose = line(
+        3,
+        F.lpad(number, 20, "0"),
+        zero,
+        F.concat(
+            F.lit('  "purpose '),
+            number,
+            F.lit('" [shape=plaintext, label="'),
+            number,
+            F.lit(". "),
+            _dot_string(F.col("purpose")),
+            F.lit('"];'),
+        ),
     )
-    parts.append(
-        rows(
-            nodes,
-            4,
-            F.col("name"),
-            F.lit(-1),
-            F.concat(
-                F.lit("  "),
-                _quoted(F.col("name")),
-                F.lit(' [shape=box, style="rounded, filled", fontname="Arial", fillcolor="'),
-                fill,
-                F.lit('", color="'),
-                border,
-                F.lit('", label="'),
-                _dot_string(F.col("name")),
-                F.lit(" \\"),
-            ),
-        )
-    )
-    parts.append(
-        rows(
-            columns,
-            4,
-            F.col("name"),
-            F.col("first_row"),
-            F.concat(F.lit("\\n- "), _dot_string(F.col("column_name")), F.lit("\\")),
-        )
+    name, place, aligned = F.col("name"), F.col("layer_no").cast("string"), F.col("layer_no").isNotNull()
+    opened = F.concat(
+        F.lit("  "),
+        _quoted(name),
+        F.lit(' [shape=box, style="rounded, filled", fontname="Arial", fillcolor="'),
+        fill,
+        F.lit('", color="'),
+        border,
+        F.lit('", label="'),
+        _dot_string(name),
+        F.lit(" \\"),
     )
-    parts.append(rows(nodes, 4, F.col("name"), F.lit((1 << 62)), F.lit('"];')))
+    ranked = F.concat(F.lit("  { rank=same; label"), place, F.lit("; "), _quoted(name), F.lit(" }"))
+    of_node = [
+        line(4, name, F.lit(-1), opened),
+        line(4, name, F.lit((1 << 62)), F.lit('"];')),
+        F.when(aligned, line(7, F.concat_ws("\t", F.lpad(place, 20, "0"), "name"), zero, ranked)),
+    ]
+    column = F.concat(F.lit("\\n- "), _dot_string(F.col("column_name")), F.lit("\\"))
     colour = F.when(F.col("to_final"), K.FINAL_EDGE_COLOUR).otherwise(K.EDGE_COLOUR)
-    parts.append(
-        rows(
-            edges,
-            5,
-            F.concat_ws("\t", "src", "dst"),
-            F.coalesce("purpose_no", F.lit(0)),
-            F.concat(
-                F.lit("  "),
-                _quoted(F.col("src")),
-                F.lit(" -> "),
-                _quoted(F.col("dst")),
-                F.lit(' [label="'),
-                F.coalesce(F.col("purpose_no").cast("string"), F.lit("")),
-                F.lit('", color="'),
-                colour,
-                F.when(F.col("filter_only"), '", style=dashed];').otherwise('"];'),
-            ),
-        )
+    edge = line(
+        5,
+        F.concat_ws("\t", "src", "dst"),
+        F.coalesce("purpose_no", F.lit(0)),
+        F.concat(
+            F.lit("  "),
+            _quoted(F.col("src")),
+            F.lit(" -> "),
+            _quoted(F.col("dst")),
+            F.lit(' [label="'),
+            F.coalesce(number, F.lit("")),
+            F.lit('", color="'),
+            colour,
+            F.when(F.col("filter_only"), '", style=dashed];').otherwise('"];'),
+        ),
     )
-    aligned = nodes.where(F.col("layer_no").isNotNull())
-    layers = aligned.select(KEY, "layer", "layer_no").distinct()
-    parts.append(
-        rows(
-            layers,
-            6,
-            F.lpad(F.col("layer_no").cast("string"), 20, "0"),
-            F.lit(-1),
-            F.concat(
-                F.lit("  label"),
-                F.col("layer_no").cast("string"),
-                F.lit(' [shape=box, style=filled, fillcolor=yellow, fontcolor=black, fontsize=12, label="'),
-                _dot_string(F.col("layer")),
-                F.lit('"];'),
-            ),
-        )
+    layers = nodes.where(aligned).select(KEY, "layer", "layer_no").distinct()
+    label = F.concat(
+        F.lit("  label"),
+        place,
+        F.lit(' [shape=box, style=filled, fillcolor=yellow, fontcolor=black, fontsize=12, label="'),
+        _dot_string(F.col("layer")),
+        F.lit('"];'),
     )
-    parts.append(
-        rows(
-            aligned,
-            7,
-            F.concat_ws("\t", F.lpad(F.col("layer_no").cast("string"), 20, "0"), F.col("name")),
-            zero,
-            F.concat(
-                F.lit("  { rank=same; label"),
-                F.col("layer_no").cast("string"),
-                F.lit("; "),
-                _quoted(F.col("name")),
-                F.lit(" }"),
-            ),
-        )
+    below = F.concat(
+        F.lit("  label"), (F.col("layer_no") - F.lit(1)).cast("string"), F.lit(" -> label"), place, F.lit(" [style=invis];")
     )
-    parts.append(
-        rows(
-            layers.where(F.col("layer_no") > 1),
-            8,
-            F.lpad(F.col("layer_no").cast("string"), 20, "0"),
-            zero,
-            F.concat(
-                F.lit("  label"),
-                (F.col("layer_no") - F.lit(1)).cast("string"),
-                F.lit(" -> label"),
-                F.col("layer_no").cast("string"),
-                F.lit(" [style=invis];"),
-            ),
-        )
-    )
-    parts.append(rows(scripts, 9, none, zero, F.lit("}")))
+    of_layer = [
+        line(6, F.lpad(place, 20, "0"), F.lit(-1), label),
+        F.when(F.col("layer_no") > 1, line(8, F.lpad(place, 20, "0"), zero, below)),
+    ]
+    parts = [
+        rows(scripts, *fixed),
+        rows(legend, purpose),
+        rows(nodes, *of_node),
+        rows(columns, line(4, name, F.col("first_row"), column)),
+        rows(edges, edge),
+        rows(layers, *of_layer),
+    ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

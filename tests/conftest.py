@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+# The plain versions of some rules go down one level for each row.
+sys.setrecursionlimit(10_000)
 
 
 @pytest.fixture(scope="session")

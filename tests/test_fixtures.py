@@ -1,5 +1,6 @@
 """Hand-worked cases of FIXTURES.md."""
 
+import collections
 import random
 import sys
 
@@ -13,6 +14,7 @@ from lexline.functions import text as X
 from lexline.operators import catalog, chat, chunking, generate, lineage, parse, publish, scripts
 from lexline.operators.ordered import merge_spans
 from lexline.plans import flows
+from lexline.session import durable
 from lexline.sources import assets
 
 # The generators below run in Python workers, which cannot import this file.
@@ -884,3 +886,27 @@ def test_edges_of_short_scripts_deal_rows_once(spark):
     assert short.dtypes == long.dtypes
     assert sorted(map(str, short.collect())) == sorted(map(str, long.collect())) and short.count() > 20
     assert plan_of(lineage.lineage_edges(filled, bounded=True)).count("Exchange hashpartitioning") <= 2
+
+
+def test_diagram_reads_its_parts_once_and_cuts_long_scripts(spark):
+    r = random.Random(8)
+    names = ["@t", "#u ", "a", " b", "c@", "N/A", "S/B", "", None]
+    cells = ["x, a", "b,@t,,N/A", "c", "N/A", "", None, "y ,\t#u"]
+    table = [
+        (r.choice([1, 1, 1, 2, 3]), i, r.choice(["l", "m", "n", "N/A", None]), r.choice(names), r.choice(["k", "v", "N/A", None]),
+         r.choice(cells), r.choice(cells), r.choice(["p", 'q"', "N/A", "", None]))
+        for i in range(200)
+    ]
+    columns = "layer string, table_name string, column_name string, join_table string, filter_table string, derivation_purpose string"
+    filled = spark.createDataFrame(table, f"script_id int, row_no long, {columns}")
+    ctes = spark.createDataFrame([(1, "a"), (2, "zz")], "script_id int, name string")
+    want = collections.Counter(map(tuple, lineage.dot_text(filled, ctes, bounded=True).collect()))
+    long, short = lineage.dot_text(filled, ctes, rows_per_block=3), lineage.dot_text(filled, ctes)
+    # Nodes, legend, edges and layers are each read once for all their lines, not once for each kind of line.
+    assert plan_of(short).count("FileScan parquet") <= 7
+    assert collections.Counter(map(tuple, long.collect())) == collections.Counter(map(tuple, short.collect())) == want
+    nodes = lineage.lineage_nodes(filled, rows_per_block=3)
+    assert sorted(map(str, nodes.collect())) == sorted(map(str, lineage.lineage_nodes(filled, bounded=True).collect()))
+    # A cell is stripped once for each row: neither a filter nor the explode works it out again.
+    kept = durable(filled)
+    assert plan_of(lineage.node_columns(kept)).count("trim(table_name") == plan_of(lineage._edge_rows(kept)).count("trim(table_name") == 1
