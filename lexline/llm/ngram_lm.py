@@ -28,15 +28,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexline.llm.common import bounded_batches
-from lexline.llm.hashing import mix, window_hashes, word_hashes
-from lexline.session import durable
+from lexline.llm.hashing import many_word_hashes, mix, run_hashes, window_hashes, word_hashes
+from lexline.session import bucketed, durable
 
 #: Stand-ins for the end of a text and for what is before its first word: any fixed numbers do.
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 #: n-grams a task holds before it gives them out.
-_HELD = 3_000_000
+_HELD = 2_000_000
 #: Tokens after which a block of texts is closed: what one task scores at a time with a filter that is not sent.
 _BLOCK = 500_000
+#: n-grams that are looked up in a filter at once, few enough for a processor's cache.
+_LOOKED_UP = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -62,6 +64,29 @@ def bigrams(token: np.ndarray) -> np.ndarray:
     return window_hashes(np.concatenate([[START], token]), 2)
 
 
+def many_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` of all ``texts``, one after another, and how many each has."""
+    words, n = many_word_hashes(texts)
+    return np.insert(words, np.cumsum(n), END), n + 1
+
+
+def _firsts(length: np.ndarray) -> np.ndarray:
+    return np.cumsum(length) - length
+
+
+def many_bigrams(token: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """``bigrams`` of all texts of ``many_tokens``, one after another."""
+    context = np.concatenate([[START], token[:-1]])
+    context[_firsts(length)] = START
+    return run_hashes([context, token])
+
+
+def _kinds(texts: pa.Array) -> np.ndarray:
+    """All n-grams of ``texts`` that are counted: a start for each, its tokens and its bigrams."""
+    token, length = many_tokens(texts)
+    return np.concatenate([np.full(len(length), START), token, many_bigrams(token, length)])
+
+
 def levels(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(base) + 1e-9).astype(np.int64)
 
@@ -106,14 +131,23 @@ class Filter:
         self.bits = np.frombuffer(b"".join(segments.values()), np.uint8)
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
+        """Levels of ``hashes``, which are best sorted, so that those of one segment stand together."""
+        parts = [self._level(hashes[at : at + _LOOKED_UP]) for at in range(0, len(hashes), _LOOKED_UP)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def _level(self, hashes: np.ndarray) -> np.ndarray:
         segment = segment_of(hashes, self.n)
-        size, first = np.maximum(self.size[segment], 1), self.first[segment]
-        found, alive, j = np.zeros(len(hashes), np.int64), np.flatnonzero(self.size[segment] > 0), 0
+        size, first = self.size[segment], self.first[segment]
+        found, alive, j = np.zeros(len(hashes), np.int64), np.flatnonzero(size > 0), 0
+        # Those that are alive, side by side, as each probe asks for all of them.
+        left, size, first = hashes[alive], size[alive].astype(np.uint64), first[alive]
         while len(alive):
             j += 1
             for p in range(self.settings.probes):
-                place = _places(hashes[alive], j, p, size[alive]).astype(np.int64)
-                alive = alive[(self.bits[first[alive] + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 > 0]
+                place = _places(left, j, p, size).view(np.int64)
+                hit = np.flatnonzero((self.bits[first + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1)
+                if len(hit) < len(alive):
+                    alive, left, size, first = alive[hit], left[hit], size[hit], first[hit]
                 if not len(alive):
                     break
             found[alive] = j
@@ -124,6 +158,12 @@ def segment_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _sorted(hashes: np.ndarray) -> np.ndarray:
+    """Distinct hashes in order; ``np.unique`` alone puts them into a hash table, which takes several times as long."""
+    hashes = np.sort(hashes)
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])] if len(hashes) else hashes
+
+
 def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(hashes, kind="stable")
     hashes, counts = hashes[order], counts[order]
@@ -132,18 +172,17 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _counting(kinds):
-    """Function for mapInArrow over texts that yields (hashes, counts) of ``kinds(token)``, many texts together."""
+    """Function for mapInArrow over texts that yields (hashes, counts) of ``kinds(texts)``, many texts together."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         parts, n = [], 0
         for batch in batches:
-            for t in batch.column(0):
-                parts.append(kinds(tokens(t.as_py())))
-                n += len(parts[-1])
-                if n >= _HELD:
-                    yield np.unique(np.concatenate(parts), return_counts=True)
-                    parts, n = [], 0
-        if parts:
+            parts.append(kinds(batch.column(0)))
+            n += len(parts[-1])
+            if n >= _HELD:
+                yield np.unique(np.concatenate(parts), return_counts=True)
+                parts, n = [], 0
+        if n:
             yield np.unique(np.concatenate(parts), return_counts=True)
 
     return held
@@ -151,7 +190,7 @@ def _counting(kinds):
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(hash, c) of every distinct token of ``texts`` (text), the end among them."""
-    held = _counting(lambda token: token)
+    held = _counting(lambda texts: many_tokens(texts)[0])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes, counts in held(batches):
@@ -176,7 +215,7 @@ def _unpacked(packed: bytes) -> np.ndarray:
 def train_filter(texts: DataFrame, segments: int, settings: Settings) -> DataFrame:
     """(segment, bits, wrong) over the words and bigrams of ``texts`` (text); ``wrong`` is the share of
     n-grams that are not there but have a level all the same."""
-    held = _counting(lambda token: np.concatenate([[START], token, bigrams(token)]))
+    held = _counting(_kinds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes, counts in held(batches):
@@ -233,26 +272,31 @@ def known_words(counts: DataFrame, total: float, noise: float, settings: Setting
 
 
 def _text_scores(texts: list[np.ndarray], level_of, known: Known, settings: Settings) -> np.ndarray:
-    """log10 of the smoothed probability of each text's tokens. A pair of words has no greater count than
-    either of them, and a word that was never learned follows none."""
+    """``_scores`` of texts that are each given by their tokens."""
+    token = np.concatenate(texts)
+    return _scores(token, np.array([len(t) for t in texts]), _distinct(token), level_of, known, settings)
 
-    def count(hashes: np.ndarray) -> np.ndarray:
-        own, at = np.unique(hashes, return_inverse=True)
-        return expected(level_of(own), settings.base)[at]
 
-    def words(hashes: np.ndarray) -> np.ndarray:
-        is_known, where = known.exact(hashes)
-        found = count(hashes)
-        found[is_known] = known.c[where[is_known]]
-        return found
+def _distinct(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different words of ``token`` and the start, and where those of ``token`` and at last the start stand."""
+    return np.unique(np.append(token, START), return_inverse=True)
 
-    token = np.concatenate(texts)
-    first = np.cumsum([0, *map(len, texts)])[:-1]
-    context = np.concatenate([[START], token[:-1]])
-    context[first] = START
-    single = words(np.concatenate([token, context]))
-    c_w, c_v = single[: len(token)], single[len(token) :]
-    c_vw = np.minimum(count(np.concatenate([bigrams(t) for t in texts])), np.minimum(c_w, c_v))
+
+def _scores(
+    token: np.ndarray, length: np.ndarray, distinct: tuple[np.ndarray, np.ndarray], level_of, known: Known, settings: Settings
+) -> np.ndarray:
+    """log10 of the smoothed probability of each text's tokens. A pair of words has no greater count than
+    either of them, and a word that was never learned follows none. Each n-gram is looked up once."""
+    words, at = distinct
+    first = _firsts(length)
+    count = expected(level_of(words), settings.base)
+    is_known, where = known.exact(words)
+    count[is_known] = known.c[where[is_known]]
+    single = count[at]
+    c_w, c_v = single[:-1], np.roll(single, 1)[:-1]
+    c_v[first] = single[-1]
+    pairs, at = np.unique(many_bigrams(token, length), return_inverse=True)
+    c_vw = np.minimum(expected(level_of(pairs), settings.base)[at], np.minimum(c_w, c_v))
     k, mass = settings.weight, np.where(c_v > 0, c_v + known.noise, 0.0)
     return np.add.reduceat(np.log10((c_vw + k * (c_w + 1) / known.total) / (mass + k)), first)
 
@@ -291,21 +335,35 @@ def score(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, common, model = TaskContext.get().partitionId() << 33, frequent.value, sent.value
         block, held = row, 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch, rows = whole.slice(at, 512), []
-                texts = [tokens(t.as_py()) for t in batch.column(place)]
-                scores = _text_scores(texts, model.level, common, settings) if model else [None] * len(texts)
-                for token, value in zip(texts, scores, strict=True):
-                    signed = token.view(np.int64)
-                    known, where = common.exact(token)
-                    log_sum = float(np.log10(common.c[where[known]] + 1).sum())
-                    rows.append((row, len(token), int(known.sum()), log_sum, signed[~known].tobytes(), value, block))
-                    row, held = row + 1, held + len(token)
-                    if held >= _BLOCK:
-                        block, held = row, 0
-                columns = [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), fields, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema([*batch.schema, *fields]))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, length = many_tokens(batch.column(place))
+            words, at = distinct = _distinct(token)
+            is_known, where = common.exact(words)
+            logs = np.zeros(len(words))
+            logs[is_known] = np.log10(common.c[where[is_known]] + 1)
+            first, at = _firsts(length), at[:-1]
+            n_known = np.add.reduceat(is_known[at].astype(np.int64), first)
+            rare = token[~is_known[at]].tobytes()
+            rare_ends = 8 * np.concatenate([[0], np.cumsum(length - n_known)]).astype(np.int32)
+            scores = _scores(token, length, distinct, model.level, common, settings) if model else None
+            blocks = []
+            for n in length.tolist():
+                blocks.append(block)
+                row, held = row + 1, held + n
+                if held >= _BLOCK:
+                    block, held = row, 0
+            columns = [
+                pa.array(np.arange(row - len(length), row)),
+                pa.array(length),
+                pa.array(n_known),
+                pa.array(np.add.reduceat(logs[at], first)),
+                pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(rare_ends.tobytes()), pa.py_buffer(rare)]),
+                pa.nulls(len(length), pa.float64()) if scores is None else pa.array(scores),
+                pa.array(blocks, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema([*batch.schema, *fields]))
 
     fields = [
         pa.field("_row", pa.int64()),
@@ -318,7 +376,7 @@ def score(
     ]
     out_schema = spark.createDataFrame([], schema).schema
     measured = base.mapInArrow(measure, type(out_schema)([*base.schema.fields, *out_schema.fields]))
-    measured = durable(measured)
+    measured = durable(measured) if small else bucketed(measured, "_block")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,7 +386,7 @@ def score(
                     rows = pa.array(np.full(len(hashes), r))
                     yield pa.RecordBatch.from_arrays([rows, pa.array(hashes), pa.array(times)], ["_row", "hash", "times"])
 
-    found = (
+    found = durable(
         measured.select("_row", "_rare")
         .mapInArrow(rare, "_row long, hash long, times long")
         .join(counts, "hash")
@@ -353,60 +411,53 @@ def _by_probes(
     measured: DataFrame, place: int, stored: DataFrame, segments: int, learned: int, frequent, settings: Settings
 ) -> DataFrame:
     """(_row, _score) for a filter that is too large to send. A block of texts asks each segment for its
-    distinct n-grams, so a frequent one is asked once a block. Where more tokens are scored than were
+    distinct n-grams, so a frequent one is asked once a block. Where far more tokens are scored than were
     ``learned``, the blocks are parted by a salt, and a segment is sent once for each: a group holds the
-    n-grams of about ``segment_tokens`` tokens and one segment, whatever the size of the corpus."""
+    n-grams of at most twice ``segment_tokens`` tokens and one segment, whatever the size of the corpus."""
     texts = measured.select("_block", "_row", F.col(f"`{measured.columns[place]}`").cast("string").alias("text"))
     scored = measured.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    salts = 1 + scored // max(1, learned)
-
-    def kinds(token: np.ndarray) -> np.ndarray:
-        return np.concatenate([[START], token, bigrams(token)])
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def asked(block: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            hashes = np.unique(np.concatenate(parts))
-            ends = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
-            own = np.flatnonzero(ends[1:] > ends[:-1])
-            for at in range(0, len(own), 64):
-                some = own[at : at + 64]
-                packed = [_packed(hashes[ends[s] : ends[s + 1]]) for s in some]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())],
-                    ["_block", "segment", "hashes"],
-                )
-
-        last, parts = None, []
-        for batch in batches:
-            for block, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if block != last and parts:
-                    yield from asked(last, parts)
-                    parts = []
-                last = block
-                parts.append(np.unique(kinds(tokens(t.as_py()))))
-        if parts:
-            yield from asked(last, parts)
+    salts = max(1, round(scored / max(1, learned)))
+
+    def probes(own: pa.Table) -> pa.Table:
+        hashes = _sorted(_kinds(own["text"].combine_chunks()))
+        ends = np.searchsorted(segment_of(hashes, segments), np.arange(segments + 1))
+        asked = np.flatnonzero(ends[1:] > ends[:-1])
+        packed = [_packed(hashes[ends[s] : ends[s + 1]]) for s in asked]
+        block = own["_block"][0].as_py()
+        return pa.table(
+            {
+                "_block": pa.array([block] * len(asked), pa.int64()),
+                "segment": pa.array(asked, pa.int32()),
+                "hashes": pa.array(packed, pa.binary()),
+            }
+        )
 
     def read(asked: pa.Table, own: pa.Table) -> pa.Table:
         bits = {s.as_py(): b.as_py() for s, b in zip(own["segment"], own["bits"], strict=True)}
         model = Filter(bits, segments, settings)
-        told = [model.level(_unpacked(x.as_py())).astype(np.uint8).tobytes() for x in asked["hashes"]]
+        # Blocks have many n-grams in common: each is looked up once.
+        hashes = [_unpacked(x.as_py()) for x in asked["hashes"]]
+        distinct, at = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_inverse=True)
+        level = model.level(distinct).astype(np.uint8)[at]
+        told = [x.tobytes() for x in np.split(level, np.cumsum([len(h) for h in hashes])[:-1])] if hashes else []
         return pa.table(
             {"_block": asked["_block"], "segment": asked["segment"], "levels": pa.array(told, pa.binary())}
         )
 
     def rate(own: pa.Table, told: pa.Table) -> pa.Table:
-        parts = [tokens(t.as_py()) for t in own["text"]]
-        hashes = np.unique(np.concatenate([np.unique(kinds(p)) for p in parts]))
+        token, length = many_tokens(own["text"].combine_chunks())
+        hashes = _sorted(np.concatenate([[START], token, many_bigrams(token, length)]))
         # Segments are parts of the hash range, so levels in their order are in that of the hashes.
         order = np.argsort(told["segment"].to_numpy())
         levels_of = told["levels"].to_pylist()
         level = np.concatenate([np.frombuffer(levels_of[k], np.uint8) for k in order]).astype(np.int64)
-        scores = _text_scores(parts, lambda h: level[np.searchsorted(hashes, h)], frequent.value, settings)
+        level_of = lambda h: level[np.searchsorted(hashes, h)]
+        scores = _scores(token, length, _distinct(token), level_of, frequent.value, settings)
         return pa.table({"_row": own["_row"], "_score": pa.array(scores, pa.float64())})
 
     salt = F.pmod(F.xxhash64("_block"), F.lit(salts)).alias("salt")
-    asked = texts.select("_block", "text").mapInArrow(probes, "_block long, segment int, hashes binary")
+    # The table is dealt by its blocks: neither of the two steps that read texts shuffles them.
+    asked = texts.select("_block", "text").groupBy("_block").applyInArrow(probes, "_block long, segment int, hashes binary")
     sent = stored.select("segment", "bits").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     told = (
         asked.select("*", salt)

@@ -491,6 +491,41 @@ def test_segments_are_sent_to_blocks_of_texts_not_to_each(spark, monkeypatch):
     assert readers and all("CoGroups" in x for x in readers)
 
 
+def test_blocks_stay_whole_and_their_texts_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "_BLOCK", 20_000)
+    small = {"parquet.block.size": "4096", "parquet.page.size": "1024", "spark.sql.files.maxPartitionBytes": "8192"}
+    docs = spark.range(3_000).select("id", F.concat_ws(" ", F.lit("a b"), F.col("id") % 50, F.md5(F.col("id").cast("string"))).alias("text"))
+    docs = docs.coalesce(2).localCheckpoint()
+    runs = []
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        for most in (1 << 20, 0):
+            got = ngram_lm.score(docs, F.col("id") < 1_000, settings=ngram_lm.Settings(segment_tokens=500, broadcast_bytes=most))
+            runs.append(sorted((r["id"], round(r["lm_score"], 9)) for r in got.select("id", "lm_score").collect()))
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert runs[0] == runs[1] and len(runs[0]) == 3_000
+    plan = got.select("id", "lm_score")._jdf.queryExecution().optimizedPlan().toString()
+    steps = [x for x in plan.splitlines() if " rate(" in x or " probes(" in x]
+    assert len(steps) == 2 and all("text#" in x and "_block#" in x for x in steps)
+    shown = got.select("id", "lm_score")._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [i for i, x in enumerate(shown) if "Exchange hashpartitioning(_block" in x]
+    assert not any("text#" in x for i in dealt for x in shown[i + 1 : i + 2])
+
+
+def test_texts_are_hashed_together_as_alone():
+    texts = pa.array(["a b", None, "", " ", "x", "\u00c0\u00c9  b\x0bc\td\r\n", "A b", None, "\n", "b a  ", "a" * 600_000, "b"])
+    for some in (texts, texts.slice(2, 7), texts.slice(0, 0)):
+        token, length = ngram_lm.many_tokens(some)
+        alone = [ngram_lm.tokens(t) for t in some.to_pylist()]
+        assert length.tolist() == [len(t) for t in alone]
+        assert token.tolist() == [int(h) for t in alone for h in t]
+        if alone:
+            assert ngram_lm.many_bigrams(token, length).tolist() == [int(h) for t in alone for h in ngram_lm.bigrams(t)]
+
+
 def test_filter_reads_back_levels():
     s, r = ngram_lm.Settings(), np.random.default_rng(2)
     hashes = np.unique(r.integers(0, 1 << 63, 20_000, dtype=np.uint64))
