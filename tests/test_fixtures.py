@@ -4,6 +4,7 @@ import collections
 import random
 import sys
 
+import pyarrow.parquet as pq
 from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -848,6 +849,16 @@ def test_scripts_of_the_same_tables_share_a_context(spark):
     assert sorted(values(plain, "script_id", "context"), key=str) == sorted(values(shown, "script_id", "context"), key=str)
 
 
+def test_parquet_writers_hold_few_long_contexts(spark, tmp_path):
+    members = spark.range(60).select(F.col("id").alias("script_id"), F.lit("A").alias("context_id"))
+    contexts = spark.range(1).select(F.lit("A").alias("script_id"), F.repeat(F.lit("about a, "), 50_000).alias("context"))
+    shown = scripts.with_contexts(members, members, contexts).select("script_id", "context").coalesce(1)
+    shown.write.option("parquet.block.size", 1 << 20).option("compression", "none").parquet(str(tmp_path / "out"))
+    (file,) = (tmp_path / "out").glob("*.parquet")
+    about = pq.ParquetFile(file).metadata
+    assert about.num_rows == 60 and about.num_row_groups >= 15
+
+
 def test_prompts_of_shared_contexts(spark):
     corpus = spark.createDataFrame([(1, "s1"), (1, "again"), (2, "s2"), (None, "s"), (9, None)], "script_id int, text string")
     members = spark.createDataFrame([(1, "A"), (2, "A"), (None, "A"), (7, "B")], "script_id int, context_id string")
