@@ -3,7 +3,9 @@
 import collections
 import random
 import sys
+import tracemalloc
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import cloudpickle
 from pyspark.sql import Row
@@ -859,6 +861,34 @@ def test_parquet_writers_hold_few_long_contexts(spark, tmp_path):
     assert about.num_rows == 60 and about.num_row_groups >= 15
 
 
+def test_lines_of_a_context_are_not_python_objects():
+    rows = [(r, n, t) for r in (2, 1, None) for n in (1, None, -1) for t in ("b", None, "a\n")]
+    table = pa.table(
+        {
+            "script_id": pa.array(["k"] * len(rows)),
+            "table_row": pa.array([r[0] for r in rows], pa.int64()),
+            "line_row": pa.array([r[1] for r in rows], pa.int64()),
+            "text": pa.array([r[2] for r in rows], pa.string()),
+        }
+    )
+    first = lambda x: (x is not None, x)
+    ordered = sorted(rows, key=lambda r: tuple((x is not None, x if x is not None else "") for x in r))
+    want = ""
+    for (r, _, t), after in zip(ordered, [*ordered[1:], None]):
+        end = after is None or (first(r) != first(after[0]) and r is not None and after[0] is not None)
+        want += "" if t is None else t + ("\n\n" if end else "\n")
+    assert scripts._context(table).to_pylist() == [{"script_id": "k", "context": want}]
+    none = table.set_column(3, "text", pa.nulls(len(rows), pa.string()))
+    assert scripts._context(none)["context"].to_pylist() == [""]
+    many = pa.concat_tables([table] * 10_000)
+    tracemalloc.start()
+    try:
+        assert len(scripts._context(many)["context"][0].as_py()) > 400_000
+        assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_prompts_of_shared_contexts(spark):
     corpus = spark.createDataFrame([(1, "s1"), (1, "again"), (2, "s2"), (None, "s"), (9, None)], "script_id int, text string")
     members = spark.createDataFrame([(1, "A"), (2, "A"), (None, "A"), (7, "B")], "script_id int, context_id string")
