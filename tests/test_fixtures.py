@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexline import constants as K
 from lexline.functions import chat as C
 from lexline.functions import text as X
-from lexline.operators import catalog, chat, chunking, generate, lineage, parse, publish, scripts
+from lexline.operators import catalog, chat, chunking, generate, joins, lineage, parse, publish, scripts
 from lexline.operators.ordered import merge_spans
 from lexline.plans import flows
 from lexline.session import durable
@@ -834,6 +834,19 @@ def test_context_lines_of_one_table_named_by_many_scripts(spark):
     assert sum(r.n for r in tasks) == 1500 * 5000
 
 
+def test_block_join_moves_left_rows_in_packs(spark):
+    left = spark.createDataFrame([(k, i % 40, "x" if i % 3 else None) for i in range(90) for k in ("a", "b", None)], "k string, i int, n string")
+    right = spark.createDataFrame([(k, j, None if j % 4 else "y") for j in range(30) for k in ("a", "c", None)], "k string, j int, m string")
+    left = left.unionByName(spark.createDataFrame([("c", 7, "one")], left.schema))
+    want = sorted(map(str, left.join(right, "k").collect()))
+    for sizes in ((4, 3, 2), (100, 7, 10), (1, 1, 1), (1_000, 1_000, 1_000)):
+        got = joins.block_join(left, right, ["k"], ["i"], ["j"], *sizes)
+        assert got.columns == ["k", "i", "n", "j", "m"] and sorted(map(str, got.collect())) == want
+    # Rows of the right side go to as many blocks as there are for the left one, not to each pack.
+    plan = joins.block_join(left, right, ["k"], ["i"], ["j"], 1_000, 3, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 1 and plan.count("explode(_pack") == 1
+
+
 def test_scripts_of_the_same_tables_share_a_context(spark):
     tables = spark.createDataFrame(
         [(1, "x_b.a"), (2, "A"), (2, "b"), (None, "a_B"), (3, "b"), (4, "none")], "script_id int, name string"
