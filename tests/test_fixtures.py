@@ -2,6 +2,7 @@
 
 import collections
 import random
+import re
 import sys
 import tracemalloc
 
@@ -913,6 +914,14 @@ def test_prompts_of_shared_contexts(spark):
     assert sum("about a" in text for _, text in values(shared, "script_id", "text")) == 3
 
 
+def test_words_of_scripts_are_found_in_a_table_of_characters():
+    inside = scripts._WORD[1:-1]
+    ranges, singles = re.findall(".-.", inside), re.sub(".-.", "", inside)
+    assert len(ranges) <= 2 and all(ord(c) < 256 for c in singles)
+    assert re.fullmatch(f"{scripts._WORD}+", "AMZ059_$@#:\u00aa\u00c0\ud7ff" + scripts.SHIELDS)
+    assert not re.search(scripts._WORD, " .,;()[]'\"-=<>\n\u00a9\ue000\ue00a\uff21az")
+
+
 def test_scripts_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(scripts, "SCRIPTS_PER_TASK", 10)
     corpus = spark.range(200).coalesce(1).selectExpr("id AS script_id", "'SELECT * FROM a, b WHERE a.i = b.i' AS text")
